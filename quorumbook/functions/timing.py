@@ -10,12 +10,11 @@ from quorumbook.functions.rules import URGENT_SECONDS
 SECOND = 1_000_000
 
 
-def micros_of_ntz(name: str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ column read as UTC."""
-    return F.expr(
-        f"(unix_date(cast({name} as date)) * 86400L + hour({name}) * 3600 + minute({name}) * 60) * 1000000"
-        f" + cast(extract(second from {name}) * 1000000 as bigint)"
-    )
+# SQL for the microseconds since 1970 of a TIMESTAMP_NTZ column read as UTC.
+MICROS_OF_NTZ = (
+    "((unix_date(cast({column} as date)) * 86400L + hour({column}) * 3600 + minute({column}) * 60) * 1000000"
+    " + cast(extract(second from {column}) * 1000000 as bigint))"
+)
 
 
 def micros_between(start: Column, end: Column) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from quorumbook.functions.rules import MAX_REQUIRED_VOTES
 from quorumbook.operators.players import with_active_flag
-from quorumbook.plans.skew import heavy_keys, is_heavy
+from quorumbook.plans.skew import ROWS_PER_TASK, heavy_keys, is_heavy
 
-_RULE_COLUMNS = ["id", "proposed_by", "target_id", "required_votes", "created_at", "deadline", "status"]
+_RULE_COLUMNS = ["proposed_by", "target_id", "required_votes", "created_at", "deadline", "status"]
 
 
 def until(df: DataFrame, as_of: Column | None, column: str = "created_at") -> DataFrame:
@@ -32,70 +32,73 @@ def under_first_rules(proposals: DataFrame) -> DataFrame:
 
 
 def _rules(proposals: DataFrame) -> DataFrame:
-    return proposals.select(
-        F.col("id").alias("proposal_id"),
-        *[F.col(c).alias(f"_{c}") for c in _RULE_COLUMNS[1:]],
-    )
-
-
-def _in_time(ts: Column) -> Column:
-    return (ts >= F.col("_created_at")) & F.coalesce(ts <= F.col("_deadline"), F.lit(True))
+    return proposals.selectExpr("id as proposal_id", *[f"{c} as _{c}" for c in _RULE_COLUMNS])
 
 
 def _commands(votes: DataFrame, withdrawals: DataFrame | None) -> DataFrame:
     """Votes and withdrawals as one stream of rows."""
-    rows = votes.select(
-        "proposal_id", F.col("voter_id").alias("actor_id"), "id", "created_at", F.lit(True).alias("is_vote")
-    )
+    rows = votes.selectExpr("proposal_id", "voter_id as actor_id", "id", "created_at", "true as is_vote")
     if withdrawals is None:
         return rows
     return rows.unionByName(
-        withdrawals.select("proposal_id", "actor_id", "id", "created_at", F.lit(False).alias("is_vote"))
+        withdrawals.selectExpr("proposal_id", "actor_id", "id", "created_at", "false as is_vote")
     )
 
 
-def _decide(commands: DataFrame, rules: DataFrame) -> DataFrame:
+# A command that may count: pending proposal, in time (the deadline included), by somebody entitled.
+_VALID = """_status = 'pending' and created_at >= _created_at and coalesce(created_at <= _deadline, true)
+    and if(is_vote, actor_id <> _proposed_by and actor_id <> _target_id, actor_id = _proposed_by)"""
+
+# Per proposal there is at most one first withdrawal, and it ranks before the votes.
+_RANK_LIMIT = MAX_REQUIRED_VOTES + 1
+
+
+def _decide(commands: DataFrame, rules: DataFrame, track_ids: bool) -> DataFrame:
     """One row per proposal that received a valid command."""
-    proposer, target = F.col("_proposed_by"), F.col("_target_id")
-    actor = F.col("actor_id")
-    eligible = F.when(F.col("is_vote"), (actor != proposer) & (actor != target)).otherwise(actor == proposer)
-    valid = commands.join(rules, "proposal_id").where(
-        (F.col("_status") == "pending") & _in_time(F.col("created_at")) & eligible
-    )
+    valid = commands.join(rules, "proposal_id").where(_VALID)
+    first = "min(struct(created_at, id))" if track_ids else "min(created_at)"
     firsts = valid.groupBy("proposal_id", "is_vote", "actor_id").agg(
-        F.min(F.struct("created_at", "id")).alias("first"),
-        F.min("_required_votes").alias("required_votes"),
+        F.expr(first).alias("first"), F.min("_required_votes").alias("required_votes")
+    )
+    if track_ids:
+        firsts = firsts.selectExpr(
+            "proposal_id", "is_vote", "actor_id", "required_votes", "first.created_at as first", "first.id as id"
+        )
+    order = Window.partitionBy("proposal_id").orderBy("is_vote", "first", "actor_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    order = Window.partitionBy("proposal_id", "is_vote").orderBy("first.created_at", "actor_id")
-    # The constant bound lets Spark cut each group before the shuffle; the
+    # The constant bound lets Spark cut each group before a shuffle; the
     # proposal's own threshold is applied after it.
     ranked = (
-        firsts.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= MAX_REQUIRED_VOTES)
-        .where(F.col("rank") <= F.col("required_votes"))
-    )
-    vote = F.col("is_vote")
-    last = vote & (F.col("rank") == F.col("required_votes"))
-    tally = ranked.groupBy("proposal_id").agg(
-        F.min(F.when(~vote, F.col("first"))).alias("withdrawal"),
-        F.min(F.when(vote, F.col("first.created_at"))).alias("first_vote_at"),
-        # At most eight entries, in voting order.
-        F.array_sort(F.collect_list(F.when(vote, F.struct(
-            F.col("rank"), F.col("first.id").alias("id"), F.col("actor_id").alias("voter_id"),
-            F.col("first.created_at").alias("created_at"),
-        )))).alias("accepted"),
-        F.max(F.when(last, F.struct(F.col("first.created_at"), F.col("actor_id"), F.col("first.id")))).alias("approval"),
-    )
-    withdrawn = F.col("withdrawal").isNotNull() & F.coalesce(
-        F.col("withdrawal.created_at") <= F.col("first_vote_at"), F.lit(True)
-    )
-    return tally.select(
-        "proposal_id",
-        F.when(withdrawn, F.col("withdrawal.created_at")).alias("withdrawn_at"),
-        F.when(withdrawn, F.col("withdrawal.id")).alias("withdrawal_id"),
-        F.when(~withdrawn, F.col("approval")).alias("approval"),
-        F.when(withdrawn, F.slice("accepted", 1, 0)).otherwise(F.col("accepted")).alias("accepted"),
+        firsts.withColumns({
+            "place": F.row_number().over(order),
+            "undone": F.sum(F.expr("if(is_vote, 0, 1)")).over(order),
+        })
+        .where(F.col("place") <= _RANK_LIMIT)
+        .selectExpr("*", "cast(place - undone as int) as rank")
+        .where("not is_vote or rank <= required_votes")
     )
+    last = "is_vote and rank = required_votes"
+    aggregates = [
+        "min(if(is_vote, null, first)) as withdrawal_at", "min(if(is_vote, first, null)) as first_vote_at",
+        "cast(count_if(is_vote) as int) as n_votes",
+        f"max(if({last}, first, null)) as reached_at", f"max(if({last}, actor_id, null)) as reached_by",
+    ]
+    if track_ids:
+        aggregates += [
+            "max(if(is_vote, null, id)) as withdrawal_id", f"max(if({last}, id, null)) as reached_id",
+            # At most eight entries, in voting order.
+            "array_sort(collect_list(if(is_vote, struct(rank, id, actor_id as voter_id, first as created_at), null)))"
+            " as listed",
+        ]
+    tally = ranked.groupBy("proposal_id").agg(*[F.expr(a) for a in aggregates])
+    columns = ["proposal_id", "if(undone, withdrawal_at, null) as withdrawn_at", "if(undone, 0, n_votes) as vote_count",
+               "if(undone, null, reached_at) as approved_at", "if(undone, null, reached_by) as approved_by"]
+    if track_ids:
+        columns += ["if(undone, withdrawal_id, null) as withdrawal_id", "if(undone, null, reached_id) as approval_id",
+                    "if(undone, slice(listed, 1, 0), listed) as accepted"]
+    undone = "withdrawal_at is not null and coalesce(withdrawal_at <= first_vote_at, true)"
+    return tally.withColumn("undone", F.expr(undone)).selectExpr(*columns)
 
 
 def _split(df: DataFrame, heavy: Sequence) -> tuple[DataFrame, DataFrame]:
@@ -110,27 +113,29 @@ def decisions(
     players: DataFrame,
     as_of: Column | None = None,
     heavy: Sequence = (),
+    track_ids: bool = True,
 ) -> DataFrame:
     """What the logs decided, one row per proposal with a valid command.
 
-    ``accepted`` holds the accepted votes in order (at most eight), ``approval``
-    the vote that reached the threshold, ``withdrawn_at`` the withdrawal that
-    came no later than the first vote.
+    A withdrawal counts when it came no later than the first vote.  With
+    ``track_ids`` the row also names the deciding commands and lists the accepted
+    votes in order (``accepted``, at most eight).
     """
     rows = with_active_flag(
         until(_commands(votes, withdrawals), as_of), players, "actor_id", "_active"
     ).where("_active").drop("_active")
     rules = _rules(proposals)
     if not heavy:
-        return _decide(rows, rules)
+        # One shuffle of the log; all that follows keeps this partitioning.
+        return _decide(rows.repartition("proposal_id"), rules, track_ids)
     cold, hot = _split(rows, heavy)
     # Bounded by the number of heavy keys, see plans.skew.
     hot_rules = F.broadcast(_split(rules, heavy)[1])
-    return _decide(cold, rules).unionByName(_decide(hot, hot_rules))
+    return _decide(cold.repartition("proposal_id"), rules, track_ids).unionByName(_decide(hot, hot_rules, track_ids))
 
 
-def heavy_proposals(votes: DataFrame, rows_per_task: int | None = None) -> list:
-    return heavy_keys(votes, "proposal_id", *([rows_per_task] if rows_per_task else []))
+def heavy_proposals(votes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> list:
+    return heavy_keys(votes, "proposal_id", rows_per_task)
 
 
 def resolve_proposals(
@@ -143,18 +148,18 @@ def resolve_proposals(
 ) -> DataFrame:
     """Proposals with the stored state that the logs lead to, and the vote count."""
     made = until(proposals, as_of)
-    decided = decisions(made, votes, withdrawals, players, as_of, heavy).withColumnRenamed("proposal_id", "id")
-    pending = F.col("status") == "pending"
-    approved, withdrawn = F.col("approval").isNotNull(), F.col("_withdrawn_at").isNotNull()
-    state = F.when(~pending, F.col("status")).when(approved, "approved").when(withdrawn, "withdrawn").otherwise("pending")
-    joined = made.join(decided.withColumnRenamed("withdrawn_at", "_withdrawn_at"), "id", "left")
-    return joined.withColumns({
-        "vote_count": F.coalesce(F.array_size("accepted"), F.lit(0)),
-        "approved_by": F.when(pending, F.col("approval.actor_id")).otherwise(F.col("approved_by")),
-        "approved_at": F.when(pending, F.col("approval.created_at")).otherwise(F.col("approved_at")),
-        "withdrawn_at": F.when(pending, F.col("_withdrawn_at")).otherwise(F.col("withdrawn_at")),
-        "status": state,
-    }).drop("_withdrawn_at", "withdrawal_id", "approval", "accepted")
+    decided = decisions(made, votes, withdrawals, players, as_of, heavy, track_ids=False).selectExpr(
+        "proposal_id as id", "vote_count", "approved_by as _by", "approved_at as _at", "withdrawn_at as _gone"
+    )
+    derived = {
+        "status": "case when status <> 'pending' then status when _at is not null then 'approved' "
+                  "when _gone is not null then 'withdrawn' else 'pending' end",
+        "approved_by": "if(status = 'pending', _by, approved_by)",
+        "approved_at": "if(status = 'pending', _at, approved_at)",
+        "withdrawn_at": "if(status = 'pending', _gone, withdrawn_at)",
+    }
+    columns = [f"{derived[c]} as {c}" if c in derived else c for c in proposals.columns]
+    return made.join(decided, "id", "left").selectExpr(*columns, "coalesce(vote_count, 0) as vote_count")
 
 
 def accepted_votes(decided: DataFrame) -> DataFrame:
@@ -170,33 +175,29 @@ def _facts(rules: DataFrame, decided: DataFrame) -> DataFrame:
     return rules.join(decided, "proposal_id", "left").withColumn("_found", F.lit(True))
 
 
+_VOTE_OUTCOME = """case
+    when not _active then 'no_identity'
+    when _found is null or created_at < _created_at then 'not_found'
+    when _status <> 'pending' or withdrawn_at <= created_at
+        or approved_at is not null and struct(created_at, voter_id, id) > struct(approved_at, approved_by, approval_id) then 'already_decided'
+    when created_at > _deadline then 'past_deadline'
+    when voter_id = _proposed_by or voter_id = _target_id then 'not_eligible'
+    when coalesce(_position, 0) > 0 then 'accepted'
+    else 'duplicate' end"""
+
+
 def _classify_votes(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    ts, voter = F.col("created_at"), F.col("voter_id")
-    joined = rows.join(facts, "proposal_id", "left")
-    position = F.when(F.col("withdrawn_at").isNull(), F.array_position(
-        F.transform("accepted", lambda v: v["id"]), F.col("id")
-    ))
-    late_order = F.struct(ts.alias("created_at"), voter.alias("actor_id"), F.col("id")) > F.col("approval")
-    decided = (
-        (F.col("_status") != "pending")
-        | F.coalesce(F.col("withdrawn_at") <= ts, F.lit(False))
-        | F.coalesce(late_order, F.lit(False))
-    )
-    outcome = (
-        F.when(~F.col("_active"), "no_identity")
-        .when(F.col("_found").isNull() | (ts < F.col("_created_at")), "not_found")
-        .when(decided, "already_decided")
-        .when(F.coalesce(ts > F.col("_deadline"), F.lit(False)), "past_deadline")
-        .when((voter == F.col("_proposed_by")) | (voter == F.col("_target_id")), "not_eligible")
-        .when(F.coalesce(position, F.lit(0)) > 0, "accepted")
-        .otherwise("duplicate")
-    )
-    accepted = F.col("outcome") == "accepted"
-    return joined.withColumn("outcome", outcome).select(
-        "id", "proposal_id", "voter_id", "created_at", "outcome",
-        F.when(accepted, position.cast("int")).alias("vote_count"),
-        F.when(accepted, F.col("_required_votes")).alias("required_votes"),
-        F.when(accepted, F.when(position == F.col("_required_votes"), "approved").otherwise("open")).alias("status"),
+    facts = facts.withColumn("_ids", F.expr("transform(accepted, v -> v.id)")).drop("accepted", "vote_count")
+    return (
+        rows.join(facts, "proposal_id", "left")
+        .withColumn("_position", F.expr("cast(array_position(_ids, id) as int)"))
+        .withColumn("outcome", F.expr(_VOTE_OUTCOME))
+        .selectExpr(
+            "id", "proposal_id", "voter_id", "created_at", "outcome",
+            "if(outcome = 'accepted', _position, null) as vote_count",
+            "if(outcome = 'accepted', _required_votes, null) as required_votes",
+            "if(outcome = 'accepted', if(_position = _required_votes, 'approved', 'open'), null) as status",
+        )
     )
 
 
@@ -219,6 +220,7 @@ def classify_votes(
     if not heavy:
         return _classify_votes(rows, _facts(rules, decided))
     cold, hot = _split(rows, heavy)
+    # Bounded by the number of heavy keys, each with at most eight accepted votes.
     hot_facts = F.broadcast(_facts(_split(rules, heavy)[1], _split(decided, heavy)[1]))
     return _classify_votes(cold, _facts(rules, decided)).unionByName(_classify_votes(hot, hot_facts))
 
@@ -259,12 +261,7 @@ def vote_receipts(classified: DataFrame) -> DataFrame:
 
 def approval_moments(decided: DataFrame) -> DataFrame:
     """The vote that reached the threshold, for approved proposals."""
-    return decided.where(F.col("approval").isNotNull()).select(
-        "proposal_id",
-        F.col("approval.actor_id").alias("approved_by"),
-        F.col("approval.created_at").alias("approved_at"),
-        F.array_size("accepted").alias("vote_count"),
-    )
+    return decided.where("approved_at is not null").select("proposal_id", "approved_by", "approved_at", "vote_count")
 
 
 def voters_by_proposal(decided: DataFrame) -> DataFrame:

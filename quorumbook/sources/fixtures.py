@@ -8,8 +8,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumbook.functions.rules import required_votes, voting_deadline
-from quorumbook.functions.timing import micros_of_ntz
+from quorumbook.functions.timing import MICROS_OF_NTZ
+from quorumbook.sources.schemas import TEST_TABLES
 
 # Fixed values of the derivation: 2026-01-01 and 2024-01-01, UTC, in seconds since 1970.
 BASE_SECONDS = 1_767_225_600
@@ -21,56 +21,63 @@ def at_second(seconds: Column) -> Column:
     return F.timestamp_seconds(F.lit(BASE_SECONDS).cast("bigint") + seconds)
 
 
+def _at(seconds: str) -> str:
+    """SQL for the instant so many seconds after the base."""
+    return f"timestamp_seconds({BASE_SECONDS}L + {seconds})"
+
+
+_PROPOSAL = "(l_orderkey - l_orderkey % 2)"
+_CREATED = _at("o_orderkey * 7")
+_DEADLINE = _at("o_orderkey * 7 + 120")
+_NEEDED = "case when {kind} = 'pardon' then 8S when o_orderkey % 3 = 0 then 2S when o_orderkey % 3 = 1 then 4S else 8S end"
+
+
 def votes_from_lines(lines: DataFrame, players: int) -> DataFrame:
-    proposal = F.col("l_orderkey") - F.col("l_orderkey") % 2
-    return lines.select(
-        F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"),
-        proposal.alias("proposal_id"),
-        ((F.col("l_partkey") + F.col("l_suppkey")) % players).alias("voter_id"),
-        at_second(proposal * SECONDS_PER_ORDER + (F.col("l_quantity") * 3).cast("bigint")).alias("created_at"),
+    return lines.selectExpr(
+        "xxhash64(l_orderkey, l_partkey, l_suppkey, l_linenumber) as id",
+        f"{_PROPOSAL} as proposal_id",
+        f"(l_partkey + l_suppkey) % {players} as voter_id",
+        f"{_at(f'{_PROPOSAL} * 7 + cast(l_quantity * 3 as bigint)')} as created_at",
     )
 
 
 def proposals_from_orders(orders: DataFrame, players: int) -> DataFrame:
-    kind = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("pardon")).otherwise(F.lit("penalty"))
-    amount = F.when(kind == "pardon", F.lit(1)).otherwise(1 + F.col("o_orderkey") % 3).cast("smallint")
-    created = at_second(F.col("o_orderkey") * SECONDS_PER_ORDER)
-    return orders.select(
-        F.col("o_orderkey").alias("id"),
-        ((F.col("o_custkey") + 1 + F.col("o_orderkey") % 97) % players).alias("target_id"),
-        F.col("o_custkey").alias("proposed_by"),
-        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("description"),
-        amount.alias("amount"),
-        F.lit("pending").alias("status"),
-        F.lit(None).cast("bigint").alias("approved_by"),
-        F.lit(None).cast("timestamp").alias("approved_at"),
-        F.lit(None).cast("timestamp").alias("withdrawn_at"),
-        created.alias("created_at"),
-        kind.alias("proposal_type"),
-        required_votes(kind, amount).alias("required_votes"),
-        voting_deadline(created).alias("deadline"),
+    kind = "case when o_orderpriority = '5-LOW' then 'pardon' else 'penalty' end"
+    return orders.selectExpr(
+        "o_orderkey as id",
+        f"(o_custkey + 1 + o_orderkey % 97) % {players} as target_id",
+        "o_custkey as proposed_by",
+        "concat('Order ', o_orderkey) as description",
+        "cast(if(o_orderpriority = '5-LOW', 1, 1 + o_orderkey % 3) as smallint) as amount",
+        "'pending' as status",
+        "cast(null as bigint) as approved_by",
+        "cast(null as timestamp) as approved_at",
+        "cast(null as timestamp) as withdrawn_at",
+        f"{_CREATED} as created_at",
+        f"{kind} as proposal_type",
+        f"{_NEEDED.format(kind=f'({kind})')} as required_votes",
+        f"{_DEADLINE} as deadline",
     )
 
 
 def withdrawals_from_orders(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    return orders.where((F.col("o_orderstatus") == "P") & (key % 5 == 0)).select(
-        key.alias("id"),
-        key.alias("proposal_id"),
-        F.col("o_custkey").alias("actor_id"),
-        at_second(key * SECONDS_PER_ORDER + key % 150 + 1).alias("created_at"),
+    return orders.where("o_orderstatus = 'P' and o_orderkey % 5 = 0").selectExpr(
+        "o_orderkey as id",
+        "o_orderkey as proposal_id",
+        "o_custkey as actor_id",
+        f"{_at('o_orderkey * 7 + o_orderkey % 150 + 1')} as created_at",
     )
 
 
 def attempts_from_events(events: DataFrame, players: int) -> DataFrame:
-    offset = micros_of_ntz("ts") - F.lit(EVENTS_SECONDS * 1_000_000).cast("bigint")
-    return events.select(
-        F.col("user_id").alias("device_id"),
-        F.col("event_id").alias("seq"),
-        F.timestamp_micros(F.lit(BASE_SECONDS * 1_000_000).cast("bigint") + F.floor(offset / 240)).alias("ts"),
-        ((F.col("user_id") + F.col("event_id") % 3) % players).alias("player_id"),
-        (F.col("event_type") != "view").alias("format_ok"),
-        (F.col("event_type") == "signup").alias("code_ok"),
+    offset = f"({MICROS_OF_NTZ.format(column='ts')} - {EVENTS_SECONDS}000000L)"
+    return events.selectExpr(
+        "user_id as device_id",
+        "event_id as seq",
+        f"timestamp_micros({BASE_SECONDS}000000L + {offset} div 240) as ts",
+        f"(user_id + event_id % 3) % {players} as player_id",
+        "event_type <> 'view' as format_ok",
+        "event_type = 'signup' as code_ok",
     )
 
 
@@ -81,8 +88,16 @@ class Fixtures:
     spark: SparkSession
     folder: str
 
+    @cached_property
+    def _read(self) -> dict[str, DataFrame]:
+        return {}
+
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One of the given tables, with its declared schema."""
+        if name not in self._read:
+            reader = self.spark.read.schema(TEST_TABLES[name])
+            self._read[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     @cached_property
     def player_count(self) -> int:
@@ -95,15 +110,14 @@ class Fixtures:
 
     @property
     def players(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.raw("customer").select(
-            key.alias("id"),
-            F.col("c_name").alias("display_name"),
-            (F.col("c_acctbal") >= 0).alias("is_active"),
-            at_second(F.lit(0)).alias("created_at"),
-            F.when(key % 3 != 0, key).alias("claimed_user_id"),
-            F.when(key % 3 != 0, at_second(key)).alias("claimed_at"),
-            (key % 7 != 0).alias("has_code"),
+        return self.raw("customer").selectExpr(
+            "c_custkey as id",
+            "c_name as display_name",
+            "c_acctbal >= 0 as is_active",
+            f"{_at('0')} as created_at",
+            "if(c_custkey % 3 <> 0, c_custkey, null) as claimed_user_id",
+            f"if(c_custkey % 3 <> 0, {_at('c_custkey')}, null) as claimed_at",
+            "c_custkey % 7 <> 0 as has_code",
         )
 
     @property
@@ -132,57 +146,47 @@ class Fixtures:
 
     @property
     def proposal_commands(self) -> DataFrame:
-        orders, documents = self.raw("orders"), self.raw("documents")
+        documents = self.raw("documents")
         texts = documents.select("doc_id", "text")
-        key = F.col("o_orderkey")
-        return (
-            orders.withColumn("doc_id", key % documents.count())
-            .join(texts, "doc_id", "left")
-            .select(
-                key.alias("id"),
-                F.col("o_custkey").alias("actor_id"),
-                ((F.col("o_custkey") + key % 97) % self.player_count).alias("target_id"),
-                F.when(key % 11 == 0, F.substring("text", 1, 2)).otherwise(F.col("text")).alias("description"),
-                (key % 5).cast("int").alias("amount"),
-                F.when(F.col("o_orderpriority") == "5-LOW", F.lit("pardon"))
-                .otherwise(F.lit("penalty")).alias("proposal_type"),
-                at_second(key * SECONDS_PER_ORDER).alias("created_at"),
-            )
+        orders = self.raw("orders").withColumn("doc_id", F.expr(f"o_orderkey % {documents.count()}"))
+        return orders.join(texts, "doc_id", "left").selectExpr(
+            "o_orderkey as id",
+            "o_custkey as actor_id",
+            f"(o_custkey + o_orderkey % 97) % {self.player_count} as target_id",
+            "if(o_orderkey % 11 = 0, substring(text, 1, 2), text) as description",
+            "cast(o_orderkey % 5 as int) as amount",
+            "if(o_orderpriority = '5-LOW', 'pardon', 'penalty') as proposal_type",
+            f"{_CREATED} as created_at",
         )
 
     @property
     def stored_proposals(self) -> DataFrame:
         """Proposals as a table with stored states, some of them from before voting."""
-        key, state = F.col("o_orderkey"), F.col("o_orderstatus")
-        created = at_second(key * SECONDS_PER_ORDER)
-        stored = F.when(state == "F", "approved").when(state == "P", "withdrawn").otherwise("pending")
-        legacy = key % 4 == 0
-        base = self.raw("orders")
-        kind = F.when(~legacy & (F.col("o_orderpriority") == "5-LOW"), F.lit("pardon")).otherwise(F.lit("penalty"))
-        amount = F.when(kind == "pardon", F.lit(1)).otherwise(1 + key % 3).cast("smallint")
-        return base.select(
-            key.alias("id"),
-            ((F.col("o_custkey") + 1 + key % 97) % self.player_count).alias("target_id"),
-            F.col("o_custkey").alias("proposed_by"),
-            F.concat(F.lit("Order "), key.cast("string")).alias("description"),
-            F.when(~(legacy & (key % 3 == 0)), amount).alias("amount"),
-            stored.alias("status"),
-            F.when(state == "F", (F.col("o_custkey") + 101 + key % 7) % self.player_count).alias("approved_by"),
-            F.when(state == "F", at_second(key * SECONDS_PER_ORDER + 60)).alias("approved_at"),
-            F.when(state == "P", at_second(key * SECONDS_PER_ORDER + 30)).alias("withdrawn_at"),
-            created.alias("created_at"),
-            F.when(~legacy, kind).alias("proposal_type"),
-            F.when(~legacy, required_votes(kind, amount)).alias("required_votes"),
-            F.when(~legacy, voting_deadline(created)).alias("deadline"),
+        kind = "if(o_orderpriority = '5-LOW', 'pardon', 'penalty')"
+        legacy = "o_orderkey % 4 = 0"
+        return self.raw("orders").selectExpr(
+            "o_orderkey as id",
+            f"(o_custkey + 1 + o_orderkey % 97) % {self.player_count} as target_id",
+            "o_custkey as proposed_by",
+            "concat('Order ', o_orderkey) as description",
+            f"""cast(case when o_orderkey % 12 = 0 then null when {kind} = 'pardon' and not ({legacy}) then 1
+                else 1 + o_orderkey % 3 end as smallint) as amount""",
+            "case o_orderstatus when 'F' then 'approved' when 'P' then 'withdrawn' else 'pending' end as status",
+            f"if(o_orderstatus = 'F', (o_custkey + 101 + o_orderkey % 7) % {self.player_count}, null) as approved_by",
+            f"if(o_orderstatus = 'F', {_at('o_orderkey * 7 + 60')}, null) as approved_at",
+            f"if(o_orderstatus = 'P', {_at('o_orderkey * 7 + 30')}, null) as withdrawn_at",
+            f"{_CREATED} as created_at",
+            f"if({legacy}, null, {kind}) as proposal_type",
+            f"if({legacy}, null, {_NEEDED.format(kind=kind)}) as required_votes",
+            f"if({legacy}, null, {_DEADLINE}) as deadline",
         )
 
     @property
     def player_changes(self) -> DataFrame:
         """Operator log of inserts and deactivations, several per player name."""
-        events = self.raw("events")
-        return events.select(
-            F.col("event_id").alias("seq"),
-            F.concat(F.lit("Player "), F.col("user_id").cast("string")).alias("display_name"),
-            (F.col("event_type") != "error").alias("is_active"),
-            F.timestamp_micros(micros_of_ntz("ts")).alias("changed_at"),
+        return self.raw("events").selectExpr(
+            "event_id as seq",
+            "concat('Player ', user_id) as display_name",
+            "event_type <> 'error' as is_active",
+            f"timestamp_micros({MICROS_OF_NTZ.format(column='ts')}) as changed_at",
         )
