@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 
 from quorumbook.functions.text import digits_prefix, first_match_class, length_ok, name_initial
 from quorumbook.functions.timing import duration_parts
-from quorumbook.operators import audit, ballots, feeds, players as people, proposals as admission, scores, status as st
+from quorumbook.operators import audit, ballots, claims, codes, feeds, scores
+from quorumbook.operators import players as people
+from quorumbook.operators import proposals as admission
+from quorumbook.operators import status as st
 from quorumbook.sources.fixtures import Fixtures, at_second
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +23,7 @@ REGISTRY: dict[str, Query] = {}
 VIEWER = 7
 HISTORY_PLAYER = 11
 DEVICE = 8
+CODE_SEED = "spring"
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -364,6 +368,34 @@ def backfill_amount(fx):
     return st.backfill_amount(fx.stored_proposals).select("id", "amount")
 
 
+# Binding ---------------------------------------------------------------------
+
+@query
+def claim_throttle(fx):
+    attempts = fx.claim_attempts
+    return claims.claim_throttle(attempts, claims.heavy_devices(attempts))
+
+
+@query
+def claim_resolution(fx):
+    return claims.resolve_claims(fx.claim_attempts, fx.unclaimed_players)
+
+
+def _codes(fx: Fixtures) -> DataFrame:
+    width = codes.code_width(fx.players.where("is_active").count())
+    return codes.assign_codes(fx.players, CODE_SEED, width)
+
+
+@query
+def assign_codes(fx):
+    return _codes(fx)
+
+
+@query
+def apply_codes(fx):
+    return codes.apply_codes(fx.players, _codes(fx)).select("id", "claimed_user_id", "claimed_at", "has_code", "code")
+
+
 # Text and time ---------------------------------------------------------------
 
 @query
