@@ -14,7 +14,16 @@ from quorumbook.operators import audit, ballots, claims, codes, feeds, scores
 from quorumbook.operators import players as people
 from quorumbook.operators import proposals as admission
 from quorumbook.operators import status as st
-from quorumbook.sources.fixtures import Fixtures, at_second
+from quorumbook.plans.workspace import fresh_path
+from quorumbook.sources.fixtures import (
+    Fixtures, at_second, attempts_from_events, proposals_from_orders, votes_from_lines, withdrawals_from_orders,
+)
+from quorumbook.sources.schemas import TEST_TABLES
+from quorumbook.sources.tables import follow_table
+from quorumbook.streaming.ledger import LedgerFolder, command_stream, start_ledger, stream_board
+from quorumbook.streaming.matching import match_votes
+from quorumbook.streaming.sinks import drain
+from quorumbook.streaming.throttle import stream_throttle as throttled_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -396,6 +405,56 @@ def apply_codes(fx):
     return codes.apply_codes(fx.players, _codes(fx)).select("id", "claimed_user_id", "claimed_at", "has_code", "code")
 
 
+# Streams -----------------------------------------------------------------------
+
+def _feed(fx: Fixtures, name: str) -> DataFrame:
+    """One of the given tables as a stream of files."""
+    return follow_table(fx.spark, fx.folder, TEST_TABLES[name], f"{name}.parquet")
+
+
+def _ledger_stream(fx: Fixtures) -> tuple[LedgerFolder, int]:
+    orders = _feed(fx, "orders")
+    commands = command_stream(
+        proposals_from_orders(orders, fx.player_count),
+        votes_from_lines(_feed(fx, "lineitem"), fx.player_count),
+        withdrawals_from_orders(orders),
+    )
+    running, folder = start_ledger(commands, fx.players, fresh_path(fx.spark, "ledger"))
+    running.awaitTermination()
+    return folder, running.lastProgress["batchId"]
+
+
+@query
+def stream_proposal_outcomes(fx):
+    return _ledger_stream(fx)[0].outcomes().select("id", "status", "vote_count", "approved_by", "approved_at")
+
+
+@query
+def stream_score_events(fx):
+    return _ledger_stream(fx)[0].events()
+
+
+@query
+def stream_leaderboard(fx):
+    folder, last = _ledger_stream(fx)
+    return stream_board(folder, fx.players, last)
+
+
+@query
+def stream_throttle(fx):
+    attempts = attempts_from_events(_feed(fx, "events"), fx.player_count)
+    return drain(throttled_stream(attempts), "throttle").withColumnRenamed("at", "ts")
+
+
+@query
+def stream_vote_match(fx):
+    matched = match_votes(
+        proposals_from_orders(_feed(fx, "orders"), fx.player_count),
+        votes_from_lines(_feed(fx, "lineitem"), fx.player_count),
+    )
+    return drain(matched, "vote-match")
+
+
 # Text and time ---------------------------------------------------------------
 
 @query
