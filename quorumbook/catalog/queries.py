@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +29,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 # Parameters of the single-player queries.
-VIEWER = 7
-HISTORY_PLAYER = 11
-DEVICE = 8
+VIEWER = 83
+HISTORY_PLAYER = 2
+DEVICE = 7
 CODE_SEED = "spring"
 
 
@@ -60,14 +60,34 @@ def _decided(fx: Fixtures) -> DataFrame:
     )
 
 
-def _status(fx: Fixtures) -> DataFrame:
-    votes = fx.votes
+def _status(fx: Fixtures, cutoff: Column | None = None) -> DataFrame:
+    """Status of all proposals, or of those created since the cutoff."""
+    votes = feeds.since(fx.votes, cutoff)
     resolved = ballots.resolve_proposals(
-        fx.proposals, votes, fx.withdrawals, fx.players, fx.as_of, ballots.heavy_proposals(votes)
+        feeds.since(fx.proposals, cutoff), votes, feeds.since(fx.withdrawals, cutoff), fx.players, fx.as_of,
+        ballots.heavy_proposals(votes),
     )
     return st.with_derived_status(resolved, fx.as_of)
 
 
+def _feed_status(fx: Fixtures) -> DataFrame:
+    return _status(fx, feeds.feed_cutoff(fx.proposals, fx.withdrawals, fx.as_of))
+
+
+def _open_status(fx: Fixtures) -> DataFrame:
+    return _status(fx, feeds.open_since(fx.as_of))
+
+
+def _open_votes(fx: Fixtures) -> DataFrame:
+    """Accepted votes on proposals that may be open."""
+    cutoff = feeds.open_since(fx.as_of)
+    votes = feeds.since(fx.votes, cutoff)
+    return ballots.accepted_votes(ballots.decisions(
+        feeds.since(fx.proposals, cutoff), votes, feeds.since(fx.withdrawals, cutoff), fx.players, fx.as_of,
+        ballots.heavy_proposals(votes),
+    ))
+
+
 def _board(fx: Fixtures) -> DataFrame:
     events, cuts = scores.prepared_events(_status(fx), fx.proposals)
     return scores.leaderboard(fx.players, scores.player_totals(events, cuts))
@@ -256,27 +276,27 @@ def v1_outcomes(fx):
 
 @query
 def recent_feed(fx):
-    return feeds.recent_proposals(_status(fx)).select("id", "status", "vote_count", "created_at")
+    return feeds.recent_proposals(_feed_status(fx)).select("id", "status", "vote_count", "created_at")
 
 
 @query
 def pending_feed(fx):
-    return feeds.pending_feed(feeds.recent_proposals(_status(fx)), fx.players, fx.as_of)
+    return feeds.pending_feed(feeds.recent_proposals(_open_status(fx)), fx.players, fx.as_of)
 
 
 @query
 def open_count(fx):
-    return feeds.open_count(feeds.recent_proposals(_status(fx)))
+    return feeds.open_count(feeds.recent_proposals(_open_status(fx)))
 
 
 @query
 def history_feed(fx):
-    return feeds.history_feed(feeds.recent_proposals(_status(fx)), fx.players)
+    return feeds.history_feed(feeds.recent_proposals(_feed_status(fx)), fx.players)
 
 
 @query
 def history_feed_player(fx):
-    return feeds.history_feed(feeds.recent_proposals(_status(fx)), fx.players, HISTORY_PLAYER)
+    return feeds.history_feed(feeds.recent_proposals(_feed_status(fx)), fx.players, HISTORY_PLAYER)
 
 
 @query
@@ -288,13 +308,12 @@ def player_history(fx):
 
 @query
 def viewer_actions(fx):
-    decided = ballots.accepted_votes(_decided(fx))
-    return feeds.viewer_actions(feeds.recent_proposals(_status(fx)), decided, VIEWER)
+    return feeds.viewer_actions(feeds.recent_proposals(_open_status(fx)), _open_votes(fx), VIEWER)
 
 
 @query
 def involved_actions(fx):
-    return feeds.involved_actions(_status(fx), ballots.accepted_votes(_decided(fx)))
+    return feeds.involved_actions(_open_status(fx), _open_votes(fx))
 
 
 @query
@@ -310,10 +329,18 @@ def outcome_label(fx):
 # Audit and backfill ---------------------------------------------------------
 
 def _audited(fx: Fixtures) -> DataFrame:
-    """Raw proposal rows as stored without any admission check."""
-    commands = fx.proposal_commands.select("id", "description", F.col("amount").alias("raw_amount"))
-    stored = fx.stored_proposals.drop("description", "amount")
-    return stored.join(commands, "id").withColumnRenamed("raw_amount", "amount")
+    """Raw proposal rows as stored without any admission check, some of them broken on purpose."""
+    commands = fx.proposal_commands.select("id", "description", "amount", "target_id")
+    broken = {
+        "status": "if(id % 13 = 0, 'closed', status)",
+        "proposal_type": "if(id % 17 = 0, 'bonus', proposal_type)",
+        "required_votes": "if(id % 19 = 0, 3, required_votes)",
+        "approved_by": "if(id % 23 = 0, -1, approved_by)",
+    }
+    stored = fx.stored_proposals.drop("description", "amount", "target_id").withColumns(
+        {name: F.expr(rule) for name, rule in broken.items()}
+    )
+    return stored.join(commands, "id")
 
 
 @query

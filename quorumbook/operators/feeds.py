@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumbook.functions.rules import FEED_LIMIT, VISIBLE_STATES, affected_player, outcome_kind
+from quorumbook.functions.rules import FEED_LIMIT, VISIBLE_STATES, VOTING_SECONDS, affected_player, outcome_kind
 from quorumbook.functions.timing import countdown_text, is_urgent, progress_percent, seconds_left
 from quorumbook.operators.players import with_player_name
 
@@ -18,6 +18,31 @@ def recent_proposals(status: DataFrame, limit: int | None = FEED_LIMIT) -> DataF
     return visible.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
+def open_since(as_of: Column) -> Column:
+    """Nothing created before this instant can still be open."""
+    return as_of - F.expr(f"interval {VOTING_SECONDS} seconds")
+
+
+def feed_cutoff(
+    proposals: DataFrame, withdrawals: DataFrame, as_of: Column, limit: int = FEED_LIMIT
+) -> Column | None:
+    """An instant that the newest ``limit`` visible proposals do not precede.
+
+    A proposal that nobody asked to withdraw stays visible, so the newest
+    ``limit`` of those bound the feed.  Votes before that instant cannot matter
+    to it, which spares the feed the whole log.  None: take everything.
+    """
+    kept = proposals.where((F.col("created_at") <= as_of) & (F.col("status") != "withdrawn"))
+    safe = kept.join(withdrawals.select(F.col("proposal_id").alias("id")), "id", "left_anti")
+    newest = safe.select("created_at", "id").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    row = newest.agg(F.count("*").alias("n"), F.min(F.unix_micros("created_at")).alias("cutoff")).first()
+    return F.timestamp_micros(F.lit(row["cutoff"])) if row["n"] == limit else None
+
+
+def since(df: DataFrame, cutoff: Column | None) -> DataFrame:
+    return df if cutoff is None else df.where(F.col("created_at") >= cutoff)
+
+
 def pending_feed(recent: DataFrame, players: DataFrame, as_of: Column) -> DataFrame:
     """Open cases with progress and time left."""
     rows = recent.where(F.col("status") == "open")
