@@ -7,6 +7,7 @@ and never the result, so an estimate is good enough.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,9 +53,20 @@ def order_bounds(df: DataFrame, column: str, pieces: int) -> list[int]:
     return sorted(set(row["bounds"] or []))
 
 
+def _count_below(value: Column, bounds: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b < value))
+
+
 def piece_of(value: Column, bounds: Sequence[int]) -> Column:
-    """How many boundaries lie below ``value``: an order-preserving piece number."""
+    """How many boundaries lie below ``value``: an order-preserving piece number.
+
+    Boundaries are looked up in two steps of about the square root of their number.
+    """
     if not bounds:
         return F.lit(0)
-    below = F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b < value)
-    return F.size(below)
+    step = math.isqrt(len(bounds) - 1) + 1
+    groups = [list(bounds[i:i + step]) for i in range(0, len(bounds), step)]
+    lasts = F.array(*[F.lit(g[-1]).cast("bigint") for g in groups[:-1]]).cast("array<bigint>")
+    group = _count_below(value, lasts)
+    table = F.array(*[F.array(*[F.lit(b).cast("bigint") for b in g]) for g in groups])
+    return group * step + _count_below(value, F.get(table, group))

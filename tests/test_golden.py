@@ -121,9 +121,10 @@ def test_ranks_across_bands(spark):
     assert got == {v: 1 + sum(w > v for w in values) for v in values}
 
 
-def test_numbering_in_order(spark):
+@pytest.mark.parametrize("rows_per_piece", [10_000, 300, 20])
+def test_numbering_in_order(spark, rows_per_piece):
     df = spark.range(0, 5000, 1, 7).selectExpr("id * 7919 % 5003 as key")
-    got = [(r["key"], r["row_number"]) for r in numbered(df, "key").collect()]
+    got = [(r["key"], r["row_number"]) for r in numbered(df, "key", rows_per_piece=rows_per_piece).collect()]
     assert sorted(got) == [(k, i + 1) for i, k in enumerate(sorted(k for k, _ in got))]
 
 
