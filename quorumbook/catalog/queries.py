@@ -302,7 +302,13 @@ def history_feed_player(fx):
 @query
 def player_history(fx):
     """Every decided case of one player, without the cut of the feed."""
-    everything = feeds.recent_proposals(_status(fx), limit=None)
+    proposals = feeds.concerning(fx.proposals, HISTORY_PLAYER)
+    votes = ballots.commands_on(fx.votes, proposals)
+    resolved = ballots.resolve_proposals(
+        proposals, votes, ballots.commands_on(fx.withdrawals, proposals), fx.players, fx.as_of,
+        ballots.heavy_proposals(votes),
+    )
+    everything = feeds.recent_proposals(st.with_derived_status(resolved, fx.as_of), limit=None)
     return feeds.history_feed(everything, fx.players, HISTORY_PLAYER)
 
 

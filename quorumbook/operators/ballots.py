@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quorumbook.functions.rules import MAX_REQUIRED_VOTES
 from quorumbook.operators.players import with_active_flag
-from quorumbook.plans.skew import ROWS_PER_TASK, heavy_keys, is_heavy
+from quorumbook.plans.skew import ROWS_PER_TASK, broadcast_if_small, heavy_keys, is_heavy
 
 _RULE_COLUMNS = ["proposed_by", "target_id", "required_votes", "created_at", "deadline", "status"]
 
@@ -23,6 +23,12 @@ def until(df: DataFrame, as_of: Column | None, column: str = "created_at") -> Da
     return df if as_of is None else df.where(F.col(column) <= as_of)
 
 
+def commands_on(commands: DataFrame, proposals: DataFrame) -> DataFrame:
+    """The commands on a selection of proposals, found without a shuffle when it is small."""
+    chosen = proposals.select(F.col("id").alias("proposal_id"))
+    return commands.join(broadcast_if_small(chosen), "proposal_id", "left_semi")
+
+
 def under_first_rules(proposals: DataFrame) -> DataFrame:
     """The same proposals under the rules before group voting."""
     return proposals.withColumns({
@@ -275,6 +281,6 @@ def voters_by_proposal(decided: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "accepted_votes", "approval_moments", "classify_votes", "classify_withdrawals", "decisions",
+    "accepted_votes", "approval_moments", "classify_votes", "classify_withdrawals", "commands_on", "decisions",
     "heavy_proposals", "resolve_proposals", "under_first_rules", "until", "vote_receipts", "voters_by_proposal",
 ]

@@ -32,11 +32,21 @@ def feed_cutoff(
     ``limit`` of those bound the feed.  Votes before that instant cannot matter
     to it, which spares the feed the whole log.  None: take everything.
     """
-    kept = proposals.where((F.col("created_at") <= as_of) & (F.col("status") != "withdrawn"))
-    safe = kept.join(withdrawals.select(F.col("proposal_id").alias("id")), "id", "left_anti")
-    newest = safe.select("created_at", "id").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-    row = newest.agg(F.count("*").alias("n"), F.min(F.unix_micros("created_at")).alias("cutoff")).first()
-    return F.timestamp_micros(F.lit(row["cutoff"])) if row["n"] == limit else None
+    kept = proposals.where((F.col("created_at") <= as_of) & (F.col("status") != "withdrawn")).select("created_at", "id")
+    undone = withdrawals.select(F.col("proposal_id").alias("id"))
+    order = [F.desc("created_at"), F.desc("id")]
+    # Some more than needed are nearly always enough; if not, look at all.
+    for candidates in (kept.orderBy(*order).limit(4 * limit), kept):
+        safe = candidates.join(undone, "id", "left_anti").orderBy(*order).limit(limit)
+        row = safe.agg(F.count("*").alias("n"), F.min(F.unix_micros("created_at")).alias("cutoff")).first()
+        if row["n"] == limit:
+            return F.timestamp_micros(F.lit(row["cutoff"]))
+    return None
+
+
+def concerning(proposals: DataFrame, player_id) -> DataFrame:
+    """Proposals that can end up in the history of one player."""
+    return proposals.where((F.col("target_id") == player_id) | (F.col("proposed_by") == player_id))
 
 
 def since(df: DataFrame, cutoff: Column | None) -> DataFrame:

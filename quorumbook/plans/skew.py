@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 4_000_000
 MAX_HEAVY = 1024
+BROADCAST_ROWS = 500_000
 _TRACKED = 8192
 _MERGE_GROUPS = 64
 
@@ -46,6 +47,11 @@ def is_heavy(key: Column, heavy: Sequence) -> Column:
     return F.coalesce(key.isin(list(heavy)), F.lit(False))
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when a count shows that the rows fit; otherwise leave the plan to Spark."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def order_bounds(df: DataFrame, column: str, pieces: int) -> list[int]:
     """Distinct boundaries that cut ``df`` into about equal ranges of ``column``."""
     shares = [i / pieces for i in range(1, pieces)]

@@ -13,13 +13,14 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quorumbook.operators.ballots import heavy_proposals, resolve_proposals
-from quorumbook.operators.scores import leaderboard, score_events
 from quorumbook.functions.rules import derived_status
+from quorumbook.operators.ballots import heavy_proposals, resolve_proposals
+from quorumbook.operators.scores import leaderboard, plan_stretches, player_sums, score_events
+from quorumbook.plans.skew import heavy_keys
 
 COMMANDS = (
     "kind string, id bigint, proposal_id bigint, actor_id bigint, target_id bigint, amount smallint, "
@@ -109,12 +110,7 @@ def _new_totals(folder: LedgerFolder, batch: int, events: DataFrame) -> DataFram
     From a total s the events lead to S + max(s, -M), with S their sum and M
     their lowest prefix sum.
     """
-    run = Window.partitionBy("player_id").orderBy("event_at", "proposal_id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    change = events.withColumn("run", F.sum("delta").over(run)).groupBy("player_id").agg(
-        F.sum("delta").alias("sum"), F.min("run").alias("low")
-    )
+    change = player_sums(events, plan_stretches(events, heavy_keys(events, "player_id")))
     if batch == 0:
         before = folder.spark.createDataFrame([], "player_id bigint, total int")
     else:
