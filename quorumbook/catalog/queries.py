@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumbook.functions.text import digits_prefix, first_match_class, length_ok, name_initial
+from quorumbook.functions.text import (
+    code_format_ok, digits_prefix, first_match_class, length_ok, name_initial, number_or,
+)
 from quorumbook.functions.timing import duration_parts
 from quorumbook.operators import audit, ballots, claims, codes, feeds, scores
 from quorumbook.operators import players as people
@@ -20,6 +22,7 @@ from quorumbook.sources.fixtures import (
 )
 from quorumbook.sources.schemas import TEST_TABLES
 from quorumbook.sources.tables import follow_table
+from quorumbook.sources.views import register_views
 from quorumbook.streaming.ledger import LedgerFolder, command_stream, start_ledger, stream_board
 from quorumbook.streaming.matching import match_votes
 from quorumbook.streaming.sinks import drain
@@ -185,6 +188,20 @@ def status_view(fx):
     return st.status_view(stored, ballots.accepted_votes(decided), fx.as_of)
 
 
+@query
+def sql_over_views(fx):
+    """A statement over the registered views: open and decided cases of the players with points."""
+    stored = st.backfill_legacy(fx.stored_proposals, fx.as_of)
+    votes = ballots.accepted_votes(ballots.decisions(
+        fx.proposals, fx.votes, fx.withdrawals, fx.players, fx.as_of, ballots.heavy_proposals(fx.votes)
+    ))
+    register_views(fx.players, stored, votes, fx.as_of, prefix="ledger_")
+    return fx.spark.sql("""
+        select l.id, l.display_name, l.total, count(s.id) as cases, count_if(s.status = 'open') as open_cases
+        from ledger_leaderboard l left join ledger_proposal_status s on s.target_id = l.id
+        where l.total > 0 group by l.id, l.display_name, l.total""")
+
+
 @query
 def status_summary(fx):
     return st.status_summary(_status(fx))
@@ -423,6 +440,12 @@ def claim_resolution(fx):
     return claims.resolve_claims(fx.claim_attempts, fx.unclaimed_players)
 
 
+@query
+def claim_receipts_json(fx):
+    resolved = claims.resolve_claims(fx.claim_attempts, fx.unclaimed_players)
+    return claims.claim_receipts(resolved, fx.players)
+
+
 def _codes(fx: Fixtures) -> DataFrame:
     width = codes.code_width(fx.players.where("is_active").count())
     return codes.assign_codes(fx.players, CODE_SEED, width)
@@ -521,6 +544,15 @@ TEXT_CLASSES = [
 ]
 
 
+@query
+def code_format(fx):
+    """Codes as typed into a two-digit field, from the digits of a text."""
+    code = digits_prefix(F.col("props"))
+    return fx.raw("events").select(
+        "event_id", code.alias("code"), code_format_ok(code).alias("is_ok"), number_or(code, 1).alias("number")
+    )
+
+
 @query
 def text_class(fx):
     return fx.raw("documents").select("doc_id", first_match_class(F.col("text"), TEXT_CLASSES).alias("class"))

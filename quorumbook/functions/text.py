@@ -29,6 +29,11 @@ def digits_prefix(text: Column, size: int = 2) -> Column:
     return F.substring(F.regexp_replace(text, "[^0-9]", ""), 1, size)
 
 
+def number_or(text: Column, default: int) -> Column:
+    """The text as an integer; zero, nothing or no number give the default."""
+    return F.coalesce(F.nullif(text.try_cast("int"), F.lit(0)), F.lit(default))
+
+
 def name_initial(name: Column) -> Column:
     return F.upper(F.substring(name, 1, 1))
 

@@ -231,6 +231,10 @@ def classify_votes(
     return _classify_votes(cold, _facts(rules, decided)).unionByName(_classify_votes(hot, hot_facts))
 
 
+# The name by which older callers cast a vote.
+second_proposals = classify_votes
+
+
 def classify_withdrawals(
     proposals: DataFrame,
     votes: DataFrame,
@@ -282,5 +286,5 @@ def voters_by_proposal(decided: DataFrame) -> DataFrame:
 
 __all__ = [
     "accepted_votes", "approval_moments", "classify_votes", "classify_withdrawals", "commands_on", "decisions",
-    "heavy_proposals", "resolve_proposals", "under_first_rules", "until", "vote_receipts", "voters_by_proposal",
+    "heavy_proposals", "resolve_proposals", "second_proposals", "under_first_rules", "until", "vote_receipts", "voters_by_proposal",
 ]

@@ -313,3 +313,15 @@ def resolve_claims(attempts: DataFrame, players: DataFrame) -> DataFrame:
 def claimed_players(resolved: DataFrame) -> DataFrame:
     """The bindings made: one row per claimed player."""
     return resolved.where("outcome = 'ok'").select("player_id", "device_id", "seq")
+
+
+def claim_receipts(resolved: DataFrame, players: DataFrame) -> DataFrame:
+    """The reply to each claim as JSON text, with the bound player nested in it."""
+    names = players.select(F.col("id").alias("player_id"), "display_name")
+    return resolved.join(names, "player_id", "left").selectExpr(
+        "device_id", "seq",
+        """case when outcome in ('ok', 'already_bound_here') then
+            to_json(named_struct('ok', true, 'player', named_struct('id', player_id, 'display_name', display_name)))
+        else to_json(named_struct('ok', false, 'error',
+            if(outcome = 'locked_now', 'temporarily_blocked', outcome))) end as receipt""",
+    )

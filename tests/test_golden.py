@@ -166,6 +166,24 @@ def test_accepted_commands_are_appended_and_returned(spark, tmp_path):
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "proposals")).collect()] == [1]
 
 
+def test_inline_players_and_views(spark):
+    from quorumbook.sources.tables import inline_players
+    from quorumbook.sources.views import register_views
+
+    players = inline_players(spark, ["Ann", "Ben", "Cas"]).withColumn("created_at", F.lit(model.at(0)))
+    cases = frames.proposals(spark, {1: case(amount=3, needed=8)})
+    names = register_views(players, cases, frames.votes(spark, [(1, 1, 3, 5)]), prefix="t_")
+    assert names == ["t_players", "t_votes", "t_proposal_status", "t_leaderboard"]
+    got = spark.sql("select l.display_name, l.total, s.status, s.vote_count from t_leaderboard l "
+                    "join t_proposal_status s on s.proposed_by = l.id").collect()
+    assert [tuple(r) for r in got] == [("Ann", 3, "failed", 1)]
+
+
+def test_numbers_with_a_default(spark):
+    df = spark.createDataFrame([("7",), ("0",), ("x",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.number_or(F.col("t"), 1)).collect()] == [7, 1, 1, 1, 1]
+
+
 def test_g19_code_format(spark):
     df = spark.createDataFrame([("42",), ("42\n",), (" 42 ",), ("4",), ("٤٢",), (None,)], "code string")
     assert [r[0] for r in df.select(text.code_format_ok(F.col("code"))).collect()] == [

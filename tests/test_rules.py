@@ -55,6 +55,15 @@ def test_status_and_totals(log):
     assert {r["player_id"]: r["total"] for r in scores.player_totals(events, cuts).collect()} == last
 
 
+def test_heavy_players_are_cut_from_a_stored_copy(log):
+    proposals, tables, heavy, (_, _, state) = log
+    status = with_derived_status(ballots.resolve_proposals(*tables, now(), heavy), now())
+    events, cuts = scores.prepared_events(status, tables[0], rows_per_task=6)
+    assert cuts.players
+    assert {r["player_id"]: r["total"] for r in scores.player_totals(events, cuts).collect()} == model.totals(
+        proposals, state)[1]
+
+
 def test_votes_never_exceed_threshold(log):
     _, tables, heavy, _ = log
     resolved = ballots.resolve_proposals(*tables, now(), heavy)

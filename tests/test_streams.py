@@ -54,6 +54,7 @@ def test_ledger_stream_equals_batch(spark, ledger):
     columns = ["id", "status", "vote_count", "approved_by", "approved_at"]
     want = sorted(map(str, status.where("status <> 'open'").select(*columns).collect()))
     assert sorted(map(str, folder.outcomes().select(*columns).collect())) == want
+    assert folder.outcomes().groupBy("id").count().where("count > 1").isEmpty()
     events = scores.score_events(status)
     assert sorted(map(str, folder.events().collect())) == sorted(map(str, events.collect()))
     board = scores.leaderboard(tables[3], scores.player_totals(events))
