@@ -12,7 +12,7 @@ from quorumbook.functions.text import (
     code_format_ok, digits_prefix, first_match_class, length_ok, name_initial, number_or,
 )
 from quorumbook.functions.timing import duration_parts
-from quorumbook.operators import audit, ballots, claims, codes, feeds, scores
+from quorumbook.operators import audit, ballots, claims, codes, feeds, scores, throttle
 from quorumbook.operators import players as people
 from quorumbook.operators import proposals as admission
 from quorumbook.operators import status as st
@@ -432,7 +432,7 @@ def backfill_amount(fx):
 @query
 def claim_throttle(fx):
     attempts = fx.claim_attempts
-    return claims.claim_throttle(attempts, claims.heavy_devices(attempts))
+    return throttle.claim_throttle(attempts, throttle.heavy_devices(attempts))
 
 
 @query

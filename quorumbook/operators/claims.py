@@ -1,139 +1,17 @@
-"""Binding devices to players: the wrong-code throttle and who ends up bound.
-
-The throttle is an ordered walk over one device's attempts with three numbers of
-state.  Spark shuffles by device and sorts; the walk streams through the sorted
-partition, never holding a device's attempts together, and passes over blocked
-stretches in bulk.
-"""
+"""Claim attempts replayed: who ends up bound to which player."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumbook.functions.rules import MAX_WRONG_CODES, THROTTLE_SECONDS
-from quorumbook.plans.skew import ROWS_PER_TASK, heavy_keys, is_heavy
+from quorumbook.operators.throttle import Throttle
 from quorumbook.plans.workspace import materialize
 
-_SPAN = THROTTLE_SECONDS * 1_000_000
-_OUTCOMES = np.array(["invalid_code_format", "temporarily_blocked", "invalid_code", "locked_now", "ok"], dtype=object)
-_MALFORMED, _BLOCKED, _WRONG, _LOCKED, _OK = range(5)
-
-
-class Throttle:
-    """Wrong-code counter of one device."""
-
-    __slots__ = ("attempts", "started", "blocked_until")
-
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.attempts, self.started, self.blocked_until = 0, None, None
-
-    def blocks(self, now: int) -> bool:
-        return self.blocked_until is not None and self.blocked_until > now
-
-    def wrong(self, now: int) -> bool:
-        """Count a wrong code; true when it locks the device."""
-        if self.started is None or self.started < now - _SPAN:
-            self.attempts, self.started = 1, now
-        else:
-            self.attempts += 1
-        locked = self.attempts >= MAX_WRONG_CODES
-        self.blocked_until = now + _SPAN if locked else None
-        return locked
-
-
-def _walk_throttle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, state = None, Throttle()
-    for batch in batches:
-        size = len(batch)
-        if not size:
-            continue
-        device, run, at = (batch[c].to_numpy() for c in ("device_id", "run", "at"))
-        well_formed, right = batch["format_ok"].to_numpy(dtype=bool), batch["code_ok"].to_numpy(dtype=bool)
-        changes = np.flatnonzero((device[1:] != device[:-1]) | (run[1:] != run[:-1])) + 1
-        starts = np.concatenate(([0], changes, [size]))
-        outcome = np.full(size, _BLOCKED, dtype=np.int8)
-        left = np.full(size, -1, dtype=np.int32)
-        for first, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            here = (device[first], run[first])
-            if here != key:
-                key = here
-                state.clear()
-            i = first
-            while i < end:
-                now = int(at[i])
-                if state.blocks(now):
-                    i += int(np.searchsorted(at[i:end], state.blocked_until, side="left"))
-                    continue
-                if not well_formed[i]:
-                    outcome[i] = _MALFORMED
-                elif right[i]:
-                    outcome[i] = _OK
-                    state.clear()
-                elif state.wrong(now):
-                    outcome[i] = _LOCKED
-                else:
-                    outcome[i], left[i] = _WRONG, MAX_WRONG_CODES - state.attempts
-                i += 1
-        yield pd.DataFrame({
-            "device_id": device, "seq": batch["seq"].to_numpy(), "at": at,
-            "outcome": _OUTCOMES[outcome], "attempts_left": left,
-        })
-
-
-def _runs(rows: DataFrame) -> DataFrame:
-    """Number each device's runs of attempts without a pause longer than the window.
-
-    After such a pause the counter is as good as empty, so runs are independent.
-    Only the first and last attempt per window-wide cell of time are compared:
-    inside a cell there is no such pause.
-    """
-    celled = rows.withColumn("cell", F.expr(f"at div {_SPAN}"))
-    cells = celled.groupBy("device_id", "cell").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    order = Window.partitionBy("device_id").orderBy("cell")
-    paused = F.coalesce((F.col("low") - F.lag("high").over(order)) > _SPAN, F.lit(False))
-    numbered = cells.withColumn("pause", paused.cast("bigint")).select(
-        "device_id", "cell",
-        F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("run"),
-    )
-    return celled.drop("run").join(numbered, ["device_id", "cell"]).drop("cell")
-
-
-def heavy_devices(attempts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> list:
-    return heavy_keys(attempts, "device_id", rows_per_task)
-
-
-def claim_throttle(attempts: DataFrame, heavy: Sequence = ()) -> DataFrame:
-    """Outcome of every code attempt by the throttle alone; a right code clears the counter.
-
-    The attempts of heavy devices are cut at pauses and spread by run.
-    """
-    rows = attempts.select(
-        "device_id", "seq", F.unix_micros("ts").alias("at"), "format_ok", "code_ok", F.lit(0).cast("bigint").alias("run")
-    )
-    if heavy:
-        hot = is_heavy(F.col("device_id"), heavy)
-        rows = rows.where(~hot).unionByName(_runs(rows.where(hot)))
-    spread = rows.repartition("device_id", "run").sortWithinPartitions("device_id", "run", "at", "seq")
-    walked = spread.mapInPandas(
-        _walk_throttle, "device_id bigint, seq bigint, at bigint, outcome string, attempts_left int"
-    )
-    return walked.selectExpr(
-        "device_id", "seq", "timestamp_micros(at) as ts", "outcome",
-        "if(attempts_left < 0, null, attempts_left) as attempts_left",
-        "case when outcome = 'invalid_code' then concat('attempts left: ', cast(attempts_left as string)) end as detail",
-    )
-
-
-# Who ends up bound ------------------------------------------------------------
-
 _RESULTS = np.array([
     "already_bound_here", "device_already_bound", "player_not_found", "player_already_claimed",
     "temporarily_blocked", "code_not_configured", "invalid_code_format", "invalid_code", "locked_now", "ok",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quorumbook.functions.rules import MAX_WRONG_CODES
-from quorumbook.operators.claims import _SPAN, Throttle
+from quorumbook.operators.throttle import SPAN, Throttle
 
 RESULT = "device_id bigint, seq bigint, at bigint, outcome string, attempts_left int"
 _STATE = "attempts int, started bigint, blocked_until bigint"
@@ -26,9 +26,7 @@ class ThrottleProcessor(StatefulProcessor):
         throttle = Throttle()
         stored = self._state.get()
         if stored is not None:
-            throttle.attempts = stored[0]
-            throttle.started = None if stored[1] < 0 else stored[1]
-            throttle.blocked_until = None if stored[2] < 0 else stored[2]
+            throttle.load(stored)
         batch = pd.concat(list(rows)).sort_values(["at", "seq"])
         outcomes, left = [], []
         for at, well_formed, right in zip(batch["at"].tolist(), batch["format_ok"].tolist(), batch["code_ok"].tolist()):
@@ -58,10 +56,9 @@ class ThrottleProcessor(StatefulProcessor):
         if throttle.started is None:
             self._state.clear()
             return
-        blocked = throttle.blocked_until
-        self._state.update((throttle.attempts, throttle.started, -1 if blocked is None else blocked))
+        self._state.update(throttle.state())
         # Both the window and the block are over strictly after this instant.
-        over = max(throttle.started + _SPAN, blocked or 0)
+        over = max(throttle.started + SPAN, throttle.blocked_until or 0)
         self._handle.registerTimer(over // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

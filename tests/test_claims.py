@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
-from quorumbook.operators import claims
+from quorumbook.operators import claims, throttle
 from quorumbook.operators.codes import apply_codes, assign_codes
 from quorumbook.sources.fixtures import Fixtures
 from conftest import SMALL
@@ -19,27 +19,40 @@ def frame(spark, rows):
         .withColumn("ts", F.timestamp_micros("at")).drop("at")
 
 
-def random_attempts(seed, hot=False):
+def random_attempts(seed, hot=False, busy=1.0, right=0.05):
+    """Attempts over five hours; a busy log keeps devices locked all the time."""
     rng = random.Random(seed)
     rows = []
-    for seq in range(600):
+    for seq in range(int(600 * busy)):
         device = 0 if hot and rng.random() < 0.5 else rng.randrange(1, 8)
         now = rng.choice([rng.randrange(0, 300 * MINUTE), rng.randrange(300) * MINUTE])
-        rows.append((device, seq, now, rng.random() > 0.15, rng.random() < 0.05))
+        rows.append((device, seq, now, rng.random() > 0.15, rng.random() < right))
     return rows
 
 
-@pytest.mark.parametrize("seed, heavy", [(1, ()), (2, (0,)), (3, (0, 4))])
-def test_throttle(spark, seed, heavy):
-    rows = random_attempts(seed, hot=bool(heavy))
-    got = {r["seq"]: r["outcome"] for r in claims.claim_throttle(frame(spark, rows), heavy).collect()}
-    assert got == model.throttle(rows)
+@pytest.mark.parametrize("seed, heavy, busy, right", [
+    (1, (), 1, 0.05), (2, (0,), 1, 0.05), (3, (0, 4), 1, 0.05), (4, (0, 1, 2), 0.1, 0), (5, (0, 5), 4, 0),
+    (6, (0, 5), 4, 0.3), (7, tuple(range(8)), 0.3, 0.1),
+])
+def test_throttle(spark, seed, heavy, busy, right):
+    rows = random_attempts(seed, bool(heavy), busy, right)
+    got = throttle.claim_throttle(frame(spark, rows), heavy, rows_per_task=10).collect()
+    assert {r["seq"]: r["outcome"] for r in got} == model.throttle(rows)
+    assert len(got) == len(rows)
+
+
+def test_chunks_of_one_device_at_shared_instants(spark):
+    rng = random.Random(9)
+    # Everything on quarter hours: five at one instant lock again when the block ends.
+    rows = [(0, seq, rng.randrange(40) * 15 * MINUTE, True, rng.random() < 0.02) for seq in range(500)]
+    got = throttle.claim_throttle(frame(spark, rows), (0,), rows_per_task=10).collect()
+    assert {r["seq"]: r["outcome"] for r in got} == model.throttle(rows)
 
 
 def outcomes(spark, minutes, well_formed=None):
     rows = [(1, i, int(m * MINUTE), True if well_formed is None else well_formed[i], False)
             for i, m in enumerate(minutes)]
-    return [r["outcome"] for r in claims.claim_throttle(frame(spark, rows)).orderBy("seq").collect()]
+    return [r["outcome"] for r in throttle.claim_throttle(frame(spark, rows)).orderBy("seq").collect()]
 
 
 def test_fifth_wrong_code_locks_for_fifteen_minutes(spark):
@@ -49,7 +62,7 @@ def test_fifth_wrong_code_locks_for_fifteen_minutes(spark):
 
 def test_window_edge_still_counts(spark):
     rows = [(1, 0, 0, True, False), (1, 1, 15 * MINUTE, True, False)]
-    got = claims.claim_throttle(frame(spark, rows)).orderBy("seq").collect()
+    got = throttle.claim_throttle(frame(spark, rows)).orderBy("seq").collect()
     assert [r["attempts_left"] for r in got] == [4, 3]
 
 

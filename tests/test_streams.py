@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import frames
 import model
-from quorumbook.operators import ballots, claims, scores
+from quorumbook.operators import ballots, scores, throttle
 from quorumbook.operators.status import with_derived_status
 from quorumbook.plans.workspace import fresh_path
 from quorumbook.sources import schemas
@@ -98,7 +98,7 @@ def test_throttle_stream_equals_batch(spark):
     write_slices(attempts, folder, [0, 3000, 6000, 20000], "ts")
     stream = follow_table(spark, folder, schemas.CLAIM_ATTEMPTS, files_per_trigger=1)
     got = {r["seq"]: r["outcome"] for r in drain(stream_throttle(stream), "throttle-test").collect()}
-    want = {r["seq"]: r["outcome"] for r in claims.claim_throttle(attempts).collect()}
+    want = {r["seq"]: r["outcome"] for r in throttle.claim_throttle(attempts).collect()}
     assert got == want
 
 
