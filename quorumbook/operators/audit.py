@@ -83,9 +83,15 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.where(present).groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
 
 
-def orphan_keys(df: DataFrame, key: str, parents: DataFrame, parent: str = "id") -> DataFrame:
-    """References without a parent row, with the number of rows that hold them."""
-    held = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+def orphan_keys(
+    df: DataFrame, key: str, parents: DataFrame, parent: str = "id", rows: Column | None = None
+) -> DataFrame:
+    """References without a parent row, with the number of rows that hold them.
+
+    ``rows`` sums up a count when the input is counted already.
+    """
+    counted = F.count("*") if rows is None else F.sum(rows)
+    held = df.where(F.col(key).isNotNull()).groupBy(key).agg(counted.alias("rows"))
     return held.join(parents.select(F.col(parent).alias(key)), key, "left_anti")
 
 
@@ -105,6 +111,8 @@ def audit_summary(players: DataFrame, proposals: DataFrame, votes: DataFrame) ->
 
     Uniqueness rules count the keys that repeat, reference rules the rows that dangle.
     """
+    # The votes are counted per pair once; three rules read that shuffle.
+    pairs = votes.groupBy("proposal_id", "voter_id").agg(F.count("*").alias("rows"))
     parts = [
         _rule_counts(players, player_rules()),
         _rule_counts(proposals, proposal_rules()),
@@ -114,15 +122,16 @@ def audit_summary(players: DataFrame, proposals: DataFrame, votes: DataFrame) ->
         _one_count("player_key_unique", repeated_keys(players, "id")),
         _one_count("proposal_key_unique", repeated_keys(proposals, "id")),
         _one_count("vote_key_unique", repeated_keys(votes, "id")),
-        _one_count("vote_once_per_proposal", repeated_keys(votes, "proposal_id", "voter_id")),
+        _one_count("vote_once_per_proposal", pairs.where("rows > 1 and proposal_id is not null and voter_id is not null")),
     ]
     references = [
         ("proposal_target_exists", proposals, "target_id", players),
         ("proposal_proposer_exists", proposals, "proposed_by", players),
         ("proposal_approver_exists", proposals, "approved_by", players),
-        ("vote_proposal_exists", votes, "proposal_id", proposals),
-        ("vote_voter_exists", votes, "voter_id", players),
+        ("vote_proposal_exists", pairs, "proposal_id", proposals),
+        ("vote_voter_exists", pairs, "voter_id", players),
     ]
     for rule, rows, key, parents in references:
-        parts.append(_one_count(rule, orphan_keys(rows, key, parents), F.col("rows")))
+        counted = F.col("rows") if rows is pairs else None
+        parts.append(_one_count(rule, orphan_keys(rows, key, parents, rows=counted), F.col("rows")))
     return reduce(DataFrame.unionByName, [p.withColumn("violations", F.col("violations").cast("bigint")) for p in parts])

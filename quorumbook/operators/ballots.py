@@ -59,13 +59,24 @@ _VALID = """_status = 'pending' and created_at >= _created_at and coalesce(creat
 _RANK_LIMIT = MAX_REQUIRED_VOTES + 1
 
 
-def _decide(commands: DataFrame, rules: DataFrame, track_ids: bool) -> DataFrame:
-    """One row per proposal that received a valid command."""
-    valid = commands.join(rules, "proposal_id").where(_VALID)
+def _decide(commands: DataFrame, rules: DataFrame, track_ids: bool, flagged: bool = False) -> DataFrame:
+    """One row per proposal that received a valid command.
+
+    ``flagged`` commands still hold those of inactive players.  They are left
+    out inside the aggregate, not by a filter: Spark would move a filter below
+    the shuffle, and the shuffle could no longer serve the caller's second use.
+    """
     first = "min(struct(created_at, id))" if track_ids else "min(created_at)"
+    if flagged:
+        valid = commands.join(rules, "proposal_id", "left")
+        first += f" filter (where _active and {_VALID})"
+    else:
+        valid = commands.join(rules, "proposal_id").where(_VALID)
     firsts = valid.groupBy("proposal_id", "is_vote", "actor_id").agg(
         F.expr(first).alias("first"), F.min("_required_votes").alias("required_votes")
     )
+    if flagged:
+        firsts = firsts.where("first is not null")
     if track_ids:
         firsts = firsts.selectExpr(
             "proposal_id", "is_vote", "actor_id", "required_votes", "first.created_at as first", "first.id as id"
@@ -107,6 +118,10 @@ def _decide(commands: DataFrame, rules: DataFrame, track_ids: bool) -> DataFrame
     return tally.withColumn("undone", F.expr(undone)).selectExpr(*columns)
 
 
+def _flagged(votes: DataFrame, withdrawals: DataFrame | None, players: DataFrame, as_of: Column | None) -> DataFrame:
+    return with_active_flag(until(_commands(votes, withdrawals), as_of), players, "actor_id", "_active")
+
+
 def _split(df: DataFrame, heavy: Sequence) -> tuple[DataFrame, DataFrame]:
     hit = is_heavy(F.col("proposal_id"), heavy)
     return df.where(~hit), df.where(hit)
@@ -127,9 +142,7 @@ def decisions(
     ``track_ids`` the row also names the deciding commands and lists the accepted
     votes in order (``accepted``, at most eight).
     """
-    rows = with_active_flag(
-        until(_commands(votes, withdrawals), as_of), players, "actor_id", "_active"
-    ).where("_active").drop("_active")
+    rows = _flagged(votes, withdrawals, players, as_of).where("_active").drop("_active")
     rules = _rules(proposals)
     if not heavy:
         # One shuffle of the log; all that follows keeps this partitioning.
@@ -176,30 +189,31 @@ def accepted_votes(decided: DataFrame) -> DataFrame:
     )
 
 
-def _facts(rules: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rules and decision of each proposal side by side."""
-    return rules.join(decided, "proposal_id", "left").withColumn("_found", F.lit(True))
-
-
 _VOTE_OUTCOME = """case
+    when not is_vote then null
     when not _active then 'no_identity'
     when _found is null or created_at < _created_at then 'not_found'
     when _status <> 'pending' or withdrawn_at <= created_at
-        or approved_at is not null and struct(created_at, voter_id, id) > struct(approved_at, approved_by, approval_id) then 'already_decided'
+        or approved_at is not null and struct(created_at, actor_id, id) > struct(approved_at, approved_by, approval_id)
+        then 'already_decided'
     when created_at > _deadline then 'past_deadline'
-    when voter_id = _proposed_by or voter_id = _target_id then 'not_eligible'
+    when actor_id = _proposed_by or actor_id = _target_id then 'not_eligible'
     when coalesce(_position, 0) > 0 then 'accepted'
     else 'duplicate' end"""
 
 
-def _classify_votes(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    facts = facts.withColumn("_ids", F.expr("transform(accepted, v -> v.id)")).drop("accepted", "vote_count")
+def _classify_votes(rows: DataFrame, rules: DataFrame, decided: DataFrame, small: bool = False) -> DataFrame:
+    rules = rules.withColumn("_found", F.lit(True))
+    decided = decided.withColumn("_ids", F.expr("transform(accepted, v -> v.id)")).drop("accepted", "vote_count")
+    if small:
+        rules, decided = F.broadcast(rules), F.broadcast(decided)
     return (
-        rows.join(facts, "proposal_id", "left")
+        rows.join(rules, "proposal_id", "left").join(decided, "proposal_id", "left")
         .withColumn("_position", F.expr("cast(array_position(_ids, id) as int)"))
         .withColumn("outcome", F.expr(_VOTE_OUTCOME))
+        .where("outcome is not null")
         .selectExpr(
-            "id", "proposal_id", "voter_id", "created_at", "outcome",
+            "id", "proposal_id", "actor_id as voter_id", "created_at", "outcome",
             "if(outcome = 'accepted', _position, null) as vote_count",
             "if(outcome = 'accepted', _required_votes, null) as required_votes",
             "if(outcome = 'accepted', if(_position = _required_votes, 'approved', 'open'), null) as status",
@@ -218,17 +232,27 @@ def classify_votes(
     """Each vote accepted, or refused with the first failing rule.
 
     Accepted votes also tell the count they led to and the resulting status.
+    The log is used twice, to decide and to judge each vote by the decision;
+    both uses read one shuffle.
     """
-    made = until(proposals, as_of)
-    decided = decisions(made, votes, withdrawals, players, as_of, heavy)
-    rows = with_active_flag(until(votes, as_of), players, "voter_id", "_active")
-    rules = _rules(made)
-    if not heavy:
-        return _classify_votes(rows, _facts(rules, decided))
-    cold, hot = _split(rows, heavy)
+    rules = _rules(until(proposals, as_of))
+    everything = _flagged(votes, withdrawals, players, as_of)
+    # Votes that name no proposal need no lookup; without them both uses of the
+    # log have the same filter, which joins on the key would add to one of them.
+    rows = everything.where("proposal_id is not null")
+    nameless = everything.where("proposal_id is null and is_vote").selectExpr(
+        "id", "proposal_id", "actor_id as voter_id", "created_at", "if(_active, 'not_found', 'no_identity') as outcome",
+        "cast(null as int) as vote_count", "cast(null as smallint) as required_votes", "cast(null as string) as status",
+    )
+    cold, hot = _split(rows, heavy) if heavy else (rows, None)
+    cold = cold.repartition("proposal_id")
+    judged = _classify_votes(cold, rules, _decide(cold, rules, True, flagged=True)).unionByName(nameless)
+    if hot is None:
+        return judged
     # Bounded by the number of heavy keys, each with at most eight accepted votes.
-    hot_facts = F.broadcast(_facts(_split(rules, heavy)[1], _split(decided, heavy)[1]))
-    return _classify_votes(cold, _facts(rules, decided)).unionByName(_classify_votes(hot, hot_facts))
+    hot_rules = _split(rules, heavy)[1]
+    hot_decided = _decide(hot.where("_active"), F.broadcast(hot_rules), True)
+    return judged.unionByName(_classify_votes(hot, hot_rules, hot_decided, small=True))
 
 
 # The name by which older callers cast a vote.

@@ -10,10 +10,9 @@ shared folder; a batch that is run again overwrites its own output.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,9 +32,10 @@ OUTCOMES = (
 EVENTS = "player_id bigint, delta int, event_at timestamp, proposal_id bigint"
 TOTALS = "player_id bigint, total int, version bigint"
 REJECTS = "kind string, id bigint, proposal_id bigint, actor_id bigint, created_at timestamp, reason string"
-CLOCK = "watermark timestamp"
+CLOCK = "watermark bigint"
 
 _COMPACT_EVERY = 50
+_BEGINNING = -(2**62)
 
 
 def command_stream(proposals: DataFrame, votes: DataFrame, withdrawals: DataFrame) -> DataFrame:
@@ -91,7 +91,11 @@ def _versions(batch: int) -> list[int]:
     return list(range(batch - batch % _COMPACT_EVERY, batch + 1))
 
 
-def _decide(commands: DataFrame, players: DataFrame, watermark) -> DataFrame:
+def _instant(micros: int) -> Column:
+    return F.timestamp_micros(F.lit(micros).cast("bigint"))
+
+
+def _decide(commands: DataFrame, players: DataFrame, watermark: Column) -> DataFrame:
     """Status of every known proposal when the watermark passes."""
     proposals = commands.where("kind = 'propose'").selectExpr(
         "id", "target_id", "actor_id as proposed_by", "amount", "proposal_type", "required_votes", "created_at",
@@ -100,8 +104,8 @@ def _decide(commands: DataFrame, players: DataFrame, watermark) -> DataFrame:
     )
     votes = commands.where("kind = 'vote'").selectExpr("id", "proposal_id", "actor_id as voter_id", "created_at")
     undone = commands.where("kind = 'withdraw'").select("id", "proposal_id", "actor_id", "created_at")
-    resolved = resolve_proposals(proposals, votes, undone, players, F.lit(watermark), heavy_proposals(votes))
-    return resolved.withColumn("status", derived_status(F.col("status"), F.col("deadline"), F.lit(watermark)))
+    resolved = resolve_proposals(proposals, votes, undone, players, watermark, heavy_proposals(votes))
+    return resolved.withColumn("status", derived_status(F.col("status"), F.col("deadline"), watermark))
 
 
 def _new_totals(folder: LedgerFolder, batch: int, events: DataFrame) -> DataFrame:
@@ -127,16 +131,16 @@ def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int):
     def run(new: DataFrame, batch: int) -> None:
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            top = new.agg(F.max("created_at") - F.expr(f"interval {delay_seconds} seconds")).first()[0]
-            before = datetime(1970, 1, 1)
+            newest = new.agg(F.max(F.unix_micros("created_at"))).first()[0]
+            before = _BEGINNING
             on_time = new
             if batch > 0:
                 before = folder.read("clock", batch - 1, CLOCK).first()[0]
-                on_time = new.where(F.col("created_at") > F.lit(before)).unionByName(
+                on_time = new.where(F.col("created_at") > _instant(before)).unionByName(
                     folder.read("carried", batch - 1, COMMANDS)
                 )
-            watermark = max(before, top) if top else before
-            status = _decide(on_time, players, watermark)
+            watermark = before if newest is None else max(before, newest - delay_seconds * 1_000_000)
+            status = _decide(on_time, players, _instant(watermark))
             folder.write("status", batch, status.select(*[c.split(" ")[0] for c in OUTCOMES.split(", ")]))
             status = folder.read("status", batch, OUTCOMES)
             decided = status.where("status <> 'open'")
@@ -145,10 +149,10 @@ def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int):
             folder.write("totals", batch, _new_totals(folder, batch, folder.read("events", batch, EVENTS)))
             open_ids = status.where("status = 'open'").selectExpr("id as proposal_id", "true as is_open")
             known = on_time.join(open_ids, "proposal_id", "left").withColumn(
-                "keep", F.coalesce(F.col("is_open"), F.lit(False)) | (F.col("created_at") > F.lit(watermark))
+                "keep", F.coalesce(F.col("is_open"), F.lit(False)) | (F.col("created_at") > _instant(watermark))
             )
             folder.write("carried", batch, known.where("keep").drop("keep", "is_open"))
-            late = new.where(F.col("created_at") <= F.lit(before)).withColumn("reason", F.lit("late"))
+            late = new.where(F.col("created_at") <= _instant(before)).withColumn("reason", F.lit("late"))
             # What remains belongs to a proposal decided earlier, or to none.
             here = status.selectExpr("id as proposal_id")
             stray = known.where("not keep").drop("keep", "is_open").join(here, "proposal_id", "left_anti").withColumn(
@@ -156,7 +160,7 @@ def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int):
             )
             columns = [c.split(" ")[0] for c in REJECTS.split(", ")]
             folder.write("rejects", batch, late.unionByName(stray).select(*columns))
-            clock = folder.spark.range(1).select(F.lit(watermark).cast("timestamp").alias("watermark"))
+            clock = folder.spark.range(1).select(F.lit(watermark).cast("bigint").alias("watermark"))
             folder.write("clock", batch, clock)
         finally:
             new.unpersist()

@@ -71,6 +71,11 @@ def test_g9_g10_g11_who_may_vote(spark):
     assert (row["status"], row["vote_count"], row["approved_by"]) == ("approved", 2, 4)
 
 
+def test_votes_without_a_proposal(spark):
+    _, got, *_ = outcome(spark, {1: case()}, [(1, None, 3, 1), (2, None, 9, 1), (3, 1, 3, 1)], active=range(1, 5))
+    assert got == {1: "not_found", 2: "no_identity", 3: "accepted"}
+
+
 def test_g12_same_instant_lower_id_first(spark):
     rows = [(1, 1, model.at(5), 8), (1, -1, model.at(5), 7)]
     events = spark.createDataFrame(rows, "player_id bigint, delta int, event_at timestamp, proposal_id bigint")

@@ -47,6 +47,14 @@ def test_scoring_of_large_tables(spark):
         usual(spark)
 
 
+def test_classification_shuffles_the_log_once(spark):
+    df = REGISTRY["classify_votes"](spark, SMALL)
+    df.collect()
+    text = plan(df)
+    final = text[:text.index("Initial Plan")]
+    assert re.search(r"ReusedExchange .*, Exchange hashpartitioning\(proposal_id.*REPARTITION_BY_COL", final)
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(REGISTRY["leaderboard"](spark, SMALL))
     assert "l_quantity" in text and "l_shipdate" not in text and "l_extendedprice" not in text
