@@ -57,18 +57,14 @@ def query(run: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFram
 
 
 def _decided(fx: Fixtures) -> DataFrame:
-    votes = fx.votes
-    return ballots.decisions(
-        fx.proposals, votes, fx.withdrawals, fx.players, fx.as_of, ballots.heavy_proposals(votes)
-    )
+    return ballots.decisions(fx.proposals, fx.votes, fx.withdrawals, fx.players, fx.as_of)
 
 
 def _status(fx: Fixtures, cutoff: Column | None = None) -> DataFrame:
     """Status of all proposals, or of those created since the cutoff."""
-    votes = feeds.since(fx.votes, cutoff)
     resolved = ballots.resolve_proposals(
-        feeds.since(fx.proposals, cutoff), votes, feeds.since(fx.withdrawals, cutoff), fx.players, fx.as_of,
-        ballots.heavy_proposals(votes),
+        feeds.since(fx.proposals, cutoff), feeds.since(fx.votes, cutoff), feeds.since(fx.withdrawals, cutoff),
+        fx.players, fx.as_of,
     )
     return st.with_derived_status(resolved, fx.as_of)
 
@@ -84,10 +80,9 @@ def _open_status(fx: Fixtures) -> DataFrame:
 def _open_votes(fx: Fixtures) -> DataFrame:
     """Accepted votes on proposals that may be open."""
     cutoff = feeds.open_since(fx.as_of)
-    votes = feeds.since(fx.votes, cutoff)
     return ballots.accepted_votes(ballots.decisions(
-        feeds.since(fx.proposals, cutoff), votes, feeds.since(fx.withdrawals, cutoff), fx.players, fx.as_of,
-        ballots.heavy_proposals(votes),
+        feeds.since(fx.proposals, cutoff), feeds.since(fx.votes, cutoff), feeds.since(fx.withdrawals, cutoff),
+        fx.players, fx.as_of,
     ))
 
 
@@ -184,18 +179,14 @@ def proposal_status(fx):
 @query
 def status_view(fx):
     stored = st.backfill_legacy(fx.stored_proposals, fx.as_of)
-    decided = ballots.decisions(fx.proposals, fx.votes, fx.withdrawals, fx.players, fx.as_of)
-    return st.status_view(stored, ballots.accepted_votes(decided), fx.as_of)
+    return st.status_view(stored, ballots.accepted_votes(_decided(fx)), fx.as_of)
 
 
 @query
 def sql_over_views(fx):
     """A statement over the registered views: open and decided cases of the players with points."""
     stored = st.backfill_legacy(fx.stored_proposals, fx.as_of)
-    votes = ballots.accepted_votes(ballots.decisions(
-        fx.proposals, fx.votes, fx.withdrawals, fx.players, fx.as_of, ballots.heavy_proposals(fx.votes)
-    ))
-    register_views(fx.players, stored, votes, fx.as_of, prefix="ledger_")
+    register_views(fx.players, stored, ballots.accepted_votes(_decided(fx)), fx.as_of, prefix="ledger_")
     return fx.spark.sql("""
         select l.id, l.display_name, l.total, count(s.id) as cases, count_if(s.status = 'open') as open_cases
         from ledger_leaderboard l left join ledger_proposal_status s on s.target_id = l.id
@@ -237,10 +228,7 @@ def ranked_leaderboard(fx):
 
 @query
 def classify_votes(fx):
-    votes = fx.votes
-    return ballots.classify_votes(
-        fx.proposals, votes, fx.withdrawals, fx.players, fx.as_of, ballots.heavy_proposals(votes)
-    ).drop("id")
+    return ballots.classify_votes(fx.proposals, fx.votes, fx.withdrawals, fx.players, fx.as_of).drop("id")
 
 
 @query
@@ -322,8 +310,7 @@ def player_history(fx):
     proposals = feeds.concerning(fx.proposals, HISTORY_PLAYER)
     votes = ballots.commands_on(fx.votes, proposals)
     resolved = ballots.resolve_proposals(
-        proposals, votes, ballots.commands_on(fx.withdrawals, proposals), fx.players, fx.as_of,
-        ballots.heavy_proposals(votes),
+        proposals, votes, ballots.commands_on(fx.withdrawals, proposals), fx.players, fx.as_of
     )
     everything = feeds.recent_proposals(st.with_derived_status(resolved, fx.as_of), limit=None)
     return feeds.history_feed(everything, fx.players, HISTORY_PLAYER)
@@ -431,8 +418,7 @@ def backfill_amount(fx):
 
 @query
 def claim_throttle(fx):
-    attempts = fx.claim_attempts
-    return throttle.claim_throttle(attempts, throttle.heavy_devices(attempts))
+    return throttle.claim_throttle(fx.claim_attempts)
 
 
 @query

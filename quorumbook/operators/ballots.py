@@ -133,15 +133,17 @@ def decisions(
     withdrawals: DataFrame | None,
     players: DataFrame,
     as_of: Column | None = None,
-    heavy: Sequence = (),
+    heavy: Sequence | None = None,
     track_ids: bool = True,
 ) -> DataFrame:
     """What the logs decided, one row per proposal with a valid command.
 
-    A withdrawal counts when it came no later than the first vote.  With
-    ``track_ids`` the row also names the deciding commands and lists the accepted
+    A withdrawal counts when it came no later than the first vote.  ``heavy``
+    names the proposals with too many votes for one task; by default they are
+    looked for, which counts the votes.  With ``track_ids`` the row also names the deciding commands and lists the accepted
     votes in order (``accepted``, at most eight).
     """
+    heavy = heavy_proposals(votes) if heavy is None else heavy
     rows = _flagged(votes, withdrawals, players, as_of).where("_active").drop("_active")
     rules = _rules(proposals)
     if not heavy:
@@ -163,7 +165,7 @@ def resolve_proposals(
     withdrawals: DataFrame | None,
     players: DataFrame,
     as_of: Column | None = None,
-    heavy: Sequence = (),
+    heavy: Sequence | None = None,
 ) -> DataFrame:
     """Proposals with the stored state that the logs lead to, and the vote count."""
     made = until(proposals, as_of)
@@ -227,7 +229,7 @@ def classify_votes(
     withdrawals: DataFrame | None,
     players: DataFrame,
     as_of: Column | None = None,
-    heavy: Sequence = (),
+    heavy: Sequence | None = None,
 ) -> DataFrame:
     """Each vote accepted, or refused with the first failing rule.
 
@@ -235,6 +237,7 @@ def classify_votes(
     The log is used twice, to decide and to judge each vote by the decision;
     both uses read one shuffle.
     """
+    heavy = heavy_proposals(votes) if heavy is None else heavy
     rules = _rules(until(proposals, as_of))
     everything = _flagged(votes, withdrawals, players, as_of)
     # Votes that name no proposal need no lookup; without them both uses of the
@@ -265,7 +268,7 @@ def classify_withdrawals(
     withdrawals: DataFrame,
     players: DataFrame,
     as_of: Column | None = None,
-    heavy: Sequence = (),
+    heavy: Sequence | None = None,
 ) -> DataFrame:
     """Each withdrawal accepted or refused; only the first valid one before any vote counts."""
     made = until(proposals, as_of)

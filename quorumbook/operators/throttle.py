@@ -244,8 +244,15 @@ def heavy_devices(attempts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> li
     return heavy_keys(attempts, "device_id", rows_per_task)
 
 
-def claim_throttle(attempts: DataFrame, heavy: Sequence = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Outcome of every code attempt by the throttle alone; a right code clears the counter."""
+def claim_throttle(
+    attempts: DataFrame, heavy: Sequence | None = None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Outcome of every code attempt by the throttle alone; a right code clears the counter.
+
+    ``heavy`` names the devices with too many attempts for one task; by default
+    they are looked for, which counts the attempts.
+    """
+    heavy = heavy_devices(attempts, rows_per_task) if heavy is None else heavy
     rows = attempts.selectExpr("device_id", "seq", "unix_micros(ts) as at", "format_ok", "code_ok")
     whole = ["0L as chunk", "0 as attempts", "-1L as started", "-1L as blocked_until"]
     if not heavy:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quorumbook.functions.rules import derived_status
-from quorumbook.operators.ballots import heavy_proposals, resolve_proposals
+from quorumbook.operators.ballots import resolve_proposals
 from quorumbook.operators.scores import leaderboard, plan_stretches, player_sums, score_events
 from quorumbook.plans.skew import heavy_keys
 
@@ -104,7 +104,7 @@ def _decide(commands: DataFrame, players: DataFrame, watermark: Column) -> DataF
     )
     votes = commands.where("kind = 'vote'").selectExpr("id", "proposal_id", "actor_id as voter_id", "created_at")
     undone = commands.where("kind = 'withdraw'").select("id", "proposal_id", "actor_id", "created_at")
-    resolved = resolve_proposals(proposals, votes, undone, players, watermark, heavy_proposals(votes))
+    resolved = resolve_proposals(proposals, votes, undone, players, watermark)
     return resolved.withColumn("status", derived_status(F.col("status"), F.col("deadline"), watermark))
 
 
