@@ -313,5 +313,6 @@ def voters_by_proposal(decided: DataFrame) -> DataFrame:
 
 __all__ = [
     "accepted_votes", "approval_moments", "classify_votes", "classify_withdrawals", "commands_on", "decisions",
-    "heavy_proposals", "resolve_proposals", "second_proposals", "under_first_rules", "until", "vote_receipts", "voters_by_proposal",
+    "heavy_proposals", "resolve_proposals", "second_proposals", "under_first_rules", "until", "vote_receipts",
+    "voters_by_proposal",
 ]

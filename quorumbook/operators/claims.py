@@ -2,96 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumbook.operators.throttle import Throttle
+from quorumbook.operators.throttle import heavy_devices, walk_attempts
 from quorumbook.plans.workspace import materialize
 
-_RESULTS = np.array([
-    "already_bound_here", "device_already_bound", "player_not_found", "player_already_claimed",
-    "temporarily_blocked", "code_not_configured", "invalid_code_format", "invalid_code", "locked_now", "ok",
-], dtype=object)
-(_SAME, _OTHER, _UNKNOWN, _TAKEN, _HELD, _NO_CODE, _FORMAT, _BAD, _LOCK, _BOUND) = range(10)
-_NEVER = np.iinfo(np.int64).max
-
-_WALK_COLUMNS = ["device_id", "seq", "at", "player_id", "known", "has_code", "format_ok", "code_ok", "taken_at",
-                 "rival_at", "held_player"]
-
-
-def _walk_claims(batches: Iterator[pd.DataFrame], certain_only: bool) -> Iterator[pd.DataFrame]:
-    """Replay each device's attempts against the known claims.
-
-    ``certain_only`` stops at the first attempt on a player whom another device
-    might have claimed before it, and yields one row per device: what it bound
-    or how far its attempts are settled.  Otherwise every attempt gets its result.
-    """
-    key, state, bound, horizon, done = None, Throttle(), None, _NEVER, False
-    for batch in batches:
-        columns = [batch[c].tolist() for c in _WALK_COLUMNS]
-        results = np.empty(len(batch), dtype=np.int8)
-        settled: list[tuple] = []
-        for i, (device, seq, at, player, known, has_code, well_formed, right, taken, rival, held) in enumerate(
-            zip(*columns)
-        ):
-            if device != key:
-                if key is not None and certain_only:
-                    settled.append((key, horizon, *(bound if bound else (None, None))))
-                key, bound, horizon, done = device, None, _NEVER, False
-                state.clear()
-                if held >= 0:
-                    bound = (held, -1)
-            if certain_only and (done or bound):
-                continue
-            if certain_only and rival < seq:
-                horizon, done = seq, True
-                continue
-            if bound:
-                results[i] = _SAME if bound[0] == player else _OTHER
-            elif not known:
-                results[i] = _UNKNOWN
-            elif taken < seq:
-                results[i] = _TAKEN
-            elif state.blocks(at):
-                results[i] = _HELD
-            elif not has_code:
-                results[i] = _NO_CODE
-            elif not well_formed:
-                results[i] = _FORMAT
-            elif right:
-                results[i] = _BOUND
-                bound = (player, seq)
-                state.clear()
-            else:
-                results[i] = _LOCK if state.wrong(at) else _BAD
-        if certain_only:
-            yield pd.DataFrame(settled, columns=["device_id", "horizon", "player_id", "claim_seq"]).astype(
-                {"player_id": "Int64", "claim_seq": "Int64"}
-            )
-        else:
-            yield pd.DataFrame({
-                "device_id": columns[0], "seq": columns[1], "player_id": columns[3], "outcome": _RESULTS[results],
-            })
-    if certain_only and key is not None:
-        yield pd.DataFrame(
-            [(key, horizon, *(bound if bound else (None, None)))],
-            columns=["device_id", "horizon", "player_id", "claim_seq"],
-        ).astype({"player_id": "Int64", "claim_seq": "Int64"})
-
-
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return _walk_claims(batches, True)
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return _walk_claims(batches, False)
+_NEVER = 2**63 - 1
+_SETTLED = "device_id bigint, horizon bigint, player_id bigint, claim_seq bigint"
 
 
 def _prepared(attempts: DataFrame, players: DataFrame) -> DataFrame:
+    """Attempts with what the players table says about the player and the device."""
     known = players.where("is_active").selectExpr(
         "id as player_id", "true as known", "coalesce(has_code, false) as has_code", "claimed_user_id as owner"
     )
@@ -102,7 +26,7 @@ def _prepared(attempts: DataFrame, players: DataFrame) -> DataFrame:
         attempts.selectExpr("device_id", "seq", "unix_micros(ts) as at", "player_id", "format_ok", "code_ok")
         .join(known, "player_id", "left").join(holders, "device_id", "left")
         .selectExpr(
-            "device_id", "seq", "at", "player_id", "coalesce(known, false) as known",
+            "device_id", "seq", "at", "coalesce(player_id, -1L) as player_id", "coalesce(known, false) as known",
             "coalesce(has_code, false) as has_code", "format_ok", "code_ok",
             f"if(owner is not null and owner <> device_id, -1L, {_NEVER}L) as owned_at",
             "coalesce(held_player, -1L) as held_player",
@@ -136,56 +60,78 @@ def _rivals(possible: DataFrame) -> DataFrame:
     )
 
 
-def _faced(rows: DataFrame, settled: DataFrame, rivals: DataFrame | None) -> DataFrame:
-    """Attempts with the moment their player was, or might be, claimed by another device."""
-    claims = settled.where("player_id is not null").selectExpr(
-        "player_id", "device_id as claimer", "claim_seq"
+def _faced(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """Attempts with the moment their player was claimed by another device."""
+    claims = settled.where("player_id is not null").selectExpr("player_id", "device_id as claimer", "claim_seq")
+    taken = f"least(owned_at, if(claimer is not null and claimer <> device_id, claim_seq, {_NEVER}L))"
+    return rows.join(claims, "player_id", "left").selectExpr(
+        *rows.columns, f"{taken} as taken_at", f"known and has_code and format_ok and {taken} >= seq as counts"
+    )
+
+
+def _settle(faced: DataFrame, rivals: DataFrame, heavy: Sequence) -> DataFrame:
+    """How far each device's attempts are certain, and what it binds before that.
+
+    An attempt on a player whom another device might claim earlier is not
+    certain; nor is anything the device does later.
+    """
+    rival = f"coalesce(if(first_device = device_id, second_seq, first_seq), {_NEVER}L)"
+    rows = faced.join(rivals, "player_id", "left").selectExpr(
+        "device_id", "seq", "at", "player_id", "counts", "code_ok", f"{rival} < seq as open"
+    )
+    ends = walk_attempts(rows, heavy).groupBy("device_id").agg(
+        F.expr(f"coalesce(min(if(open, seq, null)), {_NEVER}L)").alias("horizon"),
+        F.expr("min(struct(seq, player_id)) filter (where outcome = 'ok')").alias("first"),
     )
-    joined = rows.join(claims, "player_id", "left")
-    rival = f"{_NEVER}L"
-    if rivals is not None:
-        joined = joined.join(rivals, "player_id", "left")
-        rival = f"coalesce(if(first_device = device_id, second_seq, first_seq), {_NEVER}L)"
-    return joined.selectExpr(
-        "device_id", "seq", "at", "player_id", "known", "has_code", "format_ok", "code_ok",
-        f"least(owned_at, if(claimer is not null and claimer <> device_id, claim_seq, {_NEVER}L)) as taken_at",
-        f"{rival} as rival_at", "held_player",
+    return ends.selectExpr(
+        "device_id", "horizon", "if(first.seq < horizon, first.player_id, null) as player_id",
+        "if(first.seq < horizon, first.seq, null) as claim_seq",
     )
 
 
-def _by_device(rows: DataFrame) -> DataFrame:
-    return rows.repartition("device_id").sortWithinPartitions("device_id", "seq")
+_RESULT = """case
+    when bound_at < seq then if(bound_player = player_id, 'already_bound_here', 'device_already_bound')
+    when not known then 'player_not_found'
+    when taken_at < seq then 'player_already_claimed'
+    when outcome <> 'not_counted' then outcome
+    when not has_code then 'code_not_configured'
+    else 'invalid_code_format' end"""
 
 
-def resolve_claims(attempts: DataFrame, players: DataFrame) -> DataFrame:
+def resolve_claims(attempts: DataFrame, players: DataFrame, heavy: Sequence | None = None) -> DataFrame:
     """Result of every claim attempt, in the order of the log's ``seq``.
 
-    A claim ties a device to a player, so devices that try the same players
-    depend on each other.  Each round settles every device up to the first
-    attempt that an unsettled claim of another device could still change; the
-    earliest open claim is always settled, so the rounds end.  What is settled
-    is written out after each round.
+    ``seq`` numbers the log in the order of time.  A claim ties a device to a
+    player, so devices that try the same players depend on each other.  Each
+    round settles every device up to the first attempt that an unsettled claim
+    of another device could still change; the earliest open claim is always
+    settled, so the rounds end.  What is settled is written out after each round.
     """
+    heavy = heavy_devices(attempts) if heavy is None else heavy
     rows = materialize(_prepared(attempts, players), "claim-attempts")
-    settled = rows.sparkSession.createDataFrame(
-        [], "device_id bigint, horizon bigint, player_id bigint, claim_seq bigint"
-    )
+    # A device that holds a player from the start has nothing to settle.
+    free = rows.where("held_player < 0")
+    settled = rows.sparkSession.createDataFrame([], _SETTLED)
     while True:
-        possible = _could_bind(rows, settled)
-        rivals = materialize(_rivals(possible), "claim-rivals")
+        rivals = materialize(_rivals(_could_bind(rows, settled)), "claim-rivals")
         if rivals.isEmpty():
             break
         # Devices that bound or have nothing left to settle keep their row.
         closed = settled.where(f"player_id is not null or horizon = {_NEVER}")
-        open_rows = rows.join(closed.select("device_id"), "device_id", "left_anti")
-        walked = _by_device(_faced(open_rows, settled, rivals)).mapInPandas(
-            _settle, "device_id bigint, horizon bigint, player_id bigint, claim_seq bigint"
-        ).where("claim_seq is null or claim_seq >= 0")
-        settled = materialize(closed.unionByName(walked), "claim-settled")
-    replayed = _by_device(_faced(rows, settled, None)).mapInPandas(
-        _replay, "device_id bigint, seq bigint, player_id bigint, outcome string"
+        still = free.join(closed.select("device_id"), "device_id", "left_anti")
+        settled = materialize(
+            closed.unionByName(_settle(_faced(still, settled), rivals, heavy)), "claim-settled"
+        )
+    bound = settled.where("player_id is not null").selectExpr(
+        "device_id", "player_id as bound_player", "claim_seq as bound_at"
+    )
+    final = _faced(rows, settled).join(bound, "device_id", "left").withColumns({
+        "bound_at": F.expr(f"if(held_player >= 0, -1L, coalesce(bound_at, {_NEVER}L))"),
+        "bound_player": F.expr("if(held_player >= 0, held_player, coalesce(bound_player, -1L))"),
+    })
+    return walk_attempts(final, heavy).selectExpr(
+        "device_id", "seq", "nullif(player_id, -1L) as player_id", f"{_RESULT} as outcome"
     )
-    return replayed.select("device_id", "seq", "player_id", "outcome")
 
 
 def claimed_players(resolved: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorumbook.functions.rules import MAX_WRONG_CODES, THROTTLE_SECONDS
 from quorumbook.plans.skew import ROWS_PER_TASK, heavy_keys, is_heavy
@@ -27,12 +28,13 @@ from quorumbook.plans.skew import ROWS_PER_TASK, heavy_keys, is_heavy
 SPAN = THROTTLE_SECONDS * 1_000_000
 # A chunk spans at least two windows, so no window or block outlasts it unnoticed.
 _MIN_CHUNK = 2 * SPAN
-_OUTCOMES = np.array(["invalid_code_format", "temporarily_blocked", "invalid_code", "locked_now", "ok"], dtype=object)
-_MALFORMED, _BLOCKED, _WRONG, _LOCKED, _OK = range(5)
+_OUTCOMES = np.array(["not_counted", "temporarily_blocked", "invalid_code", "locked_now", "ok"], dtype=object)
+_UNCOUNTED, _BLOCKED, _WRONG, _LOCKED, _OK = range(5)
 
 State = tuple[int, int, int]
 EMPTY: State = (0, -1, -1)
 _STATE = "attempts int, started bigint, blocked_until bigint"
+_STATE_COLUMNS = ["attempts", "started", "blocked_until"]
 
 
 class Throttle:
@@ -80,8 +82,8 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not size:
             continue
         device, chunk, at = (batch[c].to_numpy() for c in ("device_id", "chunk", "at"))
-        well_formed, right = batch["format_ok"].to_numpy(dtype=bool), batch["code_ok"].to_numpy(dtype=bool)
-        entry = [batch[c].to_numpy() for c in ("attempts", "started", "blocked_until")]
+        counts, right = batch["counts"].to_numpy(dtype=bool), batch["code_ok"].to_numpy(dtype=bool)
+        entry = [batch[c].to_numpy() for c in _STATE_COLUMNS]
         changes = np.flatnonzero((device[1:] != device[:-1]) | (chunk[1:] != chunk[:-1])) + 1
         edges = np.concatenate(([0], changes, [size])).tolist()
         outcome = np.full(size, _BLOCKED, dtype=np.int8)
@@ -97,8 +99,8 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if throttle.blocks(now):
                     i += int(np.searchsorted(at[i:end], throttle.blocked_until, side="left"))
                     continue
-                if not well_formed[i]:
-                    outcome[i] = _MALFORMED
+                if not counts[i]:
+                    outcome[i] = _UNCOUNTED
                 elif right[i]:
                     outcome[i] = _OK
                     throttle.clear()
@@ -107,10 +109,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     outcome[i], left[i] = _WRONG, MAX_WRONG_CODES - throttle.attempts
                 i += 1
-        yield pd.DataFrame({
-            "device_id": device, "seq": batch["seq"].to_numpy(), "at": at,
-            "outcome": _OUTCOMES[outcome], "attempts_left": left,
-        })
+        yield batch.drop(columns=["chunk", *_STATE_COLUMNS]).assign(outcome=_OUTCOMES[outcome], attempts_left=left)
 
 
 # Chunks of heavy devices ------------------------------------------------------
@@ -128,7 +127,7 @@ def _settled(state: State, next_start: int) -> State:
 
 def _counted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Times and rightness of the attempts that can change the state, in order."""
-    rows = rows[rows["format_ok"]].sort_values(["at", "seq"])
+    rows = rows[rows["counts"]].sort_values(["at", "seq"])
     return rows["at"].to_numpy(), rows["code_ok"].to_numpy(dtype=bool)
 
 
@@ -171,14 +170,14 @@ def _possible_entries(width: int):
         states = sorted(set(_exits(at, right, (chunk + 1) * width)) | {EMPTY})
         return pd.DataFrame(
             [(device, chunk + 1, *state) for state in states],
-            columns=["device_id", "chunk", "attempts", "started", "blocked_until"],
+            columns=["device_id", "chunk", *_STATE_COLUMNS],
         )
     return run
 
 
 def _transitions(width: int):
     """Exit state of a chunk for each possible entry state."""
-    columns = ["device_id", "chunk", "attempts", "started", "blocked_until", "to_attempts", "to_started", "to_blocked"]
+    columns = ["device_id", "chunk", *_STATE_COLUMNS, "to_attempts", "to_started", "to_blocked"]
 
     def run(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
@@ -187,7 +186,7 @@ def _transitions(width: int):
         next_start = (chunk + 1) * width
         at, right = _counted(rows)
         exits = _exits(at, right, next_start)
-        states = set(zip(*(entries[c].tolist() for c in ("attempts", "started", "blocked_until")))) | {EMPTY}
+        states = set(zip(*(entries[c].tolist() for c in _STATE_COLUMNS))) | {EMPTY}
         table, throttle = [], Throttle()
         for state in states:
             throttle.load(state)
@@ -213,7 +212,7 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (row.attempts, row.started, row.blocked_until) == state:
                 after = (row.to_attempts, row.to_started, row.to_blocked)
                 found.append((device, chunk, *state))
-        yield pd.DataFrame(found, columns=["device_id", "chunk", "attempts", "started", "blocked_until"])
+        yield pd.DataFrame(found, columns=["device_id", "chunk", *_STATE_COLUMNS])
 
 
 def _chunk_width(rows: DataFrame, rows_per_task: int) -> int:
@@ -229,8 +228,9 @@ def _entered_chunks(rows: DataFrame, rows_per_task: int) -> DataFrame:
     width = _chunk_width(rows, rows_per_task)
     cut = rows.withColumn("chunk", F.expr(f"at div {width}L"))
     keys = ["device_id", "chunk"]
-    entries = cut.groupBy(*keys).applyInPandas(_possible_entries(width), f"device_id bigint, chunk bigint, {_STATE}")
-    tables = cut.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(
+    steps = cut.select(*keys, "at", "seq", "counts", "code_ok")
+    entries = steps.groupBy(*keys).applyInPandas(_possible_entries(width), f"device_id bigint, chunk bigint, {_STATE}")
+    tables = steps.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(
         _transitions(width),
         f"device_id bigint, chunk bigint, {_STATE}, to_attempts int, to_started bigint, to_blocked bigint",
     )
@@ -244,16 +244,13 @@ def heavy_devices(attempts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> li
     return heavy_keys(attempts, "device_id", rows_per_task)
 
 
-def claim_throttle(
-    attempts: DataFrame, heavy: Sequence | None = None, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Outcome of every code attempt by the throttle alone; a right code clears the counter.
+def walk_attempts(rows: DataFrame, heavy: Sequence, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Add ``outcome`` and ``attempts_left`` to attempts by the throttle alone.
 
-    ``heavy`` names the devices with too many attempts for one task; by default
-    they are looked for, which counts the attempts.
+    Rows hold ``device_id``, ``seq``, ``at`` in microseconds, ``counts`` (whether
+    the code is compared at all), ``code_ok`` and any further columns without
+    nulls.  An attempt that does not count is still blocked by a block.
     """
-    heavy = heavy_devices(attempts, rows_per_task) if heavy is None else heavy
-    rows = attempts.selectExpr("device_id", "seq", "unix_micros(ts) as at", "format_ok", "code_ok")
     whole = ["0L as chunk", "0 as attempts", "-1L as started", "-1L as blocked_until"]
     if not heavy:
         spread = rows.selectExpr("*", *whole)
@@ -261,9 +258,24 @@ def claim_throttle(
         hot = is_heavy(F.col("device_id"), heavy)
         spread = rows.where(~hot).selectExpr("*", *whole).unionByName(_entered_chunks(rows.where(hot), rows_per_task))
     ordered = spread.repartition("device_id", "chunk").sortWithinPartitions("device_id", "chunk", "at", "seq")
-    walked = ordered.mapInPandas(_walk, "device_id bigint, seq bigint, at bigint, outcome string, attempts_left int")
-    return walked.selectExpr(
-        "device_id", "seq", "timestamp_micros(at) as ts", "outcome",
+    left = [c for c in ordered.columns if c not in ("chunk", *_STATE_COLUMNS)]
+    schema = T.StructType([ordered.schema[c] for c in left])
+    return ordered.mapInPandas(_walk, schema.add("outcome", "string").add("attempts_left", "integer"))
+
+
+def claim_throttle(
+    attempts: DataFrame, heavy: Sequence | None = None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Outcome of every code attempt by the throttle alone; a right code clears the counter.
+
+    ``heavy`` names the devices with too many attempts for one task; by default
+    they are looked for, which counts the attempts.
+    """
+    heavy = heavy_devices(attempts, rows_per_task) if heavy is None else heavy
+    rows = attempts.selectExpr("device_id", "seq", "unix_micros(ts) as at", "format_ok as counts", "code_ok")
+    return walk_attempts(rows, heavy, rows_per_task).selectExpr(
+        "device_id", "seq", "timestamp_micros(at) as ts",
+        "if(outcome = 'not_counted', 'invalid_code_format', outcome) as outcome",
         "if(attempts_left < 0, null, attempts_left) as attempts_left",
         "case when outcome = 'invalid_code' then concat('attempts left: ', cast(attempts_left as string)) end as detail",
     )

@@ -81,8 +81,8 @@ def players_frame(spark, players):
                                        "has_code boolean")
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_claim_resolution_on_random_attempts(spark, seed):
+@pytest.mark.parametrize("seed, heavy", [(1, ()), (2, (0,)), (3, (0, 100, 4))])
+def test_claim_resolution_on_random_attempts(spark, seed, heavy):
     rng = random.Random(seed)
     players = {i: dict(active=i % 6 != 5, has_code=i % 7 != 6, owner=100 if i == 3 else None) for i in range(12)}
     rows = []
@@ -92,7 +92,7 @@ def test_claim_resolution_on_random_attempts(spark, seed):
     attempts = spark.createDataFrame(
         rows, "device_id bigint, seq bigint, at bigint, player_id bigint, format_ok boolean, code_ok boolean"
     ).withColumn("ts", F.timestamp_micros("at"))
-    got = {r["seq"]: r["outcome"] for r in claims.resolve_claims(attempts, players_frame(spark, players)).collect()}
+    got = {r["seq"]: r["outcome"] for r in claims.resolve_claims(attempts, players_frame(spark, players), heavy).collect()}
     assert got == model.claims(rows, players)
 
 
