@@ -139,7 +139,8 @@ def commands(spark, rows, schema="id bigint, actor_id bigint, target_id bigint,
 
 def test_g18_text_limits_and_order_of_refusals(spark):
     rows = [(1, 1, 2, " abc ", 1), (2, 1, 2, "x" * 501, 1), (3, 9, 9, "", 0), (4, 1, 1, "", 0), (5, 1, 9, "", 0),
-            (6, 1, 2, " ab ", 0), (7, 1, 2, "abc", 0), (8, 1, 2, "abc", 4), (9, 1, 2, "abc", None), (10, None, 2, "abc", 1),
+            (6, 1, 2, " ab ", 0), (7, 1, 2, "abc", 0), (8, 1, 2, "abc", 4), (9, 1, 2, "abc", None),
+            (10, None, 2, "abc", 1),
             (11, 1, 2, "\tab", 3), (12, 1, 2, "😀😀😀", 2), (13, 1, 2, None, 1)]
     players = frames.players(spark, 9, {1, 2})
     got = {r["id"]: r for r in admission.classify_proposals(commands(spark, rows), players).collect()}

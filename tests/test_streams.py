@@ -10,7 +10,7 @@ from quorumbook.operators.status import with_derived_status
 from quorumbook.plans.workspace import fresh_path
 from quorumbook.sources import schemas
 from quorumbook.sources.tables import follow_table
-from quorumbook.streaming.ledger import command_stream, start_ledger, stream_board
+from quorumbook.streaming.ledger import LedgerFolder, _ledger_batch, command_stream, start_ledger, stream_board
 from quorumbook.streaming.matching import match_votes
 from quorumbook.streaming.sinks import drain
 from quorumbook.streaming.throttle import stream_throttle
@@ -86,6 +86,22 @@ def test_late_commands_are_rejected(spark):
     assert [(r["id"], r["reason"]) for r in folder.rejects().collect()] == [(1, "late")]
 
 
+def test_a_batch_run_again_overwrites_its_output(spark, ledger):
+    _, (proposals, votes, gone, players), _ = ledger
+    commands = command_stream(proposals, votes, gone)
+    folder = LedgerFolder(spark, fresh_path(spark, "again"))
+    run = _ledger_batch(folder, players, 0)
+    middle = F.lit(model.at(200))
+    seen = []
+    for batch in (0, 0, 1, 1):
+        part = commands.where(F.col("created_at") <= middle if batch == 0 else F.col("created_at") > middle)
+        run(part, batch)
+        seen.append((sorted(map(str, folder.outcomes().collect())),
+                     sorted(map(str, stream_board(folder, players, batch).collect()))))
+    assert seen[0] == seen[1] and seen[2] == seen[3]
+    assert len(seen[2][0]) > len(seen[0][0])
+
+
 def test_throttle_stream_equals_batch(spark):
     import random
 
