@@ -5,14 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quorumbook.llm.exact_dedup import exact_groups
+from quorumbook.llm.packing import binary_pieces, numbered_sequences
 from quorumbook.llm.sharding import stratified_shards
-from quorumbook.llm.tables import read_table
+from quorumbook.llm.tables import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary ``name`` lies; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The pieces of all documents with their place and the checksum of their ids."""
+    pieces = binary_pieces(docs, tokenizer).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"
+    )
+    return numbered_sequences(written(pieces, "pieces"))
+
+
+def op4_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(read_table(spark, folder, "documents"))
 
@@ -22,6 +43,7 @@ def op8_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_binary_packing": op4_binary_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_stratified_shards": op8_stratified_shards,
 }
