@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumbook.llm.tables import SPACES
+from quorumbook.llm.tables import SPACES, written
 
 
 def normalized(text: Column) -> Column:
@@ -33,14 +33,17 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, carried: list[Column],
     hashed = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"), *carried)
     hashed = hashed.withColumn("hash", hash_of(F.col("norm")))
     groups = hashed.groupBy("hash", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # A hash with one text needs no bytes to find its rows again; these are all but the colliding ones.
-    by_hash = groups.groupBy("hash").agg(
+    # A hash with one text needs no bytes to find its rows again; only rows of colliding hashes travel with their text.
+    by_hash = written(groups.groupBy("hash").agg(
         F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
-    )
+    ), "exact-groups")
     rows = hashed.withColumn("sha256", F.sha2(F.col("norm").cast("binary"), 256))
-    plain = rows.drop("norm").join(by_hash.where("texts = 1").drop("texts"), "hash")
-    colliding = rows.join(by_hash.where("texts > 1").select("hash"), "hash", "left_semi")
-    return plain.drop("hash").unionByName(colliding.join(groups, ["hash", "norm"]).drop("hash", "norm"))
+    plain = rows.drop("norm").join(by_hash.where("texts = 1").drop("texts"), "hash").drop("hash")
+    shared = by_hash.where("texts > 1").select("hash")
+    if shared.isEmpty():
+        return plain
+    colliding = rows.join(shared, "hash", "left_semi").join(groups, ["hash", "norm"])
+    return plain.unionByName(colliding.drop("hash", "norm"))
 
 
 def exact_groups(
