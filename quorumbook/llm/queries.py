@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumbook.llm.exact_dedup import exact_groups
+from quorumbook.llm.language import is_held_out, predict_languages, train_language_model
 from quorumbook.llm.packing import binary_pieces, numbered_sequences
 from quorumbook.llm.sharding import stratified_shards
 from quorumbook.llm.tables import read_table, written
@@ -42,8 +43,15 @@ def op8_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     return stratified_shards(read_table(spark, folder, "documents"))
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    found = predict_languages(docs, train_language_model(docs), kept=["doc_id"])
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op4_binary_packing": op4_binary_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_language": op10_language,
     "op8_stratified_shards": op8_stratified_shards,
 }

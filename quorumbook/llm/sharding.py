@@ -28,7 +28,8 @@ _DIGITS = 13
 
 def _numbered(rows: DataFrame, group: list[str], piece: Column, order: list[str], name: str) -> DataFrame:
     """Number the rows of each group from 1; ``piece`` must grow with ``order``."""
-    pieces = rows.withColumn("_piece", piece)
+    # Dealt by piece, so that a group with most of the rows is not sorted where the join before gathered it.
+    pieces = rows.withColumn("_piece", piece).repartition(*group, "_piece")
     before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = pieces.groupBy(*group, "_piece").agg(F.count("*").alias("_size"))
     starts = sizes.select(
