@@ -11,7 +11,8 @@ from quorumbook.llm.exact_dedup import exact_groups
 from quorumbook.llm.language import is_held_out, predict_languages, train_language_model
 from quorumbook.llm.packing import binary_pieces, numbered_sequences
 from quorumbook.llm.sharding import stratified_shards
-from quorumbook.llm.tables import read_table, written
+from quorumbook.llm.tables import read_table, shared_folder, written
+from quorumbook.llm.warc import normalise_archives, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,13 @@ def op8_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     return stratified_shards(read_table(spark, folder, "documents"))
 
 
+def op6_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    monolithic, normal = shared_folder(spark, "warc-stream"), shared_folder(spark, "warc")
+    write_archives(read_table(spark, folder, "pages"), monolithic)
+    normalise_archives(spark, monolithic, normal).agg(F.sum("records")).collect()
+    return read_archives(spark, normal).drop("payload")
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     found = predict_languages(docs, train_language_model(docs), kept=["doc_id"])
@@ -53,5 +61,6 @@ QUERIES: dict[str, Query] = {
     "op4_binary_packing": op4_binary_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_language": op10_language,
+    "op6_warc_normaliser": op6_warc_normaliser,
     "op8_stratified_shards": op8_stratified_shards,
 }

@@ -8,4 +8,15 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM n""",
+    "op6_warc_normaliser": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS chosen FROM p),
+        h AS (SELECT *, sha1(html) AS hex FROM g)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+               (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+                    (('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT & 31)::INT, 1), ''
+                    ORDER BY i) FROM range(32) AS r(i)) AS payload_digest,
+               CASE WHEN page_id = chosen THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = chosen THEN NULL ELSE chosen END AS refers_to
+        FROM h""",
 }
