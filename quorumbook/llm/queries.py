@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quorumbook.llm.exact_dedup import exact_groups
 from quorumbook.llm.language import is_held_out, predict_languages, train_language_model
+from quorumbook.llm.multi_index import nearest
 from quorumbook.llm.packing import binary_pieces, numbered_sequences
 from quorumbook.llm.sharding import stratified_shards
 from quorumbook.llm.tables import read_table, shared_folder, written
@@ -32,6 +33,11 @@ def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
     return numbered_sequences(written(pieces, "pieces"))
 
 
+def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    return nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -58,6 +64,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_multi_index": op1_multi_index,
     "op4_binary_packing": op4_binary_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_language": op10_language,
