@@ -11,12 +11,16 @@ from quorumbook.llm.exact_dedup import exact_groups
 from quorumbook.llm.language import is_held_out, predict_languages, train_language_model
 from quorumbook.llm.multi_index import nearest
 from quorumbook.llm.packing import binary_pieces, numbered_sequences
+from quorumbook.llm.pseudonyms import replace_personal
 from quorumbook.llm.sharding import stratified_shards
 from quorumbook.llm.tables import read_table, shared_folder, written
 from quorumbook.llm.warc import normalise_archives, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Whoever holds the key can tell pseudonyms from values; a real run takes it from a secret store.
+PSEUDONYM_KEY = "not-a-secret"
+
 
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary ``name`` lies; it is installed on every machine."""
@@ -57,6 +61,10 @@ def op6_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
     return read_archives(spark, normal).drop("payload")
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_personal(read_table(spark, folder, "documents").select("doc_id", "text"), PSEUDONYM_KEY, counts=True)
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     found = predict_languages(docs, train_language_model(docs), kept=["doc_id"])
@@ -69,5 +77,6 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op10_language": op10_language,
     "op6_warc_normaliser": op6_warc_normaliser,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op8_stratified_shards": op8_stratified_shards,
 }
