@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quorumbook.llm.exact_dedup import exact_groups
 from quorumbook.llm.language import is_held_out, predict_languages, train_language_model
 from quorumbook.llm.multi_index import nearest
+from quorumbook.llm.near_dedup import near_components
 from quorumbook.llm.packing import binary_pieces, numbered_sequences
 from quorumbook.llm.pseudonyms import replace_personal
 from quorumbook.llm.sharding import stratified_shards
@@ -42,6 +43,10 @@ def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_components(read_table(spark, folder, "documents"), words=2, percent=80)
+
+
 def op4_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -73,6 +78,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_multi_index": op1_multi_index,
+    "op2_circulant_minhash": op2_circulant_minhash,
     "op4_binary_packing": op4_binary_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_language": op10_language,
