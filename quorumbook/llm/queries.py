@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumbook.llm import bpe
 from quorumbook.llm.exact_dedup import exact_groups
 from quorumbook.llm.language import is_held_out, predict_languages, train_language_model
 from quorumbook.llm.multi_index import nearest
@@ -66,6 +67,17 @@ def op6_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
     return read_archives(spark, normal).drop("payload")
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    ranks = bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(read_table(spark, folder, "documents"), ranks, PATTERN)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 def op9_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return replace_personal(read_table(spark, folder, "documents").select("doc_id", "text"), PSEUDONYM_KEY, counts=True)
 
@@ -84,5 +96,6 @@ QUERIES: dict[str, Query] = {
     "op10_language": op10_language,
     "op6_warc_normaliser": op6_warc_normaliser,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_stratified_shards": op8_stratified_shards,
 }
