@@ -39,6 +39,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 42, 5
 SHINGLES_PER_CHUNK = 500_000
+#: Size of the filter that spares documents without a candidate a second look; a full one only costs time.
+FILTER_BITS = 1 << 24
 _AT_ONCE = 1 << 14
 # Odd multipliers and the step of the shift; any would do.
 _A, _B, _C, _D, _STEP = (np.uint32(x) for x in (0x7FEB352D, 0x846CA68B, 0x2C1B3C6D, 0x297A2D39, 0x9E3779B1))
@@ -125,11 +127,28 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
     return docs.mapInArrow(sign, "doc_id bigint, n bigint, digest binary, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _id_filter(wanted: DataFrame) -> np.ndarray:
+    """Bits that are set for every wanted id; at most ``FILTER_BITS`` of them, however many ids there are."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = wanted.select(F.floor(place / 64).cast("int").alias("word"), (place % 64).cast("int").alias("bit")).groupBy(
+        "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.collect():
+        bits[row["word"]] = row["bits"]
+    return bits
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of the documents whose id is wanted, without moving any text."""
     import pyarrow as pa
 
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63)) & 1 > 0))
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 found = [shingle_set(text.as_py(), words).view(np.int64) for text in part.column(1)]
@@ -137,9 +156,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(f) for f in found], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))],
-                    names=["rep", "n", "shingles"])
+                    names=["doc_id", "n", "shingles"])
 
-    return docs.mapInArrow(collect, "rep bigint, n bigint, shingles array<bigint>")
+    placed = docs.where("doc_id IS NOT NULL").select(
+        "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("bigint").alias("place"))
+    sets = placed.mapInArrow(collect, "doc_id bigint, n bigint, shingles array<bigint>")
+    return sets.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
 
 
 def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -202,7 +224,7 @@ def near_components(
         F.min("key").alias("key"), F.first("least").alias("least"), F.first("volume").alias("volume"))
     members = written(keyed.join(buckets.select("key", "least", "volume"), "key"), "buckets")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(_sets(docs.join(wanted, "doc_id", "left_semi"), words), "shingles")
+    sets = written(_sets(docs, wanted, words), "shingles")
 
     # First the least class of each bucket with all others.
     pairs = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
