@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumbook.llm.components import connected
+from quorumbook.llm.filters import bit_filter, passes, place_of
 from quorumbook.llm.tables import written
 
 SHINGLE_WORDS = 5
@@ -127,28 +128,16 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
     return docs.mapInArrow(sign, "doc_id bigint, n bigint, digest binary, keys array<bigint>")
 
 
-def _id_filter(wanted: DataFrame) -> np.ndarray:
-    """Bits that are set for every wanted id; at most ``FILTER_BITS`` of them, however many ids there are."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(F.floor(place / 64).cast("int").alias("word"), (place % 64).cast("int").alias("bit")).groupBy(
-        "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words.collect():
-        bits[row["word"]] = row["bits"]
-    return bits
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The shingle sets of the documents whose id is wanted, without moving any text."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, ["doc_id"], FILTER_BITS))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            place = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63)) & 1 > 0))
+            batch = batch.filter(pa.array(passes(bits, batch.column(2).to_numpy())))
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 found = [shingle_set(text.as_py(), words).view(np.int64) for text in part.column(1)]
@@ -158,8 +147,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))],
                     names=["doc_id", "n", "shingles"])
 
-    placed = docs.where("doc_id IS NOT NULL").select(
-        "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("bigint").alias("place"))
+    placed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place_of(["doc_id"], FILTER_BITS).alias("place"))
     sets = placed.mapInArrow(collect, "doc_id bigint, n bigint, shingles array<bigint>")
     return sets.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
 

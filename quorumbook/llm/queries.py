@@ -15,6 +15,7 @@ from quorumbook.llm.near_dedup import near_components
 from quorumbook.llm.packing import binary_pieces, numbered_sequences
 from quorumbook.llm.pseudonyms import replace_personal
 from quorumbook.llm.sharding import stratified_shards
+from quorumbook.llm.substring_dedup import remove_repeated
 from quorumbook.llm.tables import read_table, shared_folder, written
 from quorumbook.llm.warc import normalise_archives, read_archives, write_archives
 
@@ -48,6 +49,14 @@ def op2_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(read_table(spark, folder, "documents"), words=2, percent=80)
 
 
+def op3_interval_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = remove_repeated(read_table(spark, folder, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["b"] - s["a"]))
+    return cleaned.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -91,6 +100,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_multi_index": op1_multi_index,
     "op2_circulant_minhash": op2_circulant_minhash,
+    "op3_interval_expansion": op3_interval_expansion,
     "op4_binary_packing": op4_binary_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_language": op10_language,
