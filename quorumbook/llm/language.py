@@ -54,7 +54,9 @@ def gram_counts(text: str) -> np.ndarray:
     codes = np.where(letter, codes, 32).astype(np.uint32)
     inner = np.ones(len(codes), bool)
     inner[1:] = letter[1:] | letter[:-1]  # of a run of other characters one space stays
-    codes = np.concatenate([[32], codes[inner], [32]]).astype(np.uint32)
+    codes = codes[inner]
+    codes = codes[int(codes[0] == 32):len(codes) - int(codes[-1] == 32)]
+    codes = np.concatenate([[32], codes, [32]]).astype(np.uint32)
     reach = max(LENGTHS) - 1
     for at in range(0, len(codes), _WINDOW):
         part = codes[at:at + _WINDOW + reach]

@@ -143,7 +143,7 @@ def _places(value: Column, kind: Column) -> Column:
         rest = F.length(F.regexp_replace(F.substring(value, i + 1, F.length(value)), "[^0-9]", ""))
         moves = (
             F.when(kind == "card", rest > 1)
-            .when(kind == "phone", (rest <= 10) & (rest < digits_left))
+            .when(kind == "phone", (rest <= 10) & ((rest < digits_left) | ~value.startswith("+")))
             .when(kind == "key", hexadecimal | (i >= 4)).otherwise(True)
         )
         free = (i < at) & moves

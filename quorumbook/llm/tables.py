@@ -17,10 +17,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; there is no default, as a
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset the
+    session may name one in ``quorumbook.shared.dir``; there is no default, as a
     folder of one machine would be invisible to the others.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quorumbook.shared.dir", None)
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/quorumbook-llm/{label}-{uuid.uuid4().hex}"
