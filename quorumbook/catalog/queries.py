@@ -16,6 +16,7 @@ from quorumbook.operators import audit, ballots, claims, codes, feeds, scores, t
 from quorumbook.operators import players as people
 from quorumbook.operators import proposals as admission
 from quorumbook.operators import status as st
+from quorumbook.plans.skew import order_bounds, piece_of
 from quorumbook.plans.workspace import fresh_path
 from quorumbook.sources.fixtures import (
     Fixtures, at_second, attempts_from_events, proposals_from_orders, votes_from_lines, withdrawals_from_orders,
@@ -23,8 +24,10 @@ from quorumbook.sources.fixtures import (
 from quorumbook.sources.schemas import TEST_TABLES
 from quorumbook.sources.tables import follow_table
 from quorumbook.sources.views import register_views
-from quorumbook.streaming.ledger import LedgerFolder, command_stream, start_ledger, stream_board
-from quorumbook.streaming.matching import match_votes
+from quorumbook.streaming.ledger import (
+    COMMANDS, LedgerFolder, close_ledger, command_stream, start_ledger, stream_board,
+)
+from quorumbook.streaming.matching import match_votes, remaining_matches
 from quorumbook.streaming.sinks import drain
 from quorumbook.streaming.throttle import stream_throttle as throttled_stream
 
@@ -36,6 +39,9 @@ VIEWER = 83
 HISTORY_PLAYER = 2
 DEVICE = 7
 CODE_SEED = "spring"
+CODE_WIDTH = 6
+# Micro-batches of the registered ledger stream, and after how many the totals are written in full.
+SLICES, COMPACT_EVERY = 5, 3
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -231,6 +237,14 @@ def classify_votes(fx):
     return ballots.classify_votes(fx.proposals, fx.votes, fx.withdrawals, fx.players, fx.as_of).drop("id")
 
 
+@query
+def classify_votes_redelivered(fx):
+    """Every tenth vote arrives twice under the same id."""
+    again = fx.votes.where(F.col("proposal_id") % 10 == 0)
+    twice = fx.votes.unionByName(again)
+    return ballots.classify_votes(fx.proposals, twice, fx.withdrawals, fx.players, fx.as_of).drop("id")
+
+
 @query
 def approval_moment(fx):
     return ballots.approval_moments(_decided(fx))
@@ -286,12 +300,12 @@ def recent_feed(fx):
 
 @query
 def pending_feed(fx):
-    return feeds.pending_feed(feeds.recent_proposals(_open_status(fx)), fx.players, fx.as_of)
+    return feeds.pending_feed(feeds.recent_proposals(_open_status(fx), limit=None), fx.players, fx.as_of)
 
 
 @query
 def open_count(fx):
-    return feeds.open_count(feeds.recent_proposals(_open_status(fx)))
+    return feeds.open_count(feeds.recent_proposals(_open_status(fx), limit=None))
 
 
 @query
@@ -318,7 +332,7 @@ def player_history(fx):
 
 @query
 def viewer_actions(fx):
-    return feeds.viewer_actions(feeds.recent_proposals(_open_status(fx)), _open_votes(fx), VIEWER)
+    return feeds.viewer_actions(feeds.recent_proposals(_open_status(fx), limit=None), _open_votes(fx), VIEWER)
 
 
 @query
@@ -433,8 +447,7 @@ def claim_receipts_json(fx):
 
 
 def _codes(fx: Fixtures) -> DataFrame:
-    width = codes.code_width(fx.players.where("is_active").count())
-    return codes.assign_codes(fx.players, CODE_SEED, width)
+    return codes.assign_codes(fx.players, CODE_SEED, CODE_WIDTH)
 
 
 @query
@@ -447,6 +460,12 @@ def apply_codes(fx):
     return codes.apply_codes(fx.players, _codes(fx)).select("id", "claimed_user_id", "claimed_at", "has_code", "code")
 
 
+@query
+def codes_refused(fx):
+    """Two digits are too few for the players of the test tables."""
+    return codes.refused_players(fx.players)
+
+
 # Streams -----------------------------------------------------------------------
 
 def _feed(fx: Fixtures, name: str) -> DataFrame:
@@ -455,15 +474,17 @@ def _feed(fx: Fixtures, name: str) -> DataFrame:
 
 
 def _ledger_stream(fx: Fixtures) -> tuple[LedgerFolder, int]:
-    orders = _feed(fx, "orders")
-    commands = command_stream(
-        proposals_from_orders(orders, fx.player_count),
-        votes_from_lines(_feed(fx, "lineitem"), fx.player_count),
-        withdrawals_from_orders(orders),
-    )
-    running, folder = start_ledger(commands, fx.players, fresh_path(fx.spark, "ledger"))
+    """The logs in slices of time, one file and so one micro-batch each."""
+    path = fresh_path(fx.spark, "commands")
+    commands = command_stream(fx.proposals, fx.votes, fx.withdrawals)
+    bounds = order_bounds(commands.select(F.unix_micros("created_at").alias("at")), "at", SLICES)
+    sliced = commands.withColumn("slice", piece_of(F.unix_micros("created_at"), bounds))
+    for number in range(len(bounds) + 1):  # files are taken in the order in which they were written
+        sliced.where(F.col("slice") == number).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    stream = fx.spark.readStream.schema(COMMANDS).option("maxFilesPerTrigger", 1).parquet(path)
+    running, folder = start_ledger(stream, fx.players, fresh_path(fx.spark, "ledger"), compact_every=COMPACT_EVERY)
     running.awaitTermination()
-    return folder, running.lastProgress["batchId"]
+    return folder, close_ledger(folder, fx.players, running.lastProgress["batchId"])
 
 
 @query
@@ -494,7 +515,8 @@ def stream_vote_match(fx):
         proposals_from_orders(_feed(fx, "orders"), fx.player_count),
         votes_from_lines(_feed(fx, "lineitem"), fx.player_count),
     )
-    return drain(matched, "vote-match")
+    streamed = drain(matched, "vote-match")
+    return streamed.unionByName(remaining_matches(streamed, fx.proposals, fx.votes)).drop("id")
 
 
 # Text and time ---------------------------------------------------------------
@@ -520,13 +542,13 @@ def digits_prefix_of_text(fx):
     return fx.raw("conversations").select("conv_id", "turn", digits_prefix(F.col("text")).alias("digits"))
 
 
-# Keyword rules for test texts: every group needs one of its words, the first matching class wins.
+# Keyword rules for the test texts: every group needs one of its words, the first matching class wins.
 TEXT_CLASSES = [
-    ("connection", [["failed to fetch", "network"]]),
-    ("setup", [["could not find the table", "schema cache"]]),
-    ("sign_in", [["anonymous"], ["disabled", "provider"]]),
-    ("question", [["?"], ["how", "what", "why"]]),
-    ("greeting", [["hello", "bonjour", "hallo", "hola"]]),
+    ("secret", [["password", "token"], ["="]]),
+    ("address", [["@"], ["example"]]),
+    ("licence", [["license"], ["gnu", "mit", "apache", "creative"]]),
+    ("table", [[" | "]]),
+    ("rude", [["idiot", "pathetic", "worthless"]]),
 ]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quorumbook.functions.rules import MAX_TEXT, MIN_TEXT
+from quorumbook.functions.rules import CODE_DIGITS, MAX_TEXT, MIN_TEXT
 
 
 def cleaned(text: Column) -> Column:
@@ -20,9 +20,9 @@ def length_ok(text: Column, low: int = MIN_TEXT, high: int = MAX_TEXT) -> Column
     return F.char_length(cleaned(text)).between(low, high)
 
 
-def code_format_ok(code: Column) -> Column:
+def code_format_ok(code: Column, digits: int = CODE_DIGITS) -> Column:
     # \z, not $: Java's $ also matches before a final line feed.
-    return F.coalesce(cleaned(code).rlike(r"^[0-9]{2}\z"), F.lit(False))
+    return F.coalesce(cleaned(code).rlike(rf"^[0-9]{{{digits}}}\z"), F.lit(False))
 
 
 def digits_prefix(text: Column, size: int = 2) -> Column:

@@ -52,10 +52,11 @@ def _commands(votes: DataFrame, withdrawals: DataFrame | None) -> DataFrame:
 
 
 # A command that may count: pending proposal, in time (the deadline included), by somebody entitled.
-_VALID = """_status = 'pending' and created_at >= _created_at and coalesce(created_at <= _deadline, true)
+_VALID = f"""_status = 'pending' and _required_votes <= {MAX_REQUIRED_VOTES} and created_at >= _created_at and coalesce(created_at <= _deadline, true)
     and if(is_vote, actor_id <> _proposed_by and actor_id <> _target_id, actor_id = _proposed_by)"""
 
-# Per proposal there is at most one first withdrawal, and it ranks before the votes.
+# Per proposal there is at most one first withdrawal, and it ranks before the votes.  A proposal that asks for more
+# votes than the rules know takes none; its votes are refused as such.
 _RANK_LIMIT = MAX_REQUIRED_VOTES + 1
 
 
@@ -199,19 +200,26 @@ _VOTE_OUTCOME = """case
         or approved_at is not null and struct(created_at, actor_id, id) > struct(approved_at, approved_by, approval_id)
         then 'already_decided'
     when created_at > _deadline then 'past_deadline'
+    when _required_votes > {most} then 'unknown_threshold'
     when actor_id = _proposed_by or actor_id = _target_id then 'not_eligible'
-    when coalesce(_position, 0) > 0 then 'accepted'
-    else 'duplicate' end"""
+    when _position > 0 and _delivery = 1 then 'accepted'
+    else 'duplicate' end""".format(most=MAX_REQUIRED_VOTES)
+
+# The entry of a vote among the accepted ones: there is one per voter, known by its time and id.
+_ACCEPTED_HERE = "filter(accepted, v -> v.voter_id = actor_id and v.created_at = created_at and v.id <=> id)"
+# A log may deliver a vote more than once; the copies come one after the other.
+_DELIVERY = "row_number() over (partition by proposal_id, actor_id, created_at, id, is_vote order by 0)"
 
 
 def _classify_votes(rows: DataFrame, rules: DataFrame, decided: DataFrame, small: bool = False) -> DataFrame:
     rules = rules.withColumn("_found", F.lit(True))
-    decided = decided.withColumn("_ids", F.expr("transform(accepted, v -> v.id)")).drop("accepted", "vote_count")
+    decided = decided.drop("vote_count")
     if small:
         rules, decided = F.broadcast(rules), F.broadcast(decided)
     return (
         rows.join(rules, "proposal_id", "left").join(decided, "proposal_id", "left")
-        .withColumn("_position", F.expr("cast(array_position(_ids, id) as int)"))
+        .withColumn("_position", F.coalesce(F.get(F.expr(_ACCEPTED_HERE), F.lit(0)).getField("rank"), F.lit(0)))
+        .withColumn("_delivery", F.expr(_DELIVERY))
         .withColumn("outcome", F.expr(_VOTE_OUTCOME))
         .where("outcome is not null")
         .selectExpr(

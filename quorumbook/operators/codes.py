@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumbook.functions.rules import CODE_DIGITS
 from quorumbook.plans.numbering import numbered
 
-CODE_DIGITS = 2
-
-
-def code_width(count: int) -> int:
-    """Digits needed so that every player gets a code of their own."""
-    return max(CODE_DIGITS, len(str(max(count - 1, 0))))
-
 
 def assign_codes(players: DataFrame, seed: str, digits: int = CODE_DIGITS) -> DataFrame:
     """Pair the n-th active player with the n-th code of a seeded random order.
@@ -31,12 +25,19 @@ def assign_codes(players: DataFrame, seed: str, digits: int = CODE_DIGITS) -> Da
         f"cast(conv(substring(md5(concat('{seed}:', cast(id as string))), 1, 15), 16, 10) as bigint) as place",
     )
     left = numbered(active, "id")
-    right = numbered(shuffled, "place")
+    right = numbered(shuffled, "place", ties=["number"])
     return left.join(right, "row_number").select(
         "id", "display_name", F.lpad(F.col("number").cast("string"), digits, "0").alias("code")
     )
 
 
+def refused_players(players: DataFrame, digits: int = CODE_DIGITS) -> DataFrame:
+    """The active players when there are too few codes for all of them: nobody gets one then."""
+    active = players.where("is_active")
+    refused = active if active.count() > 10**digits else active.limit(0)
+    return refused.select("id", F.lit("too_few_codes").alias("reason"))
+
+
 def apply_codes(players: DataFrame, codes: DataFrame) -> DataFrame:
     """Give the players their new codes and clear the bindings of those who got one."""
     fresh = codes.select("id", "code")

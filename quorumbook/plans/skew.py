@@ -1,8 +1,7 @@
 """Finding heavy keys and splitting their rows.
 
 A key is heavy when one task could not comfortably hold its rows.  Detection
-reads one column and keeps bounded sketches only; it steers the physical plan
-and never the result, so an estimate is good enough.
+reads one column; it steers the physical plan and never the result.
 """
 
 from __future__ import annotations
@@ -14,33 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 4_000_000
-MAX_HEAVY = 1024
 BROADCAST_ROWS = 500_000
-_TRACKED = 8192
-_MERGE_GROUPS = 64
 
 
 def heavy_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> list:
-    """At most ``2 * MAX_HEAVY`` keys that may exceed the rows of one task.
+    """The keys that exceed the rows of one task.
 
-    A table that fits one task has none, and its count needs file footers only.
-    Frequent-item sketches are merged in two steps so that no single task
-    receives the sketch of every input partition.
+    A table that fits one task has none.  In others the rows of each key are counted,
+    combined before the shuffle; there are at most rows / ``rows_per_task`` heavy keys.
     """
-    total = df.count()
-    if total <= rows_per_task:
+    if df.count() <= rows_per_task:
         return []
-    limit = max(rows_per_task, total // MAX_HEAVY)
-    estimates = (
-        df.where(F.col(key).isNotNull())
-        .select(F.col(key).alias("item"), (F.spark_partition_id() % _MERGE_GROUPS).alias("part"))
-        .groupBy("part")
-        .agg(F.expr(f"approx_top_k_accumulate(item, {_TRACKED})").alias("sketch"))
-        .agg(F.expr(f"approx_top_k_combine(sketch, {_TRACKED})").alias("sketch"))
-        .select(F.expr(f"inline(approx_top_k_estimate(sketch, {2 * MAX_HEAVY}))"))
-        .where(F.col("count") > limit // 2)
-    )
-    return [row["item"] for row in estimates.collect()]
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("item")).agg(F.count("*").alias("n"))
+    return [row["item"] for row in counts.where(F.col("n") > rows_per_task).select("item").collect()]
 
 
 def is_heavy(key: Column, heavy: Sequence) -> Column:

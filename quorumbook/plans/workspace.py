@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,14 @@ _FOLDER = "quorumbook"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset a session may name one in ``quorumbook.shared.dir``.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quorumbook.shared.dir", None)
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

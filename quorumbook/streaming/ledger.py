@@ -2,7 +2,8 @@
 
 Every micro-batch joins the new commands with those of proposals that are still
 open, decides what event time allows with the batch operators, and carries the
-rest over in a table.  A proposal is open for two minutes, so what is carried is
+rest over in a table.  Events come out in the order of their time: an approval at
+the very instant of the watermark waits for the deadlines of the same instant.  A proposal is open for two minutes, so what is carried is
 bounded by the traffic of that time.  Tables are written per batch id in the
 shared folder; a batch that is run again overwrites its own output.
 """
@@ -38,8 +39,13 @@ _COMPACT_EVERY = 50
 _BEGINNING = -(2**62)
 
 
-def command_stream(proposals: DataFrame, votes: DataFrame, withdrawals: DataFrame) -> DataFrame:
-    """The three logs as one stream of commands."""
+def command_stream(
+    proposals: DataFrame, votes: DataFrame, withdrawals: DataFrame, ticks: DataFrame | None = None
+) -> DataFrame:
+    """The three logs as one stream of commands.
+
+    ``ticks`` (created_at), such as a rate source, let time pass while no command comes.
+    """
     made = proposals.selectExpr(
         "'propose' as kind", "id", "id as proposal_id", "proposed_by as actor_id", "target_id", "amount",
         "proposal_type", "required_votes", "created_at", "deadline",
@@ -49,7 +55,12 @@ def command_stream(proposals: DataFrame, votes: DataFrame, withdrawals: DataFram
             "cast(null as timestamp) as deadline"]
     voted = votes.selectExpr("'vote' as kind", "id", "proposal_id", "voter_id as actor_id", *rest)
     undone = withdrawals.selectExpr("'withdraw' as kind", "id", "proposal_id", "actor_id", *rest)
-    return made.unionByName(voted).unionByName(undone)
+    commands = made.unionByName(voted).unionByName(undone)
+    if ticks is None:
+        return commands
+    empty = {c.split(" ")[0]: f"cast(null as {c.split(' ')[1]}) as {c.split(' ')[0]}" for c in COMMANDS.split(", ")}
+    return commands.unionByName(ticks.selectExpr(*[c for n, c in (empty | {
+        "kind": "'tick' as kind", "created_at": "created_at"}).items()]))
 
 
 @dataclass(frozen=True)
@@ -58,6 +69,7 @@ class LedgerFolder:
 
     spark: SparkSession
     root: str
+    compact_every: int = _COMPACT_EVERY
 
     def path(self, table: str, batch: int) -> str:
         return f"{self.root}/{table}/batch={batch}"
@@ -86,9 +98,9 @@ class LedgerFolder:
         return log.groupBy("player_id").agg(F.max_by("total", "version").alias("total"))
 
 
-def _versions(batch: int) -> list[int]:
+def _versions(batch: int, compact_every: int) -> list[int]:
     """The last full copy of the totals and the changes since."""
-    return list(range(batch - batch % _COMPACT_EVERY, batch + 1))
+    return list(range(batch - batch % compact_every, batch + 1))
 
 
 def _instant(micros: int) -> Column:
@@ -118,8 +130,8 @@ def _new_totals(folder: LedgerFolder, batch: int, events: DataFrame) -> DataFram
     if batch == 0:
         before = folder.spark.createDataFrame([], "player_id bigint, total int")
     else:
-        before = folder.totals(_versions(batch - 1))
-    how = "full" if batch % _COMPACT_EVERY == 0 else "left"
+        before = folder.totals(_versions(batch - 1, folder.compact_every))
+    how = "full" if batch % folder.compact_every == 0 else "left"
     return change.join(before, "player_id", how).selectExpr(
         "player_id",
         "cast(if(sum is null, total, sum + greatest(coalesce(total, 0), -low)) as int) as total",
@@ -127,39 +139,42 @@ def _new_totals(folder: LedgerFolder, batch: int, events: DataFrame) -> DataFram
     )
 
 
-def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int):
+def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int, closing: bool = False):
     def run(new: DataFrame, batch: int) -> None:
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             newest = new.agg(F.max(F.unix_micros("created_at"))).first()[0]
             before = _BEGINNING
-            on_time = new
+            on_time = commands = new.where("kind <> 'tick' and created_at is not null")
             if batch > 0:
                 before = folder.read("clock", batch - 1, CLOCK).first()[0]
-                on_time = new.where(F.col("created_at") > _instant(before)).unionByName(
+                on_time = commands.where(F.col("created_at") > _instant(before)).unionByName(
                     folder.read("carried", batch - 1, COMMANDS)
                 )
             watermark = before if newest is None else max(before, newest - delay_seconds * 1_000_000)
             status = _decide(on_time, players, _instant(watermark))
             folder.write("status", batch, status.select(*[c.split(" ")[0] for c in OUTCOMES.split(", ")]))
             status = folder.read("status", batch, OUTCOMES)
-            decided = status.where("status <> 'open'")
+            # Deadlines of the watermark's own instant are still open; approvals of that instant wait for them.
+            waits = F.lit(False) if closing else F.coalesce(F.col("approved_at") >= _instant(watermark), F.lit(False))
+            decided = status.where((F.col("status") != "open") & ~waits)
             folder.write("outcomes", batch, decided)
             folder.write("events", batch, score_events(decided))
             folder.write("totals", batch, _new_totals(folder, batch, folder.read("events", batch, EVENTS)))
-            open_ids = status.where("status = 'open'").selectExpr("id as proposal_id", "true as is_open")
+            open_ids = status.where((F.col("status") == "open") | waits).selectExpr("id as proposal_id", "true as is_open")
             known = on_time.join(open_ids, "proposal_id", "left").withColumn(
                 "keep", F.coalesce(F.col("is_open"), F.lit(False)) | (F.col("created_at") > _instant(watermark))
             )
             folder.write("carried", batch, known.where("keep").drop("keep", "is_open"))
-            late = new.where(F.col("created_at") <= _instant(before)).withColumn("reason", F.lit("late"))
+            late = commands.where(F.col("created_at") <= _instant(before)).withColumn("reason", F.lit("late"))
+            timeless = new.where("created_at is null").withColumn("reason", F.lit("no_time"))
             # What remains belongs to a proposal decided earlier, or to none.
             here = status.selectExpr("id as proposal_id")
             stray = known.where("not keep").drop("keep", "is_open").join(here, "proposal_id", "left_anti").withColumn(
                 "reason", F.lit("no_open_proposal")
             )
             columns = [c.split(" ")[0] for c in REJECTS.split(", ")]
-            folder.write("rejects", batch, late.unionByName(stray).select(*columns))
+            folder.write("rejects", batch, late.unionByName(stray).unionByName(timeless).select(*columns))
             clock = folder.spark.range(1).select(F.lit(watermark).cast("bigint").alias("watermark"))
             folder.write("clock", batch, clock)
         finally:
@@ -174,6 +189,7 @@ def start_ledger(
     root: str,
     delay_seconds: int = 0,
     every: str | None = None,
+    compact_every: int = _COMPACT_EVERY,
 ) -> tuple[StreamingQuery, LedgerFolder]:
     """Follow the command stream.
 
@@ -181,7 +197,7 @@ def start_ledger(
     without it the query works off what is there and stops.  Commands older than
     the newest one by more than the delay are late and go to the rejects table.
     """
-    folder = LedgerFolder(commands.sparkSession, root)
+    folder = LedgerFolder(commands.sparkSession, root, compact_every)
     writer = (
         commands.writeStream.foreachBatch(_ledger_batch(folder, players, delay_seconds))
         .option("checkpointLocation", f"{root}/checkpoint")
@@ -190,6 +206,12 @@ def start_ledger(
     return writer.start(), folder
 
 
+def close_ledger(folder: LedgerFolder, players: DataFrame, last_batch: int) -> int:
+    """A last batch without commands, for a log that has ended: what waited at the watermark comes out."""
+    _ledger_batch(folder, players, 0, closing=True)(folder.spark.createDataFrame([], COMMANDS), last_batch + 1)
+    return last_batch + 1
+
+
 def stream_board(folder: LedgerFolder, players: DataFrame, last_batch: int) -> DataFrame:
     """The leaderboard after a batch."""
-    return leaderboard(players, folder.totals(_versions(last_batch)))
+    return leaderboard(players, folder.totals(_versions(last_batch, folder.compact_every)))

@@ -8,23 +8,46 @@ from pyspark.sql import functions as F
 from quorumbook.functions.rules import VOTING_SECONDS
 
 
-def match_votes(proposals: DataFrame, votes: DataFrame, delay: str = "0 seconds") -> DataFrame:
+_MATCHED = [
+    "id", "proposal_id", "voter_id", "voted_at", "opened_at", "required_votes", "case_id is not null as matched",
+]
+
+
+def match_votes(
+    proposals: DataFrame, votes: DataFrame, delay: str = "0 seconds", longest_seconds: int = VOTING_SECONDS
+) -> DataFrame:
     """Each vote with the proposal that was open at its time.
 
     Both watermarks and the two-minute bound let Spark forget old rows; a vote
-    without an open proposal comes out, unmatched, once none can arrive.
+    without an open proposal comes out, unmatched, once none can arrive; what is
+    still held when a log ends comes from ``remaining_matches``.
     """
     made = proposals.select(
-        F.col("id").alias("case_id"), "required_votes", F.col("created_at").alias("opened_at")
+        F.col("id").alias("case_id"), "required_votes", F.col("created_at").alias("opened_at"), "deadline"
     ).withWatermark("opened_at", delay)
-    cast = votes.select("proposal_id", "voter_id", F.col("created_at").alias("voted_at")).withWatermark(
+    cast = votes.select("id", "proposal_id", "voter_id", F.col("created_at").alias("voted_at")).withWatermark(
         "voted_at", delay
     )
     in_time = (
         (F.col("proposal_id") == F.col("case_id"))
         & (F.col("voted_at") >= F.col("opened_at"))
-        & (F.col("voted_at") <= F.col("opened_at") + F.expr(f"interval {VOTING_SECONDS} seconds"))
+        & (F.col("voted_at") <= F.col("deadline"))
+        # What Spark needs in order to forget: no deadline is later than this.
+        & (F.col("voted_at") <= F.col("opened_at") + F.expr(f"interval {longest_seconds} seconds"))
     )
-    return cast.join(made, in_time, "left_outer").selectExpr(
-        "proposal_id", "voter_id", "voted_at", "opened_at", "required_votes", "case_id is not null as matched"
+    return cast.join(made, in_time, "left_outer").selectExpr(*_MATCHED)
+
+
+def remaining_matches(streamed: DataFrame, proposals: DataFrame, votes: DataFrame) -> DataFrame:
+    """The votes that a stream which has ended did not give out, matched as a batch.
+
+    These are votes without a proposal after which no newer one came, and votes
+    that were later than the delay; the latter can be told by their time.
+    """
+    rest = votes.join(streamed.select("id"), "id", "left_anti")
+    made = proposals.select(
+        F.col("id").alias("case_id"), "required_votes", F.col("created_at").alias("opened_at"), "deadline"
     )
+    cast = rest.select("id", "proposal_id", "voter_id", F.col("created_at").alias("voted_at"))
+    in_time = (F.col("proposal_id") == F.col("case_id")) & F.col("voted_at").between(F.col("opened_at"), F.col("deadline"))
+    return cast.join(made, in_time, "left_outer").selectExpr(*_MATCHED)
