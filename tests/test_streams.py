@@ -10,8 +10,10 @@ from quorumbook.operators.status import with_derived_status
 from quorumbook.plans.workspace import fresh_path
 from quorumbook.sources import schemas
 from quorumbook.sources.tables import follow_table
-from quorumbook.streaming.ledger import LedgerFolder, _ledger_batch, command_stream, start_ledger, stream_board
-from quorumbook.streaming.matching import match_votes
+from quorumbook.streaming.ledger import (
+    COMMANDS, LedgerFolder, _ledger_batch, close_ledger, command_stream, start_ledger, stream_board,
+)
+from quorumbook.streaming.matching import match_votes, remaining_matches
 from quorumbook.streaming.sinks import drain
 from quorumbook.streaming.throttle import stream_throttle
 
@@ -125,3 +127,79 @@ def test_vote_match_over_files(spark, ledger):
     p, v = tables[0], tables[1]
     want = v.join(p, (v.proposal_id == p.id) & v.created_at.between(p.created_at, p.deadline)).count()
     assert rows.where("matched").count() == want
+    everything = rows.unionByName(remaining_matches(rows, p, v))
+    assert sorted(r.id for r in everything.collect()) == sorted(r.id for r in v.collect())
+    assert everything.where("matched").count() == want
+
+
+def small_ledger(spark, batches, closing=True):
+    """Run batches of command rows; returns the folder, the players and the last batch."""
+    players = frames.players(spark, 12, set(range(12)))
+    folder = LedgerFolder(spark, fresh_path(spark, "small-ledger"), compact_every=2)
+    run = _ledger_batch(folder, players, 0)
+    for batch, commands in enumerate(batches):
+        run(commands, batch)
+    last = len(batches) - 1
+    return folder, players, close_ledger(folder, players, last) if closing else last
+
+
+def test_events_of_one_instant_keep_their_order(spark):
+    """A penalty fails at the very instant at which a pardon of the same player is approved; the penalty comes first."""
+    table = {1: dict(proposer=1, target=2, kind="penalty", amount=3, needed=8, created=0, deadline=120),
+             2: dict(proposer=3, target=1, kind="pardon", amount=1, needed=1, created=60, deadline=180)}
+    votes = [(10, 2, 5, 120)]
+    commands = command_stream(frames.proposals(spark, table), frames.votes(spark, votes), frames.withdrawals(spark, []))
+    end = frames.votes(spark, [(11, 99, 5, 400)])
+    later = command_stream(frames.proposals(spark, {}), end, frames.withdrawals(spark, []))
+    folder, players, last = small_ledger(spark, [commands, later])
+    totals = {r["id"]: r["total"] for r in stream_board(folder, players, last).collect()}
+    assert totals[1] == 2
+    assert [(r["player_id"], r["delta"]) for r in folder.events().orderBy("proposal_id").collect()] == [(1, 3), (1, -1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_cut_on_command_instants_gives_the_batch_result(spark, seed):
+    import random
+
+    proposals, votes, gone, active, n = model.random_log(20 + seed)
+    tables = (frames.proposals(spark, proposals), frames.votes(spark, votes), frames.withdrawals(spark, gone))
+    commands = command_stream(*tables).cache()
+    instants = sorted({frames.seconds(r[0]) for r in commands.select("created_at").collect()})
+    cuts = sorted(random.Random(seed).sample(instants, min(4, len(instants))))
+    edges = [instants[0] - 1, *cuts, instants[-1]]
+    parts = [commands.where((F.col("created_at") > F.lit(model.at(a))) & (F.col("created_at") <= F.lit(model.at(b))))
+             for a, b in zip(edges[:-1], edges[1:]) if a < b]
+    players = frames.players(spark, n, active)
+    folder = LedgerFolder(spark, fresh_path(spark, "cut-ledger"), compact_every=2)
+    for batch, part in enumerate(parts):
+        _ledger_batch(folder, players, 0)(part, batch)
+    last = close_ledger(folder, players, len(parts) - 1)
+    status = with_derived_status(ballots.resolve_proposals(*tables, players, F.lit(model.at(edges[-1]))),
+                                 F.lit(model.at(edges[-1])))
+    events = scores.score_events(status)
+    board = scores.leaderboard(players, scores.player_totals(events))
+    assert sorted(map(str, folder.events().collect())) == sorted(map(str, events.collect()))
+    assert sorted(map(str, stream_board(folder, players, last).collect())) == sorted(map(str, board.collect()))
+
+
+def test_commands_without_a_time_are_rejected(spark):
+    case = dict(proposer=1, target=2, kind="penalty", amount=1, needed=2, created=0, deadline=120)
+    commands = command_stream(frames.proposals(spark, {1: case}), frames.votes(spark, [(1, 1, 3, 50)]),
+                              frames.withdrawals(spark, []))
+    timeless = commands.where("kind = 'vote'").withColumn("created_at", F.lit(None).cast("timestamp"))
+    folder, _, _ = small_ledger(spark, [commands, timeless, timeless])
+    assert [(r["id"], r["reason"]) for r in folder.rejects().collect()] == [(1, "no_time")] * 2
+
+
+def test_time_passes_without_commands(spark):
+    case = dict(proposer=1, target=2, kind="penalty", amount=1, needed=2, created=0, deadline=120)
+    commands = command_stream(frames.proposals(spark, {1: case}), frames.votes(spark, []), frames.withdrawals(spark, []))
+    nothing = spark.createDataFrame([], COMMANDS)
+    ticks = spark.createDataFrame([(model.at(121),)], "created_at timestamp")
+    idle = command_stream(*(t.limit(0) for t in (frames.proposals(spark, {1: case}), frames.votes(spark, []),
+                                                 frames.withdrawals(spark, []))), ticks=ticks)
+    folder, _, _ = small_ledger(spark, [commands, nothing], closing=False)
+    assert folder.outcomes().isEmpty()
+    folder, _, _ = small_ledger(spark, [commands, nothing, idle], closing=False)
+    assert [(r["id"], r["status"]) for r in folder.outcomes().collect()] == [(1, "failed")]
+    assert folder.rejects().isEmpty()
