@@ -6,8 +6,9 @@ group never mixes texts that merely share a hash.  Copies meet in the map-side
 combine already: however large a group is, each input task sends one row of it.
 
 Defined results: without an id a row yields to any row with one; rows that
-repeat the smallest id of a group all stay, as they are one document by id; an
-empty table gives no rows; further columns of the input are ignored.
+repeat the smallest id of a group are all marked as kept, as they are one document
+by id, and ``drop_copies`` keeps one of them; an empty table gives no rows; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def content_hash(text: Column) -> Column:
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, carried: list[Column], hash_of) -> DataFrame:
-    """Every row with its group: doc_id, keep_id, group_size, sha256 and the carried columns."""
+    """Every row with its group: doc_id, keep_id, group_size, hash, sha256 and the carried columns."""
     hashed = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"), *carried)
     hashed = hashed.withColumn("hash", hash_of(F.col("norm")))
     groups = hashed.groupBy("hash", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -38,12 +39,12 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, carried: list[Column],
         F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
     ), "exact-groups")
     rows = hashed.withColumn("sha256", F.sha2(F.col("norm").cast("binary"), 256))
-    plain = rows.drop("norm").join(by_hash.where("texts = 1").drop("texts"), "hash").drop("hash")
+    plain = rows.drop("norm").join(by_hash.where("texts = 1").drop("texts"), "hash")
     shared = by_hash.where("texts > 1").select("hash")
     if shared.isEmpty():
         return plain
     colliding = rows.join(shared, "hash", "left_semi").join(groups, ["hash", "norm"])
-    return plain.unionByName(colliding.drop("hash", "norm"))
+    return plain.unionByName(colliding.drop("norm"))
 
 
 def exact_groups(
@@ -57,6 +58,6 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """One row of ``docs`` for each group, with all its columns: one of those that bear the smallest id."""
     decided = _decided(docs, id_col, text_col, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")], content_hash)
-    return decided.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    return decided.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["hash", "sha256"]).select("row.*")
