@@ -340,6 +340,13 @@ def involved_actions(fx):
     return feeds.involved_actions(_open_status(fx), _open_votes(fx))
 
 
+@query
+def viewer_set_actions(fx):
+    """What each of a set of viewers may do, as counts of open cases."""
+    viewers = fx.players.where(F.col("id") % 5 == 0).select(F.col("id").alias("viewer_id"))
+    return feeds.actions_of(_open_status(fx), _open_votes(fx), viewers)
+
+
 @query
 def voters_by_proposal(fx):
     return ballots.voters_by_proposal(_decided(fx))
@@ -367,9 +374,17 @@ def _audited(fx: Fixtures) -> DataFrame:
     return stored.join(commands, "id")
 
 
+def _audited_players(fx: Fixtures) -> DataFrame:
+    """Players, some of them with a blank name or a device that another one holds."""
+    return fx.players.withColumns({
+        "display_name": F.expr("if(id % 29 = 0, ' ', display_name)"),
+        "claimed_user_id": F.expr("if(id % 31 = 0, id - 1, claimed_user_id)"),
+    })
+
+
 @query
 def audit_summary(fx):
-    return audit.audit_summary(fx.players, _audited(fx), fx.votes)
+    return audit.audit_summary(_audited_players(fx), _audited(fx), fx.votes)
 
 
 def _register_row_audit(rule: str) -> None:
@@ -386,7 +401,7 @@ for _rule in audit.PROPOSAL_RULES:
 
 @query
 def audit_player_name_length(fx):
-    return audit.breaking_rows(fx.players, audit.player_rules()["player_name_length"]).select("id")
+    return audit.breaking_rows(_audited_players(fx), audit.player_rules()["player_name_length"]).select("id")
 
 
 @query
@@ -397,7 +412,7 @@ def audit_player_name_unique(fx):
 
 @query
 def audit_player_device_unique(fx):
-    return audit.repeated_keys(fx.players, "claimed_user_id")
+    return audit.repeated_keys(_audited_players(fx), "claimed_user_id")
 
 
 @query

@@ -119,6 +119,21 @@ def viewer_actions(recent: DataFrame, votes: DataFrame, viewer_id) -> DataFrame:
     )
 
 
+def actions_of(status: DataFrame, votes: DataFrame, viewers: DataFrame) -> DataFrame:
+    """Number of open cases by viewer and action, for the given viewers.
+
+    Cases are joined only with viewers who are involved in them; on all others a viewer can vote.
+    """
+    known = viewers.select("viewer_id").distinct()
+    involved = involved_actions(status, votes).join(known, "viewer_id", "left_semi").groupBy("viewer_id", "action").agg(
+        F.count("*").alias("cases"))
+    n_open = status.where(F.col("status") == "open").count()
+    taken = involved.groupBy("viewer_id").agg(F.sum("cases").alias("taken"))
+    rest = known.join(taken, "viewer_id", "left").select(
+        "viewer_id", F.lit("can_vote").alias("action"), (F.lit(n_open) - F.coalesce("taken", F.lit(0))).alias("cases"))
+    return involved.unionByName(rest.where("cases > 0"))
+
+
 def involved_actions(status: DataFrame, votes: DataFrame) -> DataFrame:
     """The same for every viewer who is involved in an open case.
 
