@@ -1,15 +1,17 @@
 """Byte-level BPE as a fold of ranked merges over byte arrays, in Spark's higher-order functions.
 
-The rank map is a literal: an array of small maps, one for each value of a checksum
-modulo ``BUCKETS``, as a lookup in a map walks its keys.  A word starts as the array
-of its bytes.  Each turn of the fold looks up every two neighbours and joins the
-leftmost pair of least rank, until no pair has a rank; pieces are then looked up once
-more for their ids.  Decoding looks the ids up and concatenates the binary pieces.
+The rank map is a literal from two neighbouring pieces to the rank of what they join
+to, cut into small maps by the pair's remainder, as a lookup in a map walks its keys.  A
+word starts as the array of its bytes, each as the id of its piece.  Each turn of the fold
+looks up every two neighbours and joins the leftmost pair of least rank, until no pair has
+a rank.  Decoding looks the ids up and concatenates the binary pieces.
 
 Words are folded once per chunk of documents, not once per occurrence, and words that
 are frequent in a sample are folded beforehand.  Documents never leave their task, so
 nothing is shuffled but the counts of the sample.
 
+Words that are pieces themselves have their own id and are not folded.
+
 Bounds: at most ``PREPARED_WORDS`` words from about ``PREPARED_FROM`` documents are
 prepared and broadcast; which words these are changes the speed and never the ids.
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -29,11 +31,20 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 2048
-PREPARED_WORDS = 200_000
-PREPARED_FROM = 6000
-CHUNK_BYTES = 16_000_000
+BUCKETS = 65_521
+PREPARED_WORDS = 100_000
+PREPARED_FROM = 8000
+CHUNK_BYTES = 2_000_000
+_WORD = ("words", "ids", "texts", "bodies")
+OUTPUTS = ("ids", "ids_text", "decoded")
+#: Above every rank: the pair is no piece.
+_NO_RANK = 2**31 - 1
+_PLACES = 2**32
+#: Above every id, so that two ids are one number.
+_IDS = 1 << 24
 _UNIT = 1 << 30
+_GROUPS = 64
+_ROWS = 256
 
 
 @cache
@@ -42,17 +53,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_table(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    """The literal rank map: array<map<binary,int>>."""
-    parts: list[list[dict]] = [[] for _ in range(buckets)]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of every two pieces that join to a piece, by the number that stands for the two."""
+    joined = {}
     for piece, rank in ranks.items():
-        parts[zlib.crc32(piece) % buckets].append({"key": base64.b64encode(piece).decode(), "value": rank})
-    kind = "array<struct<key:binary,value:int>>"
-    return F.array(*[F.map_from_entries(F.from_json(F.lit(json.dumps(p)), kind)) for p in parts])
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                joined[left * _IDS + right] = rank
+    return joined
 
 
-def rank_of(table: Column, piece: Column, buckets: int = BUCKETS) -> Column:
-    return F.try_element_at(F.get(table, (F.crc32(piece) % buckets).cast("int")), piece)
+def rank_literal(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
+    """The rank map as a literal: for each bucket its entries, array<array<struct<key:bigint,value:int>>>."""
+    parts: list[list[dict]] = [[] for _ in range(buckets)]
+    for pair, rank in pair_ranks(ranks).items():
+        parts[pair % buckets].append({"key": pair, "value": rank})
+    return F.from_json(F.lit(json.dumps(parts, separators=(",", ":"))), "array<array<struct<key:bigint,value:int>>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -60,49 +77,65 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merged_pieces(word: Column, table: Column, buckets: int = BUCKETS) -> Column:
-    """The pieces of one word (binary) after all merges: array<binary>."""
-    size = F.octet_length(word)
-    bytes_ = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
+def _merged(word: Column, table: Column, single: Column, buckets: int) -> Column:
+    """Ids of the pieces of one word (binary) after all merges."""
+    def pair(left: Column, right: Column) -> Column:
+        return left.cast("bigint") * _IDS + right
 
-    def turn(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-
-        def join(ranks: Column) -> Column:
-            least = F.array_min(ranks)
+    def rank(key: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.get(table, (key % buckets).cast("int")), key), F.lit(_NO_RANK))
 
+    def turn(ids: Column, _: Column) -> Column:
+        def join(least: Column) -> Column:
             def at(place: Column) -> Column:
-                pair = F.concat(F.get(pieces, place - 1), F.get(pieces, place))
-                return F.concat(F.slice(pieces, F.lit(1), place - 1), F.array(pair),
-                                F.slice(pieces, place + 2, F.size(pieces)))
+                new = (least / _PLACES).cast("int")
+                placed = F.transform(ids, lambda x, i: F.when(i == place, new).otherwise(x))
+                return F.filter(placed, lambda _, i: i != place + 1)
 
-            return F.struct(
-                F.when(least.isNull(), pieces)
-                .otherwise(_let(F.array_position(ranks, least).cast("int"), at)).alias("pieces"),
-                least.isNull().alias("done"))
+            return F.when(least < _NO_RANK * _PLACES, _let(least % _PLACES, at)).otherwise(ids)
 
-        ranks = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)),
-                            lambda x, i: rank_of(table, F.concat(F.get(pieces, i), x), buckets))
-        return F.when(state["done"], state).otherwise(_let(ranks, join))
+        # The least rank and, of equal ones, the first place, as one number.
+        ranks = F.transform(F.slice(ids, F.lit(2), F.size(ids)),
+                            lambda x, i: rank(pair(F.get(ids, i), x)) * F.lit(_PLACES) + i)
+        return F.when(F.size(ids) < 2, ids).otherwise(_let(F.array_min(ranks), join))
 
-    start = F.struct(bytes_.alias("pieces"), F.lit(False).alias("done"))
-    turns = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    return F.aggregate(turns, start, turn, lambda s: s["pieces"])
+    def folded(digits: Column) -> Column:
+        size = (F.length(digits) / 2).cast("int")
+        start = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(
+            single, F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), start, turn)
 
+    return _let(F.hex(word), folded)
 
-def word_ids(word: Column, table: Column, buckets: int = BUCKETS) -> Column:
-    """Ids of one word: its own, if it is a piece, else those of its merged pieces."""
-    pieces = F.transform(merged_pieces(word, table, buckets), lambda p: rank_of(table, p, buckets))
-    return _let(rank_of(table, word, buckets), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(pieces))
 
+def folded_words(words: Column, ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
+    """For each of an array of words (binary, not empty) the ids of its pieces after all merges."""
+    single = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids."""
+    def all_words(table: Column) -> Column:
+        return _let(single, lambda ids: F.transform(words, lambda word: _merged(word, table, ids, buckets)))
+
+    return _let(F.transform(rank_literal(ranks, buckets), lambda entries: F.map_from_entries(entries)), all_words)
+
+
+def _piece_literal(ranks: dict[bytes, int]) -> Column:
     by_id = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         by_id[rank] = base64.b64encode(piece).decode()
-    pieces = F.from_json(F.lit(json.dumps(by_id)), "array<binary>")
-    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i).cast("string")), "").cast("binary")
+    return F.from_json(F.lit(json.dumps(by_id)), "array<binary>")
+
+
+def decoded_all(lists: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of each of an array of id arrays."""
+    def joined(pieces: Column, ids: Column) -> Column:
+        return F.array_join(F.transform(ids, lambda i: F.get(pieces, i).cast("string")), "").cast("binary")
+
+    return _let(_piece_literal(ranks), lambda pieces: F.transform(lists, lambda ids: joined(pieces, ids)))
+
+
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids."""
+    return F.get(decoded_all(F.array(ids), ranks), F.lit(0))
 
 
 class _Codes(dict):
@@ -121,55 +154,108 @@ class _Codes(dict):
         return code
 
 
-def _prepared_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int, sample: int) -> list:
-    """(word, ids) of the most frequent words of some documents; at most ``most`` rows reach the driver."""
+def _finders(pattern: str):
+    """How to split a text, and an equal but faster way for ASCII texts."""
+    import regex
+
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    whole = regex.compile(pattern).findall
+    return whole, whole if r"\p{" in plain else re.compile(plain, re.ASCII).findall
+
+
+def _prepared_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int, sample: int) -> bytes:
+    """Word and ids of the most frequent words of some documents, ``most`` rows at most, as a serialised table."""
     import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
 
     total = docs.count()
     part = F.pmod(F.xxhash64("text"), F.lit(_UNIT)) < min(_UNIT, -(-sample * _UNIT // max(1, total)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split = regex.compile(pattern).findall
+        whole, ascii_only = _finders(pattern)
         for batch in batches:
             seen = Counter()
             for text in batch.column(0):
-                seen.update(split(text.as_py()))
+                text = text.as_py()
+                seen.update((ascii_only if text.isascii() else whole)(text))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w.encode() for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())],
                 names=["word", "n"])
 
-    counted = docs.select("text").where(part).limit(2 * sample).mapInArrow(count, "word binary, n bigint")
+    counted = docs.select("text").where(part).mapInArrow(count, "word binary, n bigint")
     frequent = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    spread = frequent.repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    return [(r["word"].decode(), r["ids"]) for r in spread.select(
-        "word", word_ids(F.col("word"), rank_table(ranks)).alias("ids")).collect()]
+    rows = frequent.groupBy(F.pmod(F.xxhash64("word"), F.lit(_GROUPS))).agg(F.collect_list("word").alias("words"))
+    found = _folded(rows, ranks).select(F.explode(F.arrays_zip(*_WORD)).alias("w")).select("w.*").toArrow()
+    own = [(piece, rank) for piece, rank in ranks.items() if _is_text(piece)]
+    pieces = pa.table([[p for p, _ in own], [[r] for _, r in own], [str(r) for _, r in own], [p for p, _ in own]],
+                      schema=found.schema)
+    known = pa.compute.is_in(found.column("words"), value_set=pieces.column("words"))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, found.schema) as stream:
+        stream.write_table(pa.concat_tables([pieces, found.filter(pa.compute.invert(known))]))
+    return out.getvalue().to_pybytes()
+
+
+def _is_text(piece: bytes) -> bool:
+    try:
+        piece.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _folded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Add the ids of the words of each row, as numbers and as text, and the bytes that these decode to."""
+    texts = F.transform("ids", lambda x: F.array_join(x.cast("array<string>"), ","))
+    return rows.withColumn("ids", folded_words(F.col("words"), ranks)).withColumn("texts", texts).withColumn(
+        "bodies", decoded_all(F.col("ids"), ranks))
+
+
+class _Words:
+    """What each numbered word contributes to a document."""
+
+    def __init__(self):
+        self.sizes, self.ids, self.texts, self.bodies = [], [], [], []
+
+    def add(self, ids, texts, bodies) -> None:
+        """Append the words of list, text and binary columns."""
+        cuts = ids.offsets.to_numpy()
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("int32").tobytes()
+        self.sizes += (cuts[1:] - cuts[:-1]).tolist()
+        cuts = ((cuts - cuts[0]) * 4).tolist()
+        self.ids += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        self.texts += texts.to_pylist()
+        self.bodies += bodies.to_pylist()
+
+    def cut(self, size: int) -> None:
+        for values in (self.sizes, self.ids, self.texts, self.bodies):
+            del values[size:]
 
 
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    prepared_words: int = PREPARED_WORDS, prepared_from: int = PREPARED_FROM, chunk_bytes: int = CHUNK_BYTES,
+    outputs: tuple[str, ...] = OUTPUTS, prepared_words: int = PREPARED_WORDS, prepared_from: int = PREPARED_FROM,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """doc_id and ids (array<int>) of every row."""
+    """doc_id, n_tokens and the wanted of ids (array<int>), ids_text (decimal, with commas) and decoded (bytes)."""
     import numpy as np
     import pyarrow as pa
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prepared = _prepared_words(docs, ranks, pattern, prepared_words, prepared_from)
-    known = docs.sparkSession.sparkContext.broadcast(prepared)  # bounded by prepared_words
+    # Bounded by prepared_words.
+    known = docs.sparkSession.sparkContext.broadcast(_prepared_words(docs, ranks, pattern, prepared_words, prepared_from))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
-        numbers = {w: i for i, (w, _) in enumerate(known.value)}
+        whole, ascii_only = _finders(pattern)
+        prepared = pa.ipc.open_stream(known.value).read_all().column("words").to_pylist()
+        numbers = {w.decode(): i for i, w in enumerate(prepared)}
+        del prepared
         for batch in batches:
             at, codes, held, words = 0, [], 0, _Codes(numbers)
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                found = find(text)
+                found = (ascii_only if text.isascii() else whole)(text)
                 codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)).tobytes())
                 held += len(text)
                 if held >= chunk_bytes or i + 1 == batch.num_rows:
@@ -180,31 +266,38 @@ def encode(
                         names=["doc_ids", "codes", "words"])
                     at, codes, held, words = i + 1, [], 0, _Codes(numbers)
 
+    kinds = {"ids": pa.list_(pa.int32()), "ids_text": pa.string(), "decoded": pa.binary()}
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [np.array(ids, np.int32).tobytes() for _, ids in known.value]
+        table = _Words()
+        for prepared in pa.ipc.open_stream(known.value):
+            table.add(*(prepared.column(c) for c in ("ids", "texts", "bodies")))
+        ready = len(table.sizes)
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, codes, words = (batch.column(k)[r].values for k in range(3))
-                flat, cuts = words.flatten().to_numpy(zero_copy_only=False).astype(np.int32), words.offsets.to_numpy()
-                cuts = cuts - cuts[0]
-                table = ready + [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                bodies, sizes, held = [], [0], 0
-                for lo, code in enumerate(codes):
-                    body = b"".join(map(table.__getitem__, np.frombuffer(code.as_py(), np.uint32).tolist()))
-                    bodies.append(body)
-                    sizes.append(len(body) // 4)
-                    held += len(body)
-                    if held >= chunk_bytes or lo + 1 == len(codes):
-                        values = pa.array(np.frombuffer(b"".join(bodies), np.int32))
-                        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), values)
-                        yield pa.RecordBatch.from_arrays([ids.slice(lo + 1 - len(bodies), len(bodies)), lists],
-                                                         names=["doc_id", "ids"])
-                        bodies, sizes, held = [], [0], 0
-
-    table = rank_table(ranks)
+                doc_ids, codes = batch.column(0)[r].values, batch.column(1)[r].values
+                table.add(*(batch.column(k)[r].values for k in (2, 3, 4)))
+                sizes = np.array(table.sizes, np.int64)
+                for at in range(0, len(codes), _ROWS):
+                    part = [np.frombuffer(c.as_py(), np.uint32) for c in codes.slice(at, _ROWS)]
+                    columns = [doc_ids.slice(at, _ROWS), pa.array([int(sizes[c].sum()) for c in part], pa.int64())]
+                    part = [c.tolist() for c in part]
+                    for name in outputs:
+                        if name == "ids_text":
+                            values = [",".join(map(table.texts.__getitem__, c)) for c in part]
+                        elif name == "decoded":
+                            values = [b"".join(map(table.bodies.__getitem__, c)) for c in part]
+                        else:
+                            values = [np.frombuffer(b"".join(map(table.ids.__getitem__, c)), np.int32) for c in part]
+                        columns.append(pa.array(values, kinds[name]))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", *outputs])
+                table.cut(ready)
+
     chunks = docs.mapInArrow(split, f"doc_ids array<{kind}>, codes array<binary>, words array<binary>")
-    folded = chunks.select("doc_ids", "codes", F.transform("words", lambda w: word_ids(w, table)).alias("words"))
-    return folded.mapInArrow(assemble, f"doc_id {kind}, ids array<int>")
+    sql = {"ids": "array<int>", "ids_text": "string", "decoded": "binary"}
+    wanted = "".join(f", {name} {sql[name]}" for name in outputs)
+    return _folded(chunks, ranks).select("doc_ids", "codes", "ids", "texts", "bodies").mapInArrow(
+        assemble, f"doc_id {kind}, n_tokens bigint{wanted}")
 
 
 def _one(values):

@@ -80,11 +80,10 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     ranks = bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    encoded = bpe.encode(read_table(spark, folder, "documents"), ranks, PATTERN)
+    encoded = bpe.encode(read_table(spark, folder, "documents"), ranks, PATTERN, outputs=("ids_text", "decoded"))
     return encoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+        "doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
