@@ -9,8 +9,10 @@ of itself at most, and of that only segments whose name occurs again.
 Equal segments are one, marked as repeated.  The different segments of a name, many
 names at a time, make a bounded batch: its Burrows-Wheeler transform is expanded
 breadth first by backward extension until common prefixes reach ``length``
-(``bwt.repeated_starts``).  A name whose segments exceed a batch is dealt again by
-another hash within the name; strings that differ part from each other there.
+(``bwt.repeated_starts``).  A name whose segments exceed a batch is dealt again within
+the name by another hash of longer pieces, as strings at the edge of a passage share
+nearly all short ones.  What still exceeds a batch after ``DEALS`` deals is counted
+string by string: 128-bit digests meet in an aggregate, so no task holds a name.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing;
 overlapping occurrences count, strings are judged on the input, and no string
@@ -35,13 +37,15 @@ LENGTH = 200
 GRAM = 64
 #: Sizes of the filters of repeated names and of texts that are looked up again; full ones only cost time.
 FILTER_BITS = 1 << 24
-#: Bytes of a batch; names with more are dealt again, up to so many times.
+#: Bytes of a batch; names with more are dealt again, up to so many times, and then counted.
 BATCH_BYTES = 2_000_000
 GROUP_BYTES = 4_000_000
-DEALS = 8
+DEALS = 3
 _ODD = 0x9E3779B97F4A7C15
 _ID = "key bigint, c1 bigint, c2 bigint"
 _RUNS = "array<struct<a:int,b:int>>"
+#: Rows of one Arrow batch where a segment makes many.
+_ROWS = 50_000
 
 
 def _byte_values(seed: int) -> np.ndarray:
@@ -266,15 +270,66 @@ def _classified(found: DataFrame, length: int, *firsts) -> tuple[DataFrame, Data
     return settled, placed.where("different > 1 OR (n = 1 AND again)").withColumn("many", F.col("n") > 1)
 
 
+def _longer(gram: int, length: int) -> int:
+    """The pieces of the next deal: half of what they lack of a whole string is added."""
+    return gram + (length - gram + 1) // 2
+
+
+def _strings(bodies: DataFrame, length: int) -> DataFrame:
+    """Every different string of a segment as its digest (s1, s2): how often it starts and, if once, where.
+
+    What repeats inside the segment is settled there and comes as rows of ``runs`` without a digest.
+    """
+    import pyarrow as pa
+    import xxhash
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "c1", "c2", "s1", "s2", "times", "start", "runs"]
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        for batch in batches:
+            for key, c1, c2, body in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                starts = range(len(body) - length + 1)
+                found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[p:p + length]) for p in starts), np.int64)
+                found = found.view([("s1", np.int64), ("s2", np.int64)])
+                unlike, first, of, times = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
+                runs = [{"a": a, "b": b} for a, b in _runs(times[of] > 1)]
+                none = pa.array([None], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v]) for v in (key, c1, c2)] + [none] * 3 + [none.cast(pa.int32()), pa.array([runs], kind)], names=names)
+                for at in range(0, len(first), _ROWS):
+                    part = slice(at, at + _ROWS)
+                    n = len(first[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, v)) for v in (key, c1, c2)] + [
+                            pa.array(unlike["s1"][part]), pa.array(unlike["s2"][part]), pa.array(times[part]),
+                            pa.array(first[part].astype(np.int32), mask=times[part] > 1), pa.nulls(n, kind)], names=names)
+
+    return bodies.select("key", "c1", "c2", "body").mapInArrow(
+        digest, f"{_ID}, s1 bigint, s2 bigint, times bigint, start int, runs {_RUNS}")
+
+
+def _counted(bodies: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated starts by counting strings, for names of any volume."""
+    strings = written(_strings(bodies, length), "strings")
+    repeated = strings.where("s1 is not null").groupBy("key", "s1", "s2").agg(F.sum("times").alias("total")).where("total > 1")
+    single = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + 1).alias("b"))).cast(_RUNS)
+    elsewhere = strings.where("start is not null").join(repeated, ["key", "s1", "s2"]).select("key", "c1", "c2", single.alias("runs"))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("body") - (length - 1)).alias("b"))).cast(_RUNS)
+    inside = strings.where("size(runs) > 0").select("key", "c1", "c2", "runs")
+    return elsewhere.unionByName(inside).unionByName(bodies.where("many").select("key", "c1", "c2", whole.alias("runs")))
+
+
 def _solved(bodies: DataFrame, length: int, gram: int, batch_bytes: int, group_bytes: int, deal: int) -> DataFrame:
-    """Runs of repeated starts of all segments; bodies: key, c1, c2, many, body, volume (of the name)."""
-    small = bodies.where(F.col("volume") <= group_bytes) if deal < DEALS else bodies
+    """Runs of repeated starts of all segments, in one or more rows each; bodies: key, c1, c2, many, body, volume (of
+    the name)."""
+    small = bodies.where(F.col("volume") <= group_bytes)
     solved = _batched(small.select("key", "c1", "c2", "many", "body"), length, batch_bytes)
-    if deal >= DEALS:
-        return solved
     large = bodies.where(F.col("volume") > group_bytes).select("key", "c1", "c2", "many", "body")
     if large.isEmpty():
         return solved
+    gram = _longer(gram, length)
+    if deal > DEALS or gram >= length:
+        return solved.unionByName(_counted(large, length))
     parts = written(_dealt_again(large, length, gram, deal), "dealt-again")
     settled, open_ = _classified(parts, length, F.first("body").alias("body"))
     inner = settled.unionByName(

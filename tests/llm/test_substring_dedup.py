@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 from odd_rows import ODD_ROWS
+from pyspark.sql import functions as F
 
+from quorumbook.llm import substring_dedup
 from quorumbook.llm.bwt import repeated_starts
 from quorumbook.llm.substring_dedup import gram_hashes, remove_repeated
 
@@ -79,3 +81,32 @@ def test_equal_pieces_have_equal_hashes():
 
 def test_empty_table(empty):
     assert remove_repeated(empty, length=20, gram=8).collect() == []
+
+
+def edges(seed, passage, n=80):
+    """One passage between bytes of each text's own."""
+    rng = random.Random(seed)
+    own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(n)]
+    return [(i, t[:30] + passage + t[30:], "en", "s") for i, t in enumerate(own)]
+
+
+def test_no_batch_exceeds_its_bound(documents, monkeypatch):
+    rows = edges(5, "THE LINE UNDER EVERY PAGE") + [(500 + i, "z" * (17 + i)) for i in range(30)] + [
+        (600 + i, "xyz" * (9 + i)) for i in range(30)]
+    volumes, batched = [0], substring_dedup._batched
+
+    def watched(bodies, *rest):
+        volumes.extend(r["sum"] for r in bodies.selectExpr("key", "octet_length(body) + 1 as size").groupBy("key").agg(
+            F.sum("size").alias("sum")).collect())
+        return batched(bodies, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_batched", watched)
+    dealt = remove_repeated(documents(rows), length=16, gram=4, batch_bytes=200, group_bytes=400)
+    assert result(dealt) == brute(rows, 16)
+    assert max(volumes) <= 400
+
+
+def test_counted_strings_equal_brute_force(documents, monkeypatch):
+    rows = repeating(6) + edges(7, "the line under every page", 20) + edges(7, "the line under every page", 5)
+    monkeypatch.setattr(substring_dedup, "DEALS", 0)
+    assert result(remove_repeated(documents(rows), length=16, gram=4, batch_bytes=50, group_bytes=60)) == brute(rows, 16)
