@@ -34,6 +34,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: Every so many sampled documents one is kept out of training to fit the temperature.
 CALIBRATION_EVERY = 5
 UNKNOWN = "und"
+_LETTER = "_has_letter"
 _UNIT = 1 << 30
 #: Characters that are hashed at a time, so that a very long text needs little memory.
 _WINDOW = 1 << 20
@@ -44,6 +45,10 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and bool(_letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")].any())
+
+
 def gram_counts(text: str) -> np.ndarray:
     """Occurrences per bucket of the n-grams of a whole text; all zero without a letter."""
     counts = np.zeros(BUCKETS, np.int64)
@@ -220,9 +225,14 @@ def predict_languages(
     docs: DataFrame, model: LanguageModel, text_col: str = "text", kept: list[str] | None = None
 ) -> DataFrame:
     """The ``kept`` columns (all, if not given) of every row with lang_pred and score."""
+    kept = docs.columns if kept is None else kept
+    return _judged(docs, model, text_col, kept).drop(_LETTER)
+
+
+def _judged(docs: DataFrame, model: LanguageModel, text_col: str, kept: list[str]) -> DataFrame:
+    """The ``kept`` columns with lang_pred, score and, whatever the model knows, whether the text has a letter."""
     import pyarrow as pa
 
-    kept = docs.columns if kept is None else kept
     names = [f"c{i}" for i in range(len(kept))]
     rows = docs.select(F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the buckets and the languages
@@ -231,21 +241,27 @@ def predict_languages(
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(text.as_py()) for text in batch.column(0)]
+            texts = [text.as_py() for text in batch.column(0)]
+            found = [model.predict(text) for text in texts]
+            # A score above zero takes a letter.
+            letter = [f[1] > 0 or has_letter(text) for f, text in zip(found, texts)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())],
-                names=[*names, "lang_pred", "score"],
+                 pa.array([f[1] for f in found], pa.float64()), pa.array(letter, pa.bool_())],
+                names=[*names, "lang_pred", "score", _LETTER],
             )
 
-    out = rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], "lang_pred", "score")
+    out = rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double, {_LETTER} boolean")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], "lang_pred", "score", _LETTER)
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language at all, with all their columns."""
+    """The rows of ``docs`` whose text has a letter, with all their columns.
+
+    The predicted name does not decide: a model that could learn nothing gives ``und`` to every text, and ``und`` may
+    be a label of the table.
+    """
     columns = docs.columns
-    predicted = predict_languages(docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)]), model,
-                                  f"k{columns.index(text_col)}")
-    known = predicted.where(F.col("lang_pred") != UNKNOWN)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)])
+    known = _judged(named, model, f"k{columns.index(text_col)}", named.columns).where(_LETTER)
     return known.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)])

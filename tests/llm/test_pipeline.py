@@ -75,3 +75,15 @@ def test_empty_table(spark, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.collect() == []
+
+
+def test_documents_without_labels_are_kept(spark, raw, tmp_path):
+    for label in (None, "und"):
+        docs = raw.withColumn("lang", F.lit(label).cast("string"))
+        kept = STAGES["language"](spark, docs, str(tmp_path)).select("doc_id", "text").collect()
+        assert sorted(map(str, kept)) == sorted(
+            str(r) for r in raw.select("doc_id", "text").collect() if re.search("[a-z]", r.text or ""))
+    raw.withColumn("lang", F.lit(None).cast("string")).select("doc_id", "text", "lang", "source").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    found = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {1, 5, None} <= found and not found & {3, 4, 6}
