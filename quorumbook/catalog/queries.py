@@ -21,7 +21,7 @@ from quorumbook.plans.workspace import fresh_path
 from quorumbook.sources.fixtures import (
     Fixtures, at_second, attempts_from_events, proposals_from_orders, votes_from_lines, withdrawals_from_orders,
 )
-from quorumbook.sources.schemas import TEST_TABLES
+from quorumbook.sources.schemas import CLAIM_ATTEMPTS, TEST_TABLES
 from quorumbook.sources.tables import follow_table
 from quorumbook.sources.views import register_views
 from quorumbook.streaming.ledger import (
@@ -30,6 +30,7 @@ from quorumbook.streaming.ledger import (
 from quorumbook.streaming.matching import match_votes, remaining_matches
 from quorumbook.streaming.sinks import drain
 from quorumbook.streaming.throttle import stream_throttle as throttled_stream
+from quorumbook.streaming.throttle import throttle_rejects
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -524,6 +525,16 @@ def stream_throttle(fx):
     return drain(throttled_stream(attempts), "throttle").withColumnRenamed("at", "ts")
 
 
+@query
+def stream_rejects(fx):
+    """Late attempts, where every tenth attempt is delivered after all others."""
+    path, root = fresh_path(fx.spark, "delivered"), fresh_path(fx.spark, "rejects")
+    for delivered in ("seq % 10 <> 0", "seq % 10 = 0"):
+        fx.claim_attempts.where(delivered).write.mode("append").parquet(path)
+        rejected = drain(throttle_rejects(follow_table(fx.spark, path, CLAIM_ATTEMPTS)), "rejects", root)
+    return rejected.withColumnRenamed("at", "ts")
+
+
 @query
 def stream_vote_match(fx):
     matched = match_votes(

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame
 from quorumbook.plans.workspace import fresh_path
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Work off the available input into parquet in the shared folder and read it back."""
+def drain(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
+    """Work off the available input into parquet in the shared folder and read it back.
+
+    A ``root`` that was drained into before goes on from its checkpoint.
+    """
     spark = stream.sparkSession
-    root = fresh_path(spark, label)
+    root = root or fresh_path(spark, label)
     query = (
         stream.writeStream.format("parquet").option("path", f"{root}/rows")
         .option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()

@@ -12,6 +12,7 @@ from quorumbook.functions.rules import MAX_WRONG_CODES
 from quorumbook.operators.throttle import SPAN, Throttle
 
 RESULT = "device_id bigint, seq bigint, at bigint, outcome string, attempts_left int"
+JUDGED = f"{RESULT}, reason string"
 _STATE = "attempts int, started bigint, blocked_until bigint"
 
 
@@ -23,11 +24,18 @@ class ThrottleProcessor(StatefulProcessor):
         self._state = handle.getValueState("throttle", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000  # nothing has passed in the first micro-batch
+        refused = batch["at"].isna() | (batch["at"] <= passed if passed > 0 else False)
+        if refused.any():
+            yield self._rejected(key, batch[refused])
+            batch = batch[~refused].astype({"at": "int64"})
+            if batch.empty:
+                return
         throttle = Throttle()
         stored = self._state.get()
         if stored is not None:
             throttle.load(stored)
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
         outcomes, left = [], []
         for at, well_formed, right in zip(batch["at"].tolist(), batch["format_ok"].tolist(), batch["code_ok"].tolist()):
             remaining = None
@@ -47,7 +55,16 @@ class ThrottleProcessor(StatefulProcessor):
         self._keep(throttle)
         yield pd.DataFrame({
             "device_id": key[0], "seq": batch["seq"].to_numpy(), "at": batch["at"].to_numpy(), "outcome": outcomes,
-            "attempts_left": pd.array(left, dtype="Int32"),
+            "attempts_left": pd.array(left, dtype="Int32"), "reason": pd.array([None] * len(batch), dtype="string"),
+        })
+
+    def _rejected(self, key, refused: pd.DataFrame) -> pd.DataFrame:
+        """Attempts without a time or older than the watermark, whose state may be forgotten."""
+        return pd.DataFrame({
+            "device_id": key[0], "seq": refused["seq"].to_numpy(), "at": refused["at"].astype("Int64").array,
+            "outcome": pd.array([None] * len(refused), dtype="string"),
+            "attempts_left": pd.array([None] * len(refused), dtype="Int32"),
+            "reason": refused["at"].isna().map({True: "no_time", False: "late"}).tolist(),
         })
 
     def _keep(self, throttle: Throttle) -> None:
@@ -77,13 +94,26 @@ def require_state_store(spark: SparkSession) -> None:
     )
 
 
-def stream_throttle(attempts: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Outcome of each attempt as it arrives; attempts of one batch are taken in time order."""
+def judge_attempts(attempts: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Each attempt as it arrives, with its outcome or the reason why it is rejected.
+
+    Attempts of one batch are taken in time order; those that the watermark has passed are ``late``,
+    those without a time ``no_time``.
+    """
     require_state_store(attempts.sparkSession)
-    rows = attempts.selectExpr("device_id", "seq", "ts", "unix_micros(ts) as at", "format_ok", "code_ok")
-    return (
-        rows.withWatermark("ts", delay).groupBy("device_id")
-        .transformWithStateInPandas(
-            statefulProcessor=ThrottleProcessor(), outputStructType=RESULT, outputMode="Append", timeMode="EventTime"
-        )
+    rows = attempts.select("device_id", "seq", "ts", "format_ok", "code_ok").withWatermark("ts", delay)
+    # Without the column of the watermark Spark drops no row before the processor sees it.
+    rows = rows.selectExpr("device_id", "seq", "unix_micros(ts) as at", "format_ok", "code_ok")
+    return rows.groupBy("device_id").transformWithStateInPandas(
+        statefulProcessor=ThrottleProcessor(), outputStructType=JUDGED, outputMode="Append", timeMode="EventTime"
     )
+
+
+def stream_throttle(attempts: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Outcome of each attempt that comes in time; the others are in ``throttle_rejects``."""
+    return judge_attempts(attempts, delay).where("reason is null").drop("reason")
+
+
+def throttle_rejects(attempts: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """The attempts that cannot be judged: device_id, seq, at, reason."""
+    return judge_attempts(attempts, delay).where("reason is not null").select("device_id", "seq", "at", "reason")

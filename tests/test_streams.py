@@ -15,7 +15,7 @@ from quorumbook.streaming.ledger import (
 )
 from quorumbook.streaming.matching import match_votes, remaining_matches
 from quorumbook.streaming.sinks import drain
-from quorumbook.streaming.throttle import stream_throttle
+from quorumbook.streaming.throttle import judge_attempts, stream_throttle
 
 
 def write_slices(df, folder, edges, column="created_at"):
@@ -120,6 +120,20 @@ def test_throttle_stream_equals_batch(spark):
     assert got == want
 
 
+def test_late_attempts_are_rejected_with_a_reason(spark):
+    folder = fresh_path(spark, "late-attempts")
+    root = fresh_path(spark, "late-throttle")
+    for seq, device, minute in ((1, 1, 0), (2, 1, 100), (3, 2, 200), (4, 1, 50), (5, 1, 201), (6, 1, None)):
+        one = spark.createDataFrame(
+            [(device, seq, None if minute is None else model.at(minute * 60), True, False, 0)],
+            "device_id bigint, seq bigint, ts timestamp, format_ok boolean, code_ok boolean, player_id bigint")
+        one.write.mode("append").parquet(folder)
+        rows = drain(judge_attempts(follow_table(spark, folder, schemas.CLAIM_ATTEMPTS)), "late", root).collect()
+    assert sorted((r["seq"], r["outcome"], r["attempts_left"], r["reason"]) for r in rows) == [
+        (1, "invalid_code", 4, None), (2, "invalid_code", 4, None), (3, "invalid_code", 4, None), (4, None, None, "late"),
+        (5, "invalid_code", 4, None), (6, None, None, "no_time")]
+
+
 def test_vote_match_over_files(spark, ledger):
     root, tables, _ = ledger
     matched = match_votes(feed(spark, root, "proposals", tables[0].schema), feed(spark, root, "votes", tables[1].schema))
