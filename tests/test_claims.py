@@ -9,7 +9,7 @@ import model
 from quorumbook.operators import claims, throttle
 from quorumbook.operators.codes import apply_codes, assign_codes
 from quorumbook.sources.fixtures import Fixtures
-from conftest import SMALL
+from frames import SMALL
 
 MINUTE = 60_000_000
 

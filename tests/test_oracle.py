@@ -3,7 +3,7 @@
 import pytest
 
 from compare import compare, connect
-from conftest import SMALL
+from frames import SMALL
 from quorumbook.catalog.oracle import ORACLE
 from quorumbook.catalog.queries import REGISTRY
 

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from frames import SMALL
 from quorumbook.catalog.queries import REGISTRY
 from quorumbook.operators import ballots, scores
 from quorumbook.plans.skew import heavy_keys
