@@ -14,6 +14,7 @@ from quorumbook.llm.multi_index import nearest
 from quorumbook.llm.near_dedup import near_components
 from quorumbook.llm.packing import binary_pieces, numbered_sequences
 from quorumbook.llm.pseudonyms import replace_personal
+from quorumbook.llm.resampling import resample
 from quorumbook.llm.sharding import stratified_shards
 from quorumbook.llm.substring_dedup import remove_repeated
 from quorumbook.llm.tables import read_table, shared_folder, written
@@ -96,6 +97,13 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), percent=10, seed=2024, longest=1,
+        buckets=10_000, least_words=20)
+    return drawn.drop("n_words")
+
+
 QUERIES: dict[str, Query] = {
     "op1_multi_index": op1_multi_index,
     "op2_circulant_minhash": op2_circulant_minhash,
@@ -107,4 +115,5 @@ QUERIES: dict[str, Query] = {
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stratified_shards": op8_stratified_shards,
+    "op13_importance_resampling": op13_importance_resampling,
 }
