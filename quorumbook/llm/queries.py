@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quorumbook.llm import bpe
 from quorumbook.llm.exact_dedup import exact_groups
 from quorumbook.llm.language import is_held_out, predict_languages, train_language_model
+from quorumbook.llm.main_text import extract_main_text
 from quorumbook.llm.multi_index import nearest
 from quorumbook.llm.near_dedup import near_components
 from quorumbook.llm.packing import binary_pieces, numbered_sequences
@@ -97,6 +98,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     drawn = resample(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), percent=10, seed=2024, longest=1,
@@ -115,5 +120,6 @@ QUERIES: dict[str, Query] = {
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stratified_shards": op8_stratified_shards,
+    "op11_line_blocks": op11_line_blocks,
     "op13_importance_resampling": op13_importance_resampling,
 }
