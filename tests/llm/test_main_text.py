@@ -34,7 +34,8 @@ def surrounded(inside):
     <footer>&copy; 2020</footer></body></html>"""
 
 
-BODY = f"<h1>Head &amp; line</h1><p data-class='ad'>{LONG}<p>Short.<ul><li>one<li><a href=x>two</a></ul><pre>a\n  b</pre>"
+HEADLINE = "<h1>Head &amp; line</h1>"
+BODY = f"{HEADLINE}<p data-class='ad'>{LONG}<p>Short.<ul><li>one<li><a href=x>two</a></ul><pre>a\n  b</pre>"
 SEEN = f"Head & line {LONG} Short. one two a b"
 
 
@@ -42,7 +43,7 @@ SEEN = f"Head & line {LONG} Short. one two a b"
     surrounded(f"<article>{BODY}</article>"),
     surrounded(f"<main><div class='share'>Share</div>{BODY}</main>"),
     surrounded(f"<div role=main><nav>Up</nav>{BODY}</div>"),
-    surrounded(f"<article><header><h1>Head &amp; line</h1><p>by somebody</p></header>{BODY[27:]}<footer>x</footer></article>"),
+    surrounded(f"<article><header>{HEADLINE}<p>by somebody</p></header>{BODY.removeprefix(HEADLINE)}<footer>x</footer></article>"),
     surrounded(f"<form action=x><div class=banner><article>{BODY}</article></div></form>"),
     surrounded(f"<article>{BODY}<div hidden>no</div><p style='display: none'>no<div class='comments'>No!</div></article>"),
 ])
