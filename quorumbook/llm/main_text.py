@@ -289,7 +289,8 @@ def main_lines(page: _Page, window: int = WINDOW, surge: int = SURGE) -> list[in
     sizes = [sum(weights[a:b]) for a, b in found]
     best = max(range(len(found)), key=sizes.__getitem__)
     kept = {i for (a, b), size in zip(found, sizes) if size * _STRETCH_SHARE >= sizes[best] for i in range(a, b)}
-    heavy = [i for i in range(*found[best]) if weights[i] >= min(surge, max(weights[slice(*found[best])]))]
+    enough = min(surge, max(weights[slice(*found[best])]))
+    heavy = [i for i in range(*found[best]) if weights[i] >= enough]
     inner = _innermost({lines[i].container for i in heavy}, page.parents)
     if inner:
         (first, last), inside = found[best], _all_inside(inner, page.parents)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumbook.llm import bpe
+from quorumbook.llm.alignment import align_tokens, link_statistics
 from quorumbook.llm.exact_dedup import exact_groups
 from quorumbook.llm.language import is_held_out, predict_languages, train_language_model
 from quorumbook.llm.main_text import extract_main_text
@@ -102,6 +103,14 @@ def op11_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = align_tokens(
+        read_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return link_statistics(aligned.withColumn("groups_sha256", digest).drop("groups")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     drawn = resample(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), percent=10, seed=2024, longest=1,
@@ -121,5 +130,6 @@ QUERIES: dict[str, Query] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stratified_shards": op8_stratified_shards,
     "op11_line_blocks": op11_line_blocks,
+    "op12_token_alignment": op12_token_alignment,
     "op13_importance_resampling": op13_importance_resampling,
 }
