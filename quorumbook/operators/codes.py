@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumbook.functions.rules import CODE_DIGITS
 from quorumbook.plans.numbering import numbered
 
 
+_ROUNDS = 8
+
+
+def _permuted(number: Column, seed: str, digits: int) -> Column:
+    """A seeded permutation of the numbers below 10^digits: each half of the digits is shifted by a hash of the other.
+
+    A number's place depends on nothing but itself, so no list of codes is made, sorted or joined.
+    """
+    low = 10 ** (digits // 2)
+    sizes = [10**digits // low, low]
+    halves = [F.floor(number / low).cast("bigint"), F.pmod(number, F.lit(low))]
+    for turn in range(_ROUNDS):
+        mine, other = turn % 2, 1 - turn % 2
+        text = F.concat(F.lit(f"{seed}:{turn}:"), halves[other].cast("string"))
+        shift = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+        halves[mine] = F.pmod(halves[mine] + F.pmod(shift, F.lit(sizes[mine])), F.lit(sizes[mine]))
+    return halves[0] * low + halves[1]
+
+
 def assign_codes(players: DataFrame, seed: str, digits: int = CODE_DIGITS) -> DataFrame:
-    """Pair the n-th active player with the n-th code of a seeded random order.
+    """Give the n-th active player the n-th code of a seeded random order.
 
     Refuses when there are more active players than codes.
     """
@@ -18,16 +37,9 @@ def assign_codes(players: DataFrame, seed: str, digits: int = CODE_DIGITS) -> Da
     count, codes = active.count(), 10**digits
     if count > codes:
         raise ValueError(f"{count} active players need more than {codes} codes of {digits} digits")
-    spark = players.sparkSession
-    # The order is a hash of seed and code, so the same seed gives the same codes.
-    shuffled = spark.range(codes).selectExpr(
-        "id as number",
-        f"cast(conv(substring(md5(concat('{seed}:', cast(id as string))), 1, 15), 16, 10) as bigint) as place",
-    )
-    left = numbered(active, "id")
-    right = numbered(shuffled, "place", ties=["number"])
-    return left.join(right, "row_number").select(
-        "id", "display_name", F.lpad(F.col("number").cast("string"), digits, "0").alias("code")
+    number = _permuted(F.col("row_number") - 1, seed, digits)
+    return numbered(active, "id").select(
+        "id", "display_name", F.lpad(number.cast("string"), digits, "0").alias("code")
     )
 
 
