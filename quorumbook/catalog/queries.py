@@ -12,25 +12,28 @@ from quorumbook.functions.text import (
     code_format_ok, digits_prefix, first_match_class, length_ok, name_initial, number_or,
 )
 from quorumbook.functions.timing import duration_parts
-from quorumbook.operators import audit, ballots, claims, codes, feeds, scores, throttle
+from quorumbook.operators import audit, ballots, changes, claims, codes, feeds, scores, throttle
 from quorumbook.operators import players as people
 from quorumbook.operators import proposals as admission
 from quorumbook.operators import status as st
 from quorumbook.plans.skew import order_bounds, piece_of
-from quorumbook.plans.workspace import fresh_path
+from quorumbook.plans.workspace import fresh_path, materialize
 from quorumbook.sources.fixtures import (
     Fixtures, at_second, attempts_from_events, proposals_from_orders, votes_from_lines, withdrawals_from_orders,
 )
 from quorumbook.sources.schemas import CLAIM_ATTEMPTS, TEST_TABLES
 from quorumbook.sources.tables import follow_table
 from quorumbook.sources.views import register_views
+from quorumbook.streaming.cases import event_log, follow_cases, outcomes
+from quorumbook.streaming.changes import follow_changes
 from quorumbook.streaming.ledger import (
-    COMMANDS, LedgerFolder, close_ledger, command_stream, start_ledger, stream_board,
+    LedgerFolder, close_ledger, command_stream, start_ledger, stream_board,
 )
 from quorumbook.streaming.matching import match_votes, remaining_matches
 from quorumbook.streaming.sinks import drain
 from quorumbook.streaming.throttle import stream_throttle as throttled_stream
 from quorumbook.streaming.throttle import throttle_rejects
+from quorumbook.streaming.totals import follow_totals, latest_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -41,8 +44,11 @@ HISTORY_PLAYER = 2
 DEVICE = 7
 CODE_SEED = "spring"
 CODE_WIDTH = 6
-# Micro-batches of the registered ledger stream, and after how many the totals are written in full.
+# Micro-batches of the registered streams at least, and after how many the totals are written in full.
 SLICES, COMPACT_EVERY = 5, 3
+ROWS_PER_SLICE, FILES_PER_SLICE = 20_000_000, 4
+# Seconds for which the registered streams with late commands keep what they may correct: ten years.
+LATENESS = 315_360_000
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -489,15 +495,28 @@ def _feed(fx: Fixtures, name: str) -> DataFrame:
     return follow_table(fx.spark, fx.folder, TEST_TABLES[name], f"{name}.parquet")
 
 
+def _delivered(fx: Fixtures, log: DataFrame, column: str, label: str, last: Column | None = None) -> DataFrame:
+    """A log as a stream that delivers it in slices of time, one micro-batch each, and the rows of ``last`` at the end.
+
+    The log is computed and cut once; a slice is then delivered by reading nothing but itself.
+    """
+    at = F.unix_micros(column)
+    log = materialize(log, label)
+    slices = max(SLICES, log.count() // ROWS_PER_SLICE)
+    bounds = order_bounds(log.select(at.alias("at")), "at", slices)
+    staged, path = fresh_path(fx.spark, f"{label}-staged"), fresh_path(fx.spark, label)
+    piece = piece_of(at, bounds) if last is None else F.when(last, len(bounds) + 1).otherwise(piece_of(at, bounds))
+    log.withColumn("slice", piece).repartition("slice", F.xxhash64("id") % FILES_PER_SLICE).write.partitionBy(
+        "slice").parquet(staged)
+    # Files are taken in the order in which they were written.
+    for number in range(len(bounds) + 1 + (last is not None)):
+        part = fx.spark.read.schema(log.schema).parquet(f"{staged}/slice={number}")
+        part.repartition(FILES_PER_SLICE).write.mode("append").parquet(path)
+    return follow_table(fx.spark, path, log.schema, files_per_trigger=FILES_PER_SLICE)
+
+
 def _ledger_stream(fx: Fixtures) -> tuple[LedgerFolder, int]:
-    """The logs in slices of time, one file and so one micro-batch each."""
-    path = fresh_path(fx.spark, "commands")
-    commands = command_stream(fx.proposals, fx.votes, fx.withdrawals)
-    bounds = order_bounds(commands.select(F.unix_micros("created_at").alias("at")), "at", SLICES)
-    sliced = commands.withColumn("slice", piece_of(F.unix_micros("created_at"), bounds))
-    for number in range(len(bounds) + 1):  # files are taken in the order in which they were written
-        sliced.where(F.col("slice") == number).drop("slice").coalesce(1).write.mode("append").parquet(path)
-    stream = fx.spark.readStream.schema(COMMANDS).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = _delivered(fx, command_stream(fx.proposals, fx.votes, fx.withdrawals), "created_at", "commands")
     running, folder = start_ledger(stream, fx.players, fresh_path(fx.spark, "ledger"), compact_every=COMPACT_EVERY)
     running.awaitTermination()
     return folder, close_ledger(folder, fx.players, running.lastProgress["batchId"])
@@ -519,6 +538,37 @@ def stream_leaderboard(fx):
     return stream_board(folder, fx.players, last)
 
 
+@query
+def stream_proposal_state(fx):
+    """The outcomes from keyed state per proposal, over the same slices as the ledger."""
+    commands = _delivered(fx, command_stream(fx.proposals, fx.votes, fx.withdrawals), "created_at", "commands")
+    given = drain(follow_cases(commands, fx.players), "cases-log")
+    return outcomes(given).select("id", "status", "vote_count", "approved_by", "approved_at")
+
+
+@query
+def stream_scores_late(fx):
+    """The leaderboard where every tenth command is delivered after all others, and corrects what it changes."""
+    commands = command_stream(fx.proposals, fx.votes, fx.withdrawals)
+    late = F.pmod(F.xxhash64("kind", "id"), F.lit(10)) == 0
+    stream = _delivered(fx, commands, "created_at", "commands", late)
+    events = event_log(follow_cases(stream, fx.players, lateness_seconds=LATENESS))
+    return scores.leaderboard(fx.players, latest_totals(drain(follow_totals(events), "totals-log")))
+
+
+@query
+def stream_changes(fx):
+    """The view over the whole change log as the stream leaves it."""
+    given = drain(follow_changes(_delivered(fx, fx.changes, "changed_at", "changes")), "changes-log")
+    return changes.standing_rows(given)
+
+
+@query
+def view_after_changes(fx):
+    last = fx.changes.agg(F.max("changed_at")).first()[0]
+    return changes.view_after(fx.changes, F.lit(last))
+
+
 @query
 def stream_throttle(fx):
     attempts = attempts_from_events(_feed(fx, "events"), fx.player_count)

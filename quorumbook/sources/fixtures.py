@@ -181,6 +181,41 @@ class Fixtures:
             f"if({legacy}, null, {_DEADLINE}) as deadline",
         )
 
+    @property
+    def changes(self) -> DataFrame:
+        """Proposals made, decided, corrected and deleted; votes cast and taken back."""
+        kind = "if(o_orderpriority = '5-LOW', 'pardon', 'penalty')"
+        amount = f"if({kind} = 'pardon', 1, 1 + o_orderkey % 3)"
+        corrected = f"if({kind} = 'pardon', 1, 1 + (o_orderkey + 1) % 3)"
+        decided = "case o_orderstatus when 'F' then 'approved' when 'P' then 'withdrawn' else 'pending' end"
+        steps = [  # operation, order within an instant, seconds after creation, which orders, status, amount
+            ("insert", 0, 0, "true", "'pending'", amount),
+            ("update", 3, 60, "o_orderstatus <> 'O'", decided, amount),
+            ("update", 4, 90, "o_orderkey % 10 = 3", decided, corrected),
+            ("delete", 5, 200, "o_orderkey % 9 = 4", "null", "null"),
+        ]
+        made = [
+            self.raw("orders").where(which).selectExpr(
+                "'proposals' as source", f"'{op}' as op", "o_orderkey as id", "o_orderkey as proposal_id",
+                f"(o_orderkey * 7 + {after}) * 8 + {rank} as lsn", f"{_at(f'o_orderkey * 7 + {after}')} as changed_at",
+                f"(o_custkey + 1 + o_orderkey % 97) % {self.player_count} as target_id", "o_custkey as proposed_by",
+                f"cast({amount_} as smallint) as amount", f"{kind} as proposal_type", f"cast({status} as string) as status",
+                f"if({status} = 'approved', {_at('o_orderkey * 7 + 60')}, null) as approved_at", f"{_DEADLINE} as deadline",
+                "cast(null as bigint) as voter_id")
+            for op, rank, after, which, status, amount_ in steps
+        ]
+        cast = [
+            self.votes.where(which).selectExpr(
+                "'votes' as source", f"'{op}' as op", "id", "proposal_id",
+                f"(unix_seconds(created_at) - {BASE_SECONDS} + {after}) * 8 + {rank} as lsn",
+                f"created_at + interval {after} seconds as changed_at", "voter_id")
+            for op, rank, after, which in (("insert", 1, 0, "true"), ("delete", 2, 100, "voter_id % 7 = 0"))
+        ]
+        log = made[0]
+        for part in (*made[1:], *cast):
+            log = log.unionByName(part, allowMissingColumns=True)
+        return log
+
     @property
     def player_changes(self) -> DataFrame:
         """Operator log of inserts and deactivations, several per player name."""

@@ -53,6 +53,13 @@ PLAYER_CHANGES = _schema(
     ("changed_at", _TIME, False),
 )
 
+CHANGES = _schema(
+    ("source", _TEXT, False), ("op", _TEXT, False), ("id", _LONG, True), ("proposal_id", _LONG, True),
+    ("lsn", _LONG, False), ("changed_at", _TIME, True), ("target_id", _LONG, True), ("proposed_by", _LONG, True),
+    ("amount", _SHORT, True), ("proposal_type", _TEXT, True), ("status", _TEXT, True), ("approved_at", _TIME, True),
+    ("deadline", _TIME, True), ("voter_id", _LONG, True),
+)
+
 # The given test tables that are read, as DDL.
 TEST_TABLES = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
