@@ -12,7 +12,7 @@ from quorumbook.functions.text import (
     code_format_ok, digits_prefix, first_match_class, length_ok, name_initial, number_or,
 )
 from quorumbook.functions.timing import duration_parts
-from quorumbook.operators import audit, ballots, changes, claims, codes, feeds, scores, throttle
+from quorumbook.operators import audit, ballots, changes, claims, codes, feeds, resets, scores, throttle
 from quorumbook.operators import players as people
 from quorumbook.operators import proposals as admission
 from quorumbook.operators import status as st
@@ -468,6 +468,16 @@ def claim_receipts_json(fx):
     return claims.claim_receipts(resolved, fx.players)
 
 
+@query
+def player_resets(fx):
+    return resets.players_now(resets.player_periods(fx.players_at_start, fx.organiser_log))
+
+
+@query
+def claims_after_reset(fx):
+    return resets.resolve_claims_over_time(fx.attempts_between, fx.players_at_start, fx.organiser_log)
+
+
 def _codes(fx: Fixtures) -> DataFrame:
     return codes.assign_codes(fx.players, CODE_SEED, CODE_WIDTH)
 

@@ -46,7 +46,7 @@ def _could_bind(rows: DataFrame, settled: DataFrame) -> DataFrame:
     )
 
 
-def _rivals(possible: DataFrame) -> DataFrame:
+def rivals(possible: DataFrame) -> DataFrame:
     """Earliest possible claim of each player, and the earliest by a second device."""
     firsts = possible.groupBy("player_id", "device_id").agg(F.min("seq").alias("seq"))
     order = Window.partitionBy("player_id").orderBy("seq", "device_id")
@@ -69,14 +69,14 @@ def _faced(rows: DataFrame, settled: DataFrame) -> DataFrame:
     )
 
 
-def _settle(faced: DataFrame, rivals: DataFrame, heavy: Sequence) -> DataFrame:
+def _settle(faced: DataFrame, earliest: DataFrame, heavy: Sequence) -> DataFrame:
     """How far each device's attempts are certain, and what it binds before that.
 
     An attempt on a player whom another device might claim earlier is not
     certain; nor is anything the device does later.
     """
     rival = f"coalesce(if(first_device = device_id, second_seq, first_seq), {_NEVER}L)"
-    rows = faced.join(rivals, "player_id", "left").selectExpr(
+    rows = faced.join(earliest, "player_id", "left").selectExpr(
         "device_id", "seq", "at", "player_id", "counts", "code_ok", f"{rival} < seq as open"
     )
     ends = walk_attempts(rows, heavy).groupBy("device_id").agg(
@@ -113,14 +113,14 @@ def resolve_claims(attempts: DataFrame, players: DataFrame, heavy: Sequence | No
     free = rows.where("held_player < 0")
     settled = rows.sparkSession.createDataFrame([], _SETTLED)
     while True:
-        rivals = materialize(_rivals(_could_bind(rows, settled)), "claim-rivals")
-        if rivals.isEmpty():
+        earliest = materialize(rivals(_could_bind(rows, settled)), "claim-rivals")
+        if earliest.isEmpty():
             break
         # Devices that bound or have nothing left to settle keep their row.
         closed = settled.where(f"player_id is not null or horizon = {_NEVER}")
         still = free.join(closed.select("device_id"), "device_id", "left_anti")
         settled = materialize(
-            closed.unionByName(_settle(_faced(still, settled), rivals, heavy)), "claim-settled"
+            closed.unionByName(_settle(_faced(still, settled), earliest, heavy)), "claim-settled"
         )
     bound = settled.where("player_id is not null").selectExpr(
         "device_id", "player_id as bound_player", "claim_seq as bound_at"

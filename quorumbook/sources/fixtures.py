@@ -216,6 +216,30 @@ class Fixtures:
             log = log.unionByName(part, allowMissingColumns=True)
         return log
 
+    @property
+    def players_at_start(self) -> DataFrame:
+        """Players without those whom the organiser adds later."""
+        return self.unclaimed_players.where("id % 10 <> 9").withColumns({
+            "claimed_user_id": F.expr("if(id % 8 = 0, id + 1, null)"),
+        })
+
+    @property
+    def organiser_log(self) -> DataFrame:
+        """Players added, given a new code and taken out, between the claim attempts of the other events."""
+        player = f"(user_id + event_id % 3) % {self.player_count}"
+        names = self.raw("customer").selectExpr("c_custkey as _id", "c_name as display_name")
+        return self.raw("events").where("event_type = 'error'").selectExpr(
+            "event_id as seq", f"timestamp_micros({MICROS_OF_NTZ.format(column='ts')}) as changed_at", f"{player} as _id",
+            "case when event_id % 8 = 1 then 'deactivate' when event_id % 2 = 0 then 'reset' else 'insert' end as op",
+            "lpad(cast(event_id % 100 as string), 2, '0') as code",
+        ).join(names, "_id").selectExpr(
+            "seq", "changed_at", "op", "if(op = 'deactivate', null, code) as code", "display_name",
+            "if(op = 'insert', _id, null) as new_id")
+
+    @property
+    def attempts_between(self) -> DataFrame:
+        return attempts_from_events(self.raw("events").where("event_type <> 'error'"), self.player_count)
+
     @property
     def player_changes(self) -> DataFrame:
         """Operator log of inserts and deactivations, several per player name."""
