@@ -8,6 +8,9 @@ no padding and no sequence that crosses documents.
 Splitting needs no shuffle.  Numbering sorts narrow rows inside hashed pieces of
 each bucket and adds up the sizes of the pieces only.
 
+Strings of special tokens in a text are ordinary text, as the vocabulary's own notes set the tokenizer
+(``encode_special_tokens``).
+
 Defined results: a null text is empty and has the end token alone; repeated ids
 are separate documents in the numbering; an empty table gives no rows; further
 columns are ignored.
@@ -25,6 +28,7 @@ from quorumbook.llm.wordcache import WordEncoder
 MAX_TOKENS = 4096
 END_ID = 2
 ROWS_PER_PIECE = 50_000
+_PARTS_PER_BLOCK = 1024
 
 
 def binary_lengths(tokens: int, longest: int) -> list[int]:
@@ -76,9 +80,15 @@ def numbered_sequences(pieces: DataFrame, rows_per_piece: int = ROWS_PER_PIECE)
     """
     parts = max(1, -(-pieces.count() // rows_per_piece))
     cut = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
-    sizes = cut.groupBy("length", "_part").agg(F.count("*").alias("_size"))
-    before = Window.orderBy(F.desc("length"), "_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    sizes = cut.groupBy("length", "_part").agg(F.count("*").alias("_size")).withColumn(
+        "_block", F.floor(F.col("_part") / _PARTS_PER_BLOCK))
+    # Two levels of sums: over the blocks of parts, and over the parts of each block.
+    blocks = sizes.groupBy("length", "_block").agg(F.sum("_size").alias("_rows"))
+    earlier = Window.orderBy(F.desc("length"), "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("length", "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first"))
+    before = Window.partitionBy("length", "_block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.join(blocks, ["length", "_block"]).select(
+        "length", "_part", (F.col("_first") + F.coalesce(F.sum("_size").over(before), F.lit(0))).alias("_before"))
     inside = Window.partitionBy("length", "_part").orderBy("doc_id", "start")
     return (
         cut.withColumn("_local", F.row_number().over(inside)).join(starts, ["length", "_part"])
