@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORDS_PER_FILE = 2000
+#: Bytes of normalised archives that one task reads.
+SPLIT_BYTES = 4 << 20
 LEVEL = 6
 _END = "\r\n\r\n"
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
@@ -164,8 +166,11 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX_SCHEMA).option("pathGlobFilter", "*.index").json(folder)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit)."""
+def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit).
+
+    A task reads about ``split_bytes`` of archives, by the index; long archives are read by several tasks.
+    """
     import pyarrow as pa
 
     def number(name: str | None) -> int | None:
@@ -203,6 +208,10 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], kinds)
 
     index = read_index(spark, folder).select("archive", "offset", "length")
-    return index.repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(
+    # Sized by the archives, not by the index: an index row is small, what it points to is not.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    part = F.floor(F.col("offset") / split_bytes)
+    parts = index.repartition(int(size // split_bytes) + 1, "archive", part)
+    return parts.sortWithinPartitions("archive", "offset").mapInArrow(
         read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
               "payload binary")
