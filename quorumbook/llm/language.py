@@ -6,8 +6,9 @@ are counted over every document that may be learned from.  The weights are
 trained with follow-the-regularised-leader, whose elastic-net penalties leave most
 of them at zero, and a temperature is fitted on documents kept out of training.
 
-Bounds: about ``PER_CLASS`` documents of each language are drawn by a hash of
-their id for training; the model has ``BUCKETS`` weights per language and is the
+Bounds: about ``PER_CLASS`` documents of each of the ``MOST_LANGUAGES`` most frequent
+labels are drawn by a hash of their id for training; features are computed where the
+documents are, and only they go to the task that trains.  The model has ``BUCKETS`` weights per language and is the
 only thing that reaches the driver.
 
 Defined results: a null text and a text without a letter are ``und`` with score
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 LENGTHS = (1, 2, 3)
 PER_CLASS = 1000
+MOST_LANGUAGES = 64
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: Every so many sampled documents one is kept out of training to fit the temperature.
@@ -154,8 +156,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train_language_model(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS,
+    most_languages: int = MOST_LANGUAGES,
 ) -> LanguageModel:
+    """Learn from the labelled documents that are not held out, at most about ``per_class`` of each language.
+
+    A column with more labels than ``most_languages`` is not one of languages; the most frequent ones are learned.
+    """
     import pyarrow as pa
 
     learnable = docs.select(
@@ -182,23 +189,35 @@ def train_language_model(
     for bucket, n in found.items():
         idf[bucket] = np.log((1 + total) / (1 + n)) + 1
 
-    sizes = {r["lang"]: r["count"] for r in learnable.groupBy("lang").count().collect()}
+    counts = learnable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = {r["lang"]: r["count"] for r in counts}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], idf, np.zeros((BUCKETS, 0)), 1.0)
     unit = F.pmod(F.xxhash64("id"), F.lit(_UNIT))
-    drawn = F.lit(False)
-    for lang, n in sizes.items():
-        drawn = drawn | ((F.col("lang") == lang) & (unit < min(_UNIT, -(-per_class * _UNIT // n))))
-    sample = learnable.where(drawn).select(unit.alias("unit"), "id", "text", "lang")
+    shares = docs.sparkSession.createDataFrame(
+        [(lang, i, min(_UNIT, -(-per_class * _UNIT // sizes[lang]))) for i, lang in enumerate(languages)],
+        "lang string, label int, share bigint")  # at most most_languages rows
+    sample = learnable.withColumn("unit", unit).join(F.broadcast(shares), "lang").where("unit < share").select(
+        "unit", F.col("id").cast("string").alias("id"), "label", "text")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_features(text.as_py(), idf) for text in batch.column(3)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([at.astype(np.int32) for at, _ in found], pa.list_(pa.int32())),
+                 pa.array([values for _, values in found], pa.list_(pa.float64()))],
+                names=["unit", "id", "label", "buckets", "values"])
+
+    drawn_rows = sample.mapInArrow(
+        features, "unit bigint, id string, label int, buckets array<int>, values array<double>")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = []
         for batch in batches:
-            for unit, key, text, lang in zip(*(batch.column(k) for k in range(4))):
-                at, values = _features(text.as_py(), idf)
+            for unit, key, label, at, values in zip(*(batch.column(k) for k in range(5))):
                 if len(at):
-                    drawn.append((unit.as_py(), key.as_py(), at.astype(np.int32), values, languages.index(lang.as_py())))
+                    drawn.append((unit.as_py(), key.as_py(), at.values.to_numpy(), values.values.to_numpy(), label.as_py()))
         drawn.sort(key=lambda x: x[:2])
         kept_out = drawn[::CALIBRATION_EVERY] if len(drawn) > 10 * CALIBRATION_EVERY else []
         rest = [x for i, x in enumerate(drawn) if not kept_out or i % CALIBRATION_EVERY]
@@ -211,7 +230,8 @@ def train_language_model(
             names=["bucket", "weights"],
         )
 
-    model = sample.coalesce(1).mapInArrow(train, "bucket bigint, weights array<double>").collect()
+    # The sample is bounded by per_class and most_languages; only its features go to the one task that trains.
+    model = drawn_rows.repartition(1).mapInArrow(train, "bucket bigint, weights array<double>").collect()
     weights, heat = np.zeros((BUCKETS, len(languages))), 1.0
     for row in model:
         if row["bucket"] < 0:
@@ -255,13 +275,21 @@ def _judged(docs: DataFrame, model: LanguageModel, text_col: str, kept: list[str
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], "lang_pred", "score", _LETTER)
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, with all their columns.
+def keep_known(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str | None = None,
+    wanted: list[str] | None = None, least_score: float = 0.0,
+) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and, where ``wanted`` names languages, is in one of them.
 
-    The predicted name does not decide: a model that could learn nothing gives ``und`` to every text, and ``und`` may
-    be a label of the table.
+    A text is of another language if the model says so with a score of ``least_score`` or more; a model that could
+    learn nothing says nothing.  Where ``lang_col`` is given, its nulls are filled with the prediction.
     """
     columns = docs.columns
     named = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)])
-    known = _judged(named, model, f"k{columns.index(text_col)}", named.columns).where(_LETTER)
-    return known.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)])
+    judged = _judged(named, model, f"k{columns.index(text_col)}", named.columns)
+    keeps = F.col(_LETTER)
+    if wanted is not None and model.languages:
+        keeps = keeps & (F.col("lang_pred").isin(list(wanted)) | (F.col("score") < least_score))
+    said = F.when(F.col("score") > 0, F.col("lang_pred"))
+    return judged.where(keeps).select(*[
+        (F.coalesce(F.col(f"k{i}"), said) if c == lang_col else F.col(f"k{i}")).alias(c) for i, c in enumerate(columns)])

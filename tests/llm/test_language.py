@@ -45,6 +45,25 @@ def test_empty_table_and_no_labels(empty, documents):
     assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)]
 
 
+def test_only_the_most_frequent_labels_are_learned(documents):
+    rows = [(i, f"der Text {i} ist es" if i % 2 else f"the text {i} is it", "de" if i % 2 else "en") for i in range(80)]
+    rows += [(1000 + i, f"label {i}", f"junk {i}") for i in range(50)]
+    assert train_language_model(documents(rows), most_languages=2).languages == ["de", "en"]
+
+
+def test_known_languages_are_kept_and_filled_in(spark, documents):
+    docs = spark.read.parquet(SMALL)
+    model = train_language_model(docs)
+    unlabelled = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    said = {r.doc_id: r.lang_pred for r in predict_languages(docs, model, kept=["doc_id"]).collect()}
+    filled = {r.doc_id: r.lang for r in keep_known(unlabelled, model, lang_col="lang").collect()}
+    labels = {r.doc_id: r.lang for r in docs.collect()}
+    assert filled == {i: (labels[i] if i % 2 == 0 and labels[i] else said[i]) for i in filled}
+    only = {r.doc_id for r in keep_known(docs, model, wanted=["de", "fr"]).collect()}
+    assert only == {i for i in filled if said[i] in ("de", "fr")} and 0 < len(only) < len(filled)
+    assert {r.doc_id for r in keep_known(docs, model, wanted=["de"], least_score=1.1).collect()} == set(filled)
+
+
 def test_temperature_lowers_scores_that_are_too_sure():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 3, 3000)
