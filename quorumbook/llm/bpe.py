@@ -10,7 +10,10 @@ Words are folded once per chunk of documents, not once per occurrence, and words
 are frequent in a sample are folded beforehand.  Documents never leave their task, so
 nothing is shuffled but the counts of the sample.
 
-Words that are pieces themselves have their own id and are not folded.
+Words that are pieces themselves have their own id and are not folded.  A turn of the
+fold looks at the whole word, so words of more than ``LONG_WORD`` characters (a run of
+base64, say) are first cut by a heap of ranked merges into the pieces they end up as, and
+each piece is a word for the fold then: no merge crosses its ends, so it joins again.
 
 Bounds: at most ``PREPARED_WORDS`` words from about ``PREPARED_FROM`` documents are
 prepared and broadcast; which words these are changes the speed and never the ids.
@@ -27,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,7 @@ BUCKETS = 65_521
 PREPARED_WORDS = 100_000
 PREPARED_FROM = 8000
 CHUNK_BYTES = 2_000_000
+LONG_WORD = 200
 _WORD = ("words", "ids", "texts", "bodies")
 OUTPUTS = ("ids", "ids_text", "decoded")
 #: Above every rank: the pair is no piece.
@@ -138,10 +143,41 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.get(decoded_all(F.array(ids), ranks), F.lit(0))
 
 
+def pieces_of_long_word(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces that a word ends up as, merge by merge from a heap: n log n where the fold takes n times n."""
+    ends = list(range(1, len(word) + 1))  # where the piece that begins here ends; 0 where none begins any more
+    before = list(range(-1, len(word) - 1))
+    heap = [(rank, i) for i in range(len(word) - 1) if (rank := ranks.get(word[i:i + 2])) is not None]
+    heapify(heap)
+
+    def offer(at: int) -> None:
+        middle = ends[at]
+        if middle < len(word) and (rank := ranks.get(word[at:ends[middle]])) is not None:
+            heappush(heap, (rank, at))
+
+    while heap:
+        rank, at = heappop(heap)
+        middle = ends[at]
+        # A pair that has changed since was offered anew with another rank.
+        if not middle or middle == len(word) or ranks.get(word[at:ends[middle]]) != rank:
+            continue
+        ends[at], ends[middle] = ends[middle], 0
+        if ends[at] < len(word):
+            before[ends[at]] = at
+        offer(at)
+        if before[at] >= 0:
+            offer(before[at])
+    out, at = [], 0
+    while at < len(word):
+        out.append(word[at:ends[at]])
+        at = ends[at]
+    return out
+
+
 class _Codes(dict):
     """Number the words of a chunk: prepared words as they are, others from there on."""
 
-    def __init__(self, prepared: dict[str, int]):
+    def __init__(self, prepared: dict[str | bytes, int]):
         super().__init__()
         self.prepared, self.new = prepared, []
 
@@ -154,6 +190,11 @@ class _Codes(dict):
         return code
 
 
+def _as_words(word: str, ranks: dict[bytes, int]) -> list[str | bytes]:
+    """The pieces of a long word, as texts where they are texts."""
+    return [p.decode() if _is_text(p) else p for p in pieces_of_long_word(word.encode(), ranks)]
+
+
 def _finders(pattern: str):
     """How to split a text, and an equal but faster way for ASCII texts."""
     import regex
@@ -177,7 +218,8 @@ def _prepared_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most
             seen = Counter()
             for text in batch.column(0):
                 text = text.as_py()
-                seen.update((ascii_only if text.isascii() else whole)(text))
+                found = (ascii_only if text.isascii() else whole)(text)
+                seen.update(w for w in found if len(w) <= LONG_WORD)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w.encode() for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())],
                 names=["word", "n"])
@@ -256,13 +298,15 @@ def encode(
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 found = (ascii_only if text.isascii() else whole)(text)
+                if max(map(len, found), default=0) > LONG_WORD:
+                    found = [p for w in found for p in ([w] if len(w) <= LONG_WORD else _as_words(w, ranks))]
                 codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)).tobytes())
                 held += len(text)
                 if held >= chunk_bytes or i + 1 == batch.num_rows:
                     ids = batch.column(0).slice(at, i + 1 - at)
                     yield pa.RecordBatch.from_arrays(
                         [_one(ids), _one(pa.array(codes, pa.binary())),
-                         _one(pa.array([w.encode() for w in words.new], pa.binary()))],
+                         _one(pa.array([w if isinstance(w, bytes) else w.encode() for w in words.new], pa.binary()))],
                         names=["doc_ids", "codes", "words"])
                     at, codes, held, words = i + 1, [], 0, _Codes(numbers)
 

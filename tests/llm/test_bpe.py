@@ -1,5 +1,9 @@
+import random
+
 import public_tokenizers
 import tiktoken
+from hypothesis import given
+from hypothesis import strategies as st
 from odd_rows import ODD_ROWS
 from pyspark.sql import functions as F
 
@@ -26,5 +30,20 @@ def test_ids_and_round_trip_equal_the_library(odd, documents):
         assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in encoded(df, **options)), key=str) == want
 
 
+def test_long_words(documents):
+    rng = random.Random(0)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "é" * 30_001, "aé日" * 9000, " " * 100_001 + "x",
+             "7" * 50_000, "!?" * 20_000, "ab" * 100 + " " + "c" * 201]
+    rows = encoded(documents(list(enumerate(texts))))
+    assert sorted((r.doc_id, r.ids, bytes(r.decoded)) for r in rows) == [
+        (i, LIBRARY.encode_ordinary(t), t.encode()) for i, t in enumerate(texts)]
+
+
+@given(st.text(st.sampled_from("abeinst é日0 "), max_size=60))
+def test_pieces_of_a_long_word_are_those_of_the_library(word):
+    ids = [RANKS[p] for p in bpe.pieces_of_long_word(word.encode(), RANKS)]
+    assert ids == (LIBRARY._core_bpe.encode_single_piece(word.encode()) if word else [])
+
+
 def test_empty_table(empty):
     assert encoded(empty) == []
