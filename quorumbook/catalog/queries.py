@@ -22,9 +22,9 @@ from quorumbook.sources.fixtures import (
     Fixtures, at_second, attempts_from_events, proposals_from_orders, votes_from_lines, withdrawals_from_orders,
 )
 from quorumbook.sources.schemas import CLAIM_ATTEMPTS, TEST_TABLES
-from quorumbook.sources.tables import follow_table
+from quorumbook.sources.tables import append_accepted, follow_table, inline_players, read_table
 from quorumbook.sources.views import register_views
-from quorumbook.streaming.cases import event_log, follow_cases, outcomes
+from quorumbook.streaming.cases import case_rejects, event_log, follow_cases, outcomes
 from quorumbook.streaming.changes import follow_changes
 from quorumbook.streaming.ledger import (
     LedgerFolder, close_ledger, command_stream, start_ledger, stream_board,
@@ -42,6 +42,7 @@ REGISTRY: dict[str, Query] = {}
 VIEWER = 83
 HISTORY_PLAYER = 2
 DEVICE = 7
+INLINE_NAMES = [f"Customer#{number:09}" for number in (7, 3, 5, 83)]
 CODE_SEED = "spring"
 CODE_WIDTH = 6
 # Micro-batches of the registered streams at least, and after how many the totals are written in full.
@@ -134,6 +135,13 @@ def active_players(fx):
     return people.active_players(fx.players)
 
 
+@query
+def players_by_inline_names(fx):
+    """The players whose names are given as literals, in the order given."""
+    given = inline_players(fx.spark, INLINE_NAMES).selectExpr("id as place", "display_name")
+    return fx.players.join(F.broadcast(given), "display_name").select("place", "id", "display_name", "is_active")
+
+
 @query
 def candidate_targets(fx):
     return people.candidate_targets(fx.players, VIEWER)
@@ -252,6 +260,12 @@ def classify_votes_redelivered(fx):
     return ballots.classify_votes(fx.proposals, twice, fx.withdrawals, fx.players, fx.as_of).drop("id")
 
 
+@query
+def second_votes(fx):
+    """Votes by the older name of the command."""
+    return ballots.second_proposals(fx.proposals, fx.votes, fx.withdrawals, fx.players, fx.as_of).drop("id")
+
+
 @query
 def approval_moment(fx):
     return ballots.approval_moments(_decided(fx))
@@ -273,6 +287,16 @@ def classify_proposals(fx):
     return admission.classify_proposals(fx.proposal_commands, fx.players).drop("description")
 
 
+@query
+def append_proposals(fx):
+    """Commands appended to a table in two deliveries, as the table holds them afterwards."""
+    path = fresh_path(fx.spark, "appended")
+    columns = ["id", "actor_id", "target_id", "proposal_type", "amount"]
+    judged = admission.classify_proposals(fx.proposal_commands, fx.players)
+    returned = [append_accepted(judged.where(part), path, columns) for part in ("id % 2 = 0", "id % 2 = 1")]
+    return read_table(fx.spark, path, returned[0].schema)
+
+
 @query
 def classify_device_proposals(fx):
     """The actor of each command is whoever is bound to the sending device."""
@@ -350,7 +374,7 @@ def involved_actions(fx):
 @query
 def viewer_set_actions(fx):
     """What each of a set of viewers may do, as counts of open cases."""
-    viewers = fx.players.where(F.col("id") % 5 == 0).select(F.col("id").alias("viewer_id"))
+    viewers = fx.players.select(F.col("id").alias("viewer_id"))
     return feeds.actions_of(_open_status(fx), _open_votes(fx), viewers)
 
 
@@ -366,6 +390,11 @@ def outcome_label(fx):
 
 # Audit and backfill ---------------------------------------------------------
 
+def _repeated(df: DataFrame, which: str) -> DataFrame:
+    """Some rows twice, so that their keys repeat."""
+    return df.unionByName(df.where(which))
+
+
 def _audited(fx: Fixtures) -> DataFrame:
     """Raw proposal rows as stored without any admission check, some of them broken on purpose."""
     commands = fx.proposal_commands.select("id", "description", "amount", "target_id")
@@ -378,20 +407,20 @@ def _audited(fx: Fixtures) -> DataFrame:
     stored = fx.stored_proposals.drop("description", "amount", "target_id").withColumns(
         {name: F.expr(rule) for name, rule in broken.items()}
     )
-    return stored.join(commands, "id")
+    return _repeated(stored.join(commands, "id"), "id % 37 = 0")
 
 
 def _audited_players(fx: Fixtures) -> DataFrame:
-    """Players, some of them with a blank name or a device that another one holds."""
-    return fx.players.withColumns({
+    """Players, some of them with a blank name or a device that another one holds, and some twice."""
+    return _repeated(fx.players.withColumns({
         "display_name": F.expr("if(id % 29 = 0, ' ', display_name)"),
         "claimed_user_id": F.expr("if(id % 31 = 0, id - 1, claimed_user_id)"),
-    })
+    }), "id % 41 = 0")
 
 
 @query
 def audit_summary(fx):
-    return audit.audit_summary(_audited_players(fx), _audited(fx), fx.votes)
+    return audit.audit_summary(_audited_players(fx), _audited(fx), _repeated(fx.votes, "proposal_id % 43 = 0"))
 
 
 def _register_row_audit(rule: str) -> None:
@@ -556,6 +585,15 @@ def stream_proposal_state(fx):
     return outcomes(given).select("id", "status", "vote_count", "approved_by", "approved_at")
 
 
+@query
+def stream_late_commands(fx):
+    """Commands that are refused as late, where those of every tenth player are delivered after all others."""
+    commands = command_stream(fx.proposals, fx.votes, fx.withdrawals)
+    stream = _delivered(fx, commands, "created_at", "commands", F.col("actor_id") % 10 == 7)
+    given = drain(follow_cases(stream, fx.players), "cases-log")
+    return case_rejects(given).where("reason = 'late'").drop("id")
+
+
 @query
 def stream_scores_late(fx):
     """The leaderboard where every tenth command is delivered after all others, and corrects what it changes."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorumbook.plans.workspace import materialize
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
@@ -14,9 +16,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def append_accepted(classified: DataFrame, path: str, columns: list[str]) -> DataFrame:
     """Append the accepted commands to a table and return those rows.
 
-    The decision is written once, so the returned rows are what was stored.
+    The commands are judged once; what is appended and what is returned are read from that one result.
     """
-    accepted = classified.where(F.col("outcome") == "accepted").select(*columns)
+    accepted = materialize(classified.where(F.col("outcome") == "accepted").select(*columns), "accepted")
     accepted.write.mode("append").parquet(path)
     return accepted
 
