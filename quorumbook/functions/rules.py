@@ -15,6 +15,8 @@ MIN_AMOUNT, MAX_AMOUNT = 1, 3
 MIN_TEXT, MAX_TEXT = 3, 500
 MIN_NAME, MAX_NAME = 1, 40
 FEED_LIMIT = 250
+# Milliseconds without a change after which a reader reads again.
+REFRESH_QUIET_MILLIS = 180
 CODE_DIGITS = 2
 URGENT_SECONDS = 30
 MAX_WRONG_CODES = 5
