@@ -12,7 +12,7 @@ from quorumbook.functions.text import (
     code_format_ok, digits_prefix, first_match_class, length_ok, name_initial, number_or,
 )
 from quorumbook.functions.timing import duration_parts
-from quorumbook.operators import audit, ballots, changes, claims, codes, feeds, resets, scores, throttle
+from quorumbook.operators import audit, ballots, changes, claims, codes, feeds, resets, scores, throttle, timeline
 from quorumbook.operators import players as people
 from quorumbook.operators import proposals as admission
 from quorumbook.operators import status as st
@@ -105,6 +105,9 @@ def _board(fx: Fixtures) -> DataFrame:
     return scores.leaderboard(fx.players, scores.player_totals(events, cuts))
 
 
+# Seconds between the instants of the leaderboard over time.
+GRID_SECONDS = 3600
+
 # Tables -------------------------------------------------------------------
 
 @query
@@ -247,6 +250,16 @@ def ranked_leaderboard(fx):
 
 # Commands -----------------------------------------------------------------
 
+@query
+def leaderboard_over_time(fx):
+    """The leaderboard at every full hour of the log."""
+    last = fx.raw("orders").agg(F.max("o_orderkey")).first()[0] or 0
+    grid = fx.spark.range(1, last * 7 // GRID_SECONDS + 1).select(
+        at_second(F.col("id") * GRID_SECONDS).alias("instant"))
+    status = _status(fx)
+    return timeline.leaderboard_over_time(fx.players, status, scores.score_events(status), grid)
+
+
 @query
 def classify_votes(fx):
     return ballots.classify_votes(fx.proposals, fx.votes, fx.withdrawals, fx.players, fx.as_of).drop("id")
