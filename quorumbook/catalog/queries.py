@@ -21,6 +21,7 @@ from quorumbook.plans.workspace import fresh_path, materialize
 from quorumbook.sources.fixtures import (
     Fixtures, at_second, attempts_from_events, proposals_from_orders, votes_from_lines, withdrawals_from_orders,
 )
+from quorumbook.sources.functions import register_functions
 from quorumbook.sources.schemas import CLAIM_ATTEMPTS, TEST_TABLES
 from quorumbook.sources.tables import append_accepted, follow_table, inline_players, read_table
 from quorumbook.sources.views import register_views
@@ -206,6 +207,17 @@ def status_view(fx):
     return st.status_view(stored, ballots.accepted_votes(_decided(fx)), fx.as_of)
 
 
+@query
+def sql_functions(fx):
+    """Each device's player and the replies to the player's votes, by functions called in SQL."""
+    register_functions(fx.players, fx.proposals, fx.votes, fx.withdrawals, fx.as_of, prefix="fn_")
+    fx.raw("events").select(F.col("user_id").alias("device_id")).distinct().createOrReplaceTempView("fn_devices")
+    return fx.spark.sql("""
+        SELECT d.device_id, p.id, p.display_name, r.proposal_id, r.created_at, r.receipt,
+               fn_claimed_player_id(d.device_id) AS player_id
+        FROM fn_devices d, LATERAL fn_claimed_player(d.device_id) p, LATERAL fn_replies_to(p.id) r""")
+
+
 @query
 def sql_over_views(fx):
     """A statement over the registered views: open and decided cases of the players with points."""
