@@ -34,7 +34,7 @@ from quorumbook.streaming.matching import match_votes, remaining_matches
 from quorumbook.streaming.sinks import drain
 from quorumbook.streaming.throttle import stream_throttle as throttled_stream
 from quorumbook.streaming.throttle import throttle_rejects
-from quorumbook.streaming.totals import follow_totals, latest_totals
+from quorumbook.streaming.totals import follow_histogram, follow_totals, latest_totals, ranked_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -629,6 +629,16 @@ def stream_scores_late(fx):
     return scores.leaderboard(fx.players, latest_totals(drain(follow_totals(events), "totals-log")))
 
 
+@query
+def stream_ranks(fx):
+    """Ranks read from a histogram of totals that differences keep current."""
+    stream = _delivered(fx, command_stream(fx.proposals, fx.votes, fx.withdrawals), "created_at", "commands")
+    root = fresh_path(fx.spark, "totals-log")
+    totals = drain(follow_totals(event_log(follow_cases(stream, fx.players))), "totals-log", root)
+    histogram = drain(follow_histogram(follow_table(fx.spark, f"{root}/rows", totals.schema), fx.players), "histogram-log")
+    return ranked_totals(totals, histogram, fx.players)
+
+
 @query
 def stream_changes(fx):
     """The view over the whole change log as the stream leaves it."""

@@ -17,13 +17,17 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quorumbook.operators.scores import leaderboard
+from quorumbook.plans.numbering import ranks_of_counts
 from quorumbook.streaming.throttle import require_state_store
 
-TOTAL_LOG = "player_id bigint, version bigint, total int"
+TOTAL_LOG = "player_id bigint, version bigint, total int, previous int"
+HISTOGRAM_LOG = "total int, version bigint, players bigint"
 #: Events of a segment, of which twice as many are cut in two, and rows taken at a time.
 SEGMENT_EVENTS, PORTION_ROWS = 1024, 20_000
 _INDEX = ("version bigint, next bigint, total bigint, ids array<bigint>, times array<bigint>, cases array<bigint>, "
@@ -87,8 +91,9 @@ class TotalProcessor(StatefulProcessor):
         self._apply(index, portion)
         total = index.folded()
         if total != index.total or stored is None:
+            previous = None if stored is None else index.total
             index.version, index.total = index.version + 1, total
-            yield Row(player_id=key[0], version=index.version, total=total)
+            yield Row(player_id=key[0], version=index.version, total=total, previous=previous)
         self._state.update((index.version, index.next, index.total, index.ids, index.times, index.cases, index.deltas,
                             index.sums, index.lows))
 
@@ -133,6 +138,57 @@ class TotalProcessor(StatefulProcessor):
         pass
 
 
+class HistogramProcessor(StatefulProcessor):
+    """Counts the players of one total."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("players", "version bigint, players bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        version, players = self._state.get() or (0, 0)
+        change = sum(row.change for row in rows)
+        if change:
+            self._state.update((version + 1, players + change))
+            yield Row(total=key[0], version=version + 1, players=players + change)
+
+    def close(self) -> None:
+        pass
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Players more or fewer per total in each batch of rows, so that few rows meet in one total's task."""
+    for batch in batches:
+        changes = Counter(batch.column("total").to_pylist())
+        changes.subtract(batch.column("previous").drop_null().to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(changes.keys(), pa.int32()), pa.array(changes.values(), pa.int64())], names=["total", "change"])
+
+
+def follow_histogram(totals: DataFrame, players: DataFrame) -> DataFrame:
+    """How many active players have each total, whenever that changes (``HISTOGRAM_LOG``), by differences."""
+    require_state_store(totals.sparkSession)
+    shown = players.where("is_active").select(F.col("id").alias("player_id"))
+    changes = totals.join(shown, "player_id", "left_semi").select("total", "previous").mapInArrow(
+        _differences, "total int, change bigint")
+    return changes.groupBy("total").transformWithState(
+        statefulProcessor=HistogramProcessor(), outputStructType=HISTOGRAM_LOG, outputMode="Append", timeMode="None")
+
+
+def ranked_totals(totals_log: DataFrame, histogram_log: DataFrame, players: DataFrame) -> DataFrame:
+    """The board with competition ranks and leaders, ranks read from the histogram alone.
+
+    Active players without events are those whom no total counts; they have zero.
+    """
+    counts = histogram_log.groupBy("total").agg(F.max_by("players", "version").alias("rows"))
+    everybody = players.where("is_active").agg(F.lit(0).alias("total"), F.count("*").alias("rows"))
+    seen = counts.agg(F.lit(0).alias("total"), (-F.coalesce(F.sum("rows"), F.lit(0))).alias("rows"))
+    whole = counts.unionByName(everybody).unionByName(seen).groupBy("total").agg(F.sum("rows").alias("rows")).where(
+        "rows > 0")
+    board = leaderboard(players, latest_totals(totals_log))
+    return board.join(ranks_of_counts(whole, "total"), "total").select(
+        "rank", "id", "display_name", "total", ((F.col("rank") == 1) & (F.col("total") > 0)).alias("is_leader"))
+
+
 def follow_totals(
     events: DataFrame, segment_events: int = SEGMENT_EVENTS, portion_rows: int = PORTION_ROWS
 ) -> DataFrame:

@@ -17,7 +17,9 @@ from quorumbook.streaming.cases import case_rejects, event_log, follow_cases, ou
 from quorumbook.streaming.changes import follow_changes
 from quorumbook.streaming.ledger import command_stream
 from quorumbook.streaming.sinks import drain
-from quorumbook.streaming.totals import TotalProcessor, follow_totals, latest_totals
+from quorumbook.streaming.totals import (
+    TotalProcessor, follow_histogram, follow_totals, latest_totals, ranked_totals,
+)
 
 YEARS = 10**9
 
@@ -105,6 +107,23 @@ def test_chained_state_gives_the_totals_in_one_query(spark, ledger):
     assert {p: t for p, t in have.items() if t} == {p: t for p, t in want.items() if t}
 
 
+def test_ranks_after_every_file(spark, ledger):
+    tables, _, status = ledger
+    events = scores.score_events(status).withColumn("change", F.lit(1)).withColumn("event_at", F.unix_micros("event_at"))
+    source, totals_root, ranks_root = (fresh_path(spark, name) for name in ("events", "totals", "ranks"))
+    parts = [events.where(F.pmod(F.xxhash64("proposal_id"), F.lit(3)) == k) for k in range(3)]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(source)
+        log = drain(follow_totals(follow_table(spark, source, events.schema)), "totals", totals_root)
+        histogram = drain(follow_histogram(
+            follow_table(spark, f"{totals_root}/rows", log.schema), tables[3]), "ranks", ranks_root)
+        so_far = events.where(F.pmod(F.xxhash64("proposal_id"), F.lit(3)) <= k)
+        board = scores.leaderboard(tables[3], scores.player_totals(so_far))
+        want = scores.ranked_leaderboard(board)
+        got = ranked_totals(log, histogram, tables[3])
+        assert as_text(got.select(want.columns)) == as_text(want)
+
+
 def test_refused_commands_have_a_reason(spark):
     case = dict(proposer=1, target=2, kind="penalty", amount=1, needed=2, created=0, deadline=120)
     other = dict(case, created=200, deadline=320)
