@@ -10,6 +10,8 @@ shared folder; a batch that is run again overwrites its own output.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -139,6 +141,13 @@ def _new_totals(folder: LedgerFolder, batch: int, events: DataFrame) -> DataFram
     )
 
 
+def _together(jobs: list[Callable[[], None]]) -> None:
+    """Run jobs from threads of their own; the first failure is raised when all have ended."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int, closing: bool = False):
     def run(new: DataFrame, batch: int) -> None:
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
@@ -158,14 +167,10 @@ def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int,
             # Deadlines of the watermark's own instant are still open; approvals of that instant wait for them.
             waits = F.lit(False) if closing else F.coalesce(F.col("approved_at") >= _instant(watermark), F.lit(False))
             decided = status.where((F.col("status") != "open") & ~waits)
-            folder.write("outcomes", batch, decided)
-            folder.write("events", batch, score_events(decided))
-            folder.write("totals", batch, _new_totals(folder, batch, folder.read("events", batch, EVENTS)))
             open_ids = status.where((F.col("status") == "open") | waits).selectExpr("id as proposal_id", "true as is_open")
             known = on_time.join(open_ids, "proposal_id", "left").withColumn(
                 "keep", F.coalesce(F.col("is_open"), F.lit(False)) | (F.col("created_at") > _instant(watermark))
             )
-            folder.write("carried", batch, known.where("keep").drop("keep", "is_open"))
             late = commands.where(F.col("created_at") <= _instant(before)).withColumn("reason", F.lit("late"))
             timeless = new.where("created_at is null").withColumn("reason", F.lit("no_time"))
             # What remains belongs to a proposal decided earlier, or to none.
@@ -174,9 +179,20 @@ def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int,
                 "reason", F.lit("no_open_proposal")
             )
             columns = [c.split(" ")[0] for c in REJECTS.split(", ")]
-            folder.write("rejects", batch, late.unionByName(stray).unionByName(timeless).select(*columns))
             clock = folder.spark.range(1).select(F.lit(watermark).cast("bigint").alias("watermark"))
-            folder.write("clock", batch, clock)
+
+            def write_totals() -> None:
+                folder.write("events", batch, score_events(decided))
+                folder.write("totals", batch, _new_totals(folder, batch, folder.read("events", batch, EVENTS)))
+
+            # Small tables that do not wait for each other: their jobs run side by side.
+            _together([
+                write_totals,
+                lambda: folder.write("outcomes", batch, decided),
+                lambda: folder.write("carried", batch, known.where("keep").drop("keep", "is_open")),
+                lambda: folder.write("rejects", batch, late.unionByName(stray).unionByName(timeless).select(*columns)),
+                lambda: folder.write("clock", batch, clock),
+            ])
         finally:
             new.unpersist()
 
