@@ -1,11 +1,13 @@
-"""Functions called by name in SQL."""
+"""Functions called by name in SQL, and views."""
 
 import io
 from contextlib import redirect_stdout
 
 from frames import SMALL
 from quorumbook.sources.fixtures import Fixtures
+from quorumbook.operators.status import backfill_legacy
 from quorumbook.sources.functions import register_functions
+from quorumbook.sources.views import register_views
 
 
 def test_functions_by_name(spark):
@@ -31,3 +33,13 @@ def test_a_lateral_call_is_a_join(spark):
     with redirect_stdout(out):
         spark.sql("SELECT d.id, p.id FROM (SELECT id FROM range(9)) d, LATERAL t_claimed_player(d.id) p").explain()
     assert "Join" in out.getvalue() and "NestedLoop" not in out.getvalue() and "Cartesian" not in out.getvalue()
+
+
+def test_the_leaderboard_view_cuts_heavy_players(spark):
+    fx = Fixtures(spark, SMALL)
+    stored = backfill_legacy(fx.stored_proposals, fx.as_of)
+    boards = []
+    for prefix, rows in (("whole_", 10**6), ("cut_", 10)):
+        register_views(fx.players, stored, fx.votes, fx.as_of, prefix, rows)
+        boards.append(sorted(map(str, spark.sql(f"SELECT * FROM {prefix}leaderboard").collect())))
+    assert boards[0] == boards[1] and len(boards[0]) == 139
