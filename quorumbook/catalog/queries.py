@@ -51,6 +51,8 @@ SLICES, COMPACT_EVERY = 5, 3
 ROWS_PER_SLICE, FILES_PER_SLICE = 20_000_000, 4
 # Seconds for which the registered streams with late commands keep what they may correct: ten years.
 LATENESS = 315_360_000
+# Proposals, by consecutive ids, that share an entry of state in the registered streams.
+NEIGHBOURS = 64
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -606,7 +608,7 @@ def stream_leaderboard(fx):
 def stream_proposal_state(fx):
     """The outcomes from keyed state per proposal, over the same slices as the ledger."""
     commands = _delivered(fx, command_stream(fx.proposals, fx.votes, fx.withdrawals), "created_at", "commands")
-    given = drain(follow_cases(commands, fx.players), "cases-log")
+    given = drain(follow_cases(commands, fx.players, neighbours=NEIGHBOURS), "cases-log")
     return outcomes(given).select("id", "status", "vote_count", "approved_by", "approved_at")
 
 
@@ -615,7 +617,7 @@ def stream_late_commands(fx):
     """Commands that are refused as late, where those of every tenth player are delivered after all others."""
     commands = command_stream(fx.proposals, fx.votes, fx.withdrawals)
     stream = _delivered(fx, commands, "created_at", "commands", F.col("actor_id") % 10 == 7)
-    given = drain(follow_cases(stream, fx.players), "cases-log")
+    given = drain(follow_cases(stream, fx.players, neighbours=NEIGHBOURS), "cases-log")
     return case_rejects(given).where("reason = 'late'").drop("id")
 
 
@@ -625,7 +627,7 @@ def stream_scores_late(fx):
     commands = command_stream(fx.proposals, fx.votes, fx.withdrawals)
     late = F.pmod(F.xxhash64("kind", "id"), F.lit(10)) == 0
     stream = _delivered(fx, commands, "created_at", "commands", late)
-    events = event_log(follow_cases(stream, fx.players, lateness_seconds=LATENESS))
+    events = event_log(follow_cases(stream, fx.players, lateness_seconds=LATENESS, neighbours=NEIGHBOURS))
     return scores.leaderboard(fx.players, latest_totals(drain(follow_totals(events), "totals-log")))
 
 
@@ -634,7 +636,7 @@ def stream_ranks(fx):
     """Ranks read from a histogram of totals that differences keep current."""
     stream = _delivered(fx, command_stream(fx.proposals, fx.votes, fx.withdrawals), "created_at", "commands")
     root = fresh_path(fx.spark, "totals-log")
-    totals = drain(follow_totals(event_log(follow_cases(stream, fx.players))), "totals-log", root)
+    totals = drain(follow_totals(event_log(follow_cases(stream, fx.players, neighbours=NEIGHBOURS))), "totals-log", root)
     histogram = drain(follow_histogram(follow_table(fx.spark, f"{root}/rows", totals.schema), fx.players), "histogram-log")
     return ranked_totals(totals, histogram, fx.players)
 

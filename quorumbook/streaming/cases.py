@@ -15,19 +15,24 @@ that batch is about.
 With a ``lateness`` the state stays for that long and a command that comes late
 corrects the outcome: the row given out is taken back (``change`` -1) and the new one
 follows.  Later than that, or without a time, a command is rejected with a reason.
+
+Reading and writing state costs a call to the JVM, whatever it holds.  Proposals with
+neighbouring ids (``neighbours``) can share one entry and one timer: ids handed out in
+the order of time are open together, and a group is a bounded number of cases.
 """
 
 from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import astuple, dataclass, field
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quorumbook.functions.rules import MAX_REQUIRED_VOTES
+from quorumbook.plans.groups import first_of_group, require_power_of_two
 from quorumbook.operators.players import with_active_flag
 from quorumbook.streaming.throttle import require_state_store
 
@@ -36,11 +41,12 @@ CASE_LOG = (
     "player_id bigint, delta int, event_at bigint, command_kind string, command_id bigint, actor_id bigint, "
     "created_at bigint, reason string"
 )
-_FIELDS = [part.split(" ")[0] for part in CASE_LOG.split(", ")]
+_LOG_ROW = Row(*[part.split(" ")[0] for part in CASE_LOG.split(", ")])
 _CASE = (
     "target_id bigint, proposed_by bigint, amount int, proposal_type string, required_votes int, created_at bigint, "
     "deadline bigint, withdrawn_at bigint, votes array<bigint>, shown array<bigint>, shown_status string, timer bigint"
 )
+_GROUP = f"cases array<struct<proposal_id bigint, {_CASE}>>, waiting array<bigint>, timer bigint"
 _NOTHING = -(2**62)
 
 
@@ -101,54 +107,96 @@ class _Case:
 
 
 class CaseProcessor(StatefulProcessor):
-    """Follows one proposal."""
+    """Follows the proposals of one group."""
 
     def __init__(self, lateness_seconds: int = 0):
         self._lateness = lateness_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("case", _CASE)
-        self._early = handle.getListState("early", "kind string, id bigint, actor_id bigint, at bigint, active boolean")
+        self._state = handle.getValueState("case", _GROUP)
+        self._early = handle.getListState(
+            "early", "proposal_id bigint, kind string, id bigint, actor_id bigint, at bigint, active boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        stored = self._state.get()
-        case = _Case(*stored) if stored else None
-        early, waiting = [], 0
+        cases, waiting, timer = self._stored()
+        touched, early = {}, []
         for row in rows:
+            proposal = row.case_id
             if row.at is None or now > 0 and row.at <= now - self._lateness:
-                yield self._rejected(key[0], row, "no_time" if row.at is None else "late")
-            elif row.kind == "propose":
-                case = case or _Case(row.target_id, row.actor_id, row.amount, row.proposal_type,
-                                     row.required_votes or MAX_REQUIRED_VOTES + 1, row.at, row.deadline)
+                yield self._rejected(proposal, row, "no_time" if row.at is None else "late")
+                continue
+            case = cases.get(proposal)
+            if row.kind == "propose":
+                if case is None:
+                    cases[proposal] = case = _Case(
+                        row.target_id, row.actor_id, row.amount, row.proposal_type,
+                        row.required_votes or MAX_REQUIRED_VOTES + 1, row.at, row.deadline)
+                touched[proposal] = case
             elif case is not None:
                 if row.active:
                     case.take(row.kind, row.actor_id, row.at)
+                touched[proposal] = case
             else:
-                early.append((row.kind, row.id, row.actor_id, row.at, row.active))
-                waiting = max(waiting, row.at)
+                early.append((proposal, row.kind, row.id, row.actor_id, row.at, row.active))
                 if len(early) == 10_000:
-                    self._early.appendList(early)
-                    early = []
-        if case is None:
-            if waiting:
-                self._early.appendList(early)
-                self._handle.registerTimer((waiting + self._lateness) // 1000 + 1)
+                    early = self._wait(early, cases, waiting)
+        # What came before its proposal, in an earlier batch or in this one.
+        if any(proposal in waiting for proposal in touched):
+            kept, waiting = [], {}
+            for command in self._early.get():
+                self._take_early(command, cases, kept)
+            for command in kept:
+                waiting[command[0]] = max(waiting.get(command[0], _NOTHING), command[4])
+            self._early.put(kept) if kept else self._early.clear()
+        self._wait(early, cases, waiting)
+        for proposal, case in touched.items():
+            yield from self._settle(proposal, case, cases, now)
+        self._store(cases, waiting, timer)
+
+    def _stored(self) -> tuple[dict, dict, int]:
+        """The group's cases, until when commands wait for which proposals, and its timer."""
+        stored = self._state.get()
+        if not stored:
+            return {}, {}, _NOTHING
+        listed, waiting, timer = stored
+        named = [None if x == _NOTHING else x for x in waiting[::2]]
+        return {c[0]: _Case(*c[1:]) for c in listed}, dict(zip(named, waiting[1::2])), timer
+
+    def _store(self, cases: dict, waiting: dict, timer: int) -> None:
+        moments = [case.timer for case in cases.values() if case.timer != _NOTHING]
+        moments += [(at + self._lateness) // 1000 + 1 for at in waiting.values()]
+        least = min(moments, default=_NOTHING)
+        if least not in (timer, _NOTHING):
+            self._handle.registerTimer(least)
+        if not cases and not waiting:
+            self._state.clear()
             return
-        for kind, _, actor, at, active in self._waited(stored is None, early):
-            if active:
-                case.take(kind, actor, at)
-        yield from self._settle(key[0], case, now)
-
-    def _waited(self, is_new: bool, early: list) -> Iterator[tuple]:
-        """What came before the proposal, in this batch or an earlier one."""
-        yield from early
-        if is_new and self._early.exists():
-            yield from self._early.get()
-            self._early.clear()
-
-    def _settle(self, proposal: int, case: _Case, now: int) -> Iterator[Row]:
+        listed = [(proposal, *astuple(case)) for proposal, case in cases.items()]
+        flat = [x for proposal, at in waiting.items() for x in (_NOTHING if proposal is None else proposal, at)]
+        self._state.update((listed, flat, least))
+
+    def _take_early(self, command: tuple, cases: dict, kept: list) -> None:
+        proposal, kind, _, actor, at, active = command
+        case = cases.get(proposal)
+        if case is None:
+            kept.append(tuple(command))
+        elif active:
+            case.take(kind, actor, at)
+
+    def _wait(self, early: list, cases: dict, waiting: dict) -> list:
+        """Give commands to their proposals, where those have come by now, and store the others."""
+        kept: list = []
+        for command in early:
+            self._take_early(command, cases, kept)
+        if kept:
+            self._early.appendList(kept)
+            for command in kept:
+                waiting[command[0]] = max(waiting.get(command[0], _NOTHING), command[4])
+        return []
+
+    def _settle(self, proposal: int, case: _Case, cases: dict, now: int) -> Iterator[Row]:
         status, at, figures = case.decision()
         decided = at != _NOTHING and at <= now
         coded = [_NOTHING if x is None else x for x in figures] if decided else []
@@ -161,52 +209,51 @@ class CaseProcessor(StatefulProcessor):
             case.shown_status, case.shown = (status if decided else None), coded
         end = _NOTHING if case.deadline is None else (case.deadline + self._lateness) // 1000 + 1
         if decided and (not self._lateness or end != _NOTHING and end * 1000 <= now):
-            self._state.clear()
+            del cases[proposal]
             return
-        timer = end if decided else _NOTHING if at == _NOTHING else -(-at // 1000)
-        if timer != case.timer and timer != _NOTHING:
-            self._handle.registerTimer(timer)
-        case.timer = timer
-        self._state.update(tuple(asdict(case).values()))
+        case.timer = end if decided else _NOTHING if at == _NOTHING else -(-at // 1000)
 
     def _row(self, proposal: int, case: _Case, change: int, status: str, figures: list) -> Row:
-        values = (proposal, change, status, *figures, *case.event(status, figures), *[None] * 5)
-        return Row(**dict(zip(_FIELDS, values)))
+        return _LOG_ROW(proposal, change, status, *figures, *case.event(status, figures), *[None] * 5)
 
     def _rejected(self, proposal: int | None, row, reason: str) -> Row:
-        values = (proposal, 0, *[None] * 8, row.kind, row.id, row.actor_id, row.at, reason)
-        return Row(**dict(zip(_FIELDS, values)))
+        return _LOG_ROW(proposal, 0, *[None] * 8, row.kind, row.id, row.actor_id, row.at, reason)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        stored = self._state.get()
-        if stored:
-            yield from self._settle(key[0], _Case(*stored), now)
-            return
-        kept = []
-        for kind, number, actor, at, active in self._early.get() if self._early.exists() else ():
-            if at <= now - self._lateness:
-                yield self._rejected(key[0], Row(kind=kind, id=number, actor_id=actor, at=at), "no_open_proposal")
-            else:
-                kept.append((kind, number, actor, at, active))
-        if kept:  # a later timer is theirs
-            self._early.put(kept)
-        else:
-            self._early.clear()
+        cases, waiting, timer = self._stored()
+        for proposal, case in [(p, c) for p, c in cases.items() if c.timer != _NOTHING and c.timer * 1000 <= now]:
+            yield from self._settle(proposal, case, cases, now)
+        if any(at <= now - self._lateness for at in waiting.values()):
+            kept, waiting = [], {}
+            for proposal, kind, number, actor, at, active in self._early.get():
+                if at <= now - self._lateness:
+                    yield self._rejected(proposal, Row(kind=kind, id=number, actor_id=actor, at=at), "no_open_proposal")
+                else:
+                    kept.append((proposal, kind, number, actor, at, active))
+                    waiting[proposal] = max(waiting.get(proposal, _NOTHING), at)
+            self._early.put(kept) if kept else self._early.clear()
+        # A timer that has passed is no more; one that is still to come stays.
+        self._store(cases, waiting, timer if timer * 1000 > now else _NOTHING)
 
     def close(self) -> None:
         pass
 
 
 def follow_cases(
-    commands: DataFrame, players: DataFrame, delay: str = "0 seconds", lateness_seconds: int = 0
+    commands: DataFrame, players: DataFrame, delay: str = "0 seconds", lateness_seconds: int = 0, neighbours: int = 1
 ) -> DataFrame:
-    """Outcomes (``change`` 1, or -1 where one is taken back) and rejects (0) of a command stream, as ``CASE_LOG``."""
+    """Outcomes (``change`` 1, or -1 where one is taken back) and rejects (0) of a command stream, as ``CASE_LOG``.
+
+    ``neighbours``, a power of two, is how many ids share an entry of state; it changes the cost and never the result.
+    """
+    require_power_of_two(neighbours)
     require_state_store(commands.sparkSession)
     rows = commands.withWatermark("created_at", delay).where("kind <> 'tick'")
     # Without the column of the watermark Spark drops no row before the processor sees it.
     rows = with_active_flag(rows, players, "actor_id", "active").selectExpr(
-        "kind", "id", "proposal_id", "actor_id", "target_id", "cast(amount as int) as amount", "proposal_type",
+        first_of_group("proposal_id", neighbours), "proposal_id as case_id", "kind", "id", "actor_id", "target_id",
+        "cast(amount as int) as amount", "proposal_type",
         "cast(required_votes as int) as required_votes", "unix_micros(created_at) as at",
         "unix_micros(deadline) as deadline", "active")
     return rows.groupBy("proposal_id").transformWithState(

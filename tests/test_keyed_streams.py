@@ -272,3 +272,22 @@ def test_changes_without_a_key_and_empty_feeds(spark):
     assert changes.view_after(df.where("false"), F.current_timestamp()).collect() == []
     log = drain(follow_changes(delivered(spark, [df.where("id is null")])), "no-keys")
     assert log.collect() == [] and changes.view_after(df.where("id is null"), F.current_timestamp()).collect() == []
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_neighbouring_proposals_share_state(spark, ledger, late):
+    tables, commands, status = ledger
+    behind = F.pmod(F.xxhash64("kind", "id"), F.lit(4)) == 0 if late else F.lit(False)
+    parts = [between(commands, a, b).where(~behind) for a, b in ((-100, 100), (100, 200), (200, 900))]
+    parts += [commands.where(behind)] if late else []
+    root = fresh_path(spark, "neighbours")
+    log = drain(follow_cases(
+        delivered(spark, parts), tables[3], lateness_seconds=YEARS if late else 0, neighbours=8), "cases", root)
+    assert as_text(outcomes(log).select(*WANTED)) == wanted(status)
+    left = spark.read.format("statestore").option("stateVarName", "case").load(f"{root}/checkpoint")
+    assert {r.key.proposal_id % 8 for r in left.collect()} <= {0}
+
+
+def test_groups_are_powers_of_two(spark, ledger):
+    with pytest.raises(ValueError):
+        follow_cases(ledger[1], ledger[0][3], neighbours=6)
