@@ -419,12 +419,15 @@ def outcome_label(fx):
 
 def _repeated(df: DataFrame, which: str) -> DataFrame:
     """Some rows twice, so that their keys repeat."""
-    return df.unionByName(df.where(which))
+    return df.withColumn("_copy", F.explode(F.expr(f"if({which}, array(1, 2), array(1))"))).drop("_copy")
 
 
 def _audited(fx: Fixtures) -> DataFrame:
-    """Raw proposal rows as stored without any admission check, some of them broken on purpose."""
-    commands = fx.proposal_commands.select("id", "description", "amount", "target_id")
+    """Raw proposal rows as stored without any admission check, some of them broken on purpose.
+
+    The long texts join last, when rows go to no other shuffle.
+    """
+    commands = fx.untold_commands.select("id", "doc_id", "amount", "target_id")
     broken = {
         "status": "if(id % 13 = 0, 'closed', status)",
         "proposal_type": "if(id % 17 = 0, 'bonus', proposal_type)",
@@ -434,7 +437,7 @@ def _audited(fx: Fixtures) -> DataFrame:
     stored = fx.stored_proposals.drop("description", "amount", "target_id").withColumns(
         {name: F.expr(rule) for name, rule in broken.items()}
     )
-    return _repeated(stored.join(commands, "id"), "id % 37 = 0")
+    return fx.with_description(_repeated(stored.join(commands, "id"), "id % 37 = 0"))
 
 
 def _audited_players(fx: Fixtures) -> DataFrame:

@@ -145,20 +145,29 @@ class Fixtures:
         return attempts_from_events(self.raw("events"), self.player_count)
 
     @property
-    def proposal_commands(self) -> DataFrame:
-        documents = self.raw("documents")
-        texts = documents.select("doc_id", "text")
-        orders = self.raw("orders").withColumn("doc_id", F.expr(f"o_orderkey % {documents.count()}"))
-        return orders.join(texts, "doc_id", "left").selectExpr(
+    def untold_commands(self) -> DataFrame:
+        """The commands without their text, which is that of a document (``doc_id``)."""
+        return self.raw("orders").selectExpr(
             "o_orderkey as id",
             "o_custkey as actor_id",
             f"(o_custkey + o_orderkey % 97) % {self.player_count} as target_id",
-            "if(o_orderkey % 11 = 0, substring(text, 1, 2), text) as description",
+            f"o_orderkey % {self.raw('documents').count()} as doc_id",
             "cast(o_orderkey % 5 as int) as amount",
             "if(o_orderpriority = '5-LOW', 'pardon', 'penalty') as proposal_type",
             f"{_CREATED} as created_at",
         )
 
+    def with_description(self, commands: DataFrame) -> DataFrame:
+        """Commands with the text of their document in place of its id."""
+        texts = self.raw("documents").select("doc_id", "text")
+        columns = ["if(id % 11 = 0, substring(text, 1, 2), text) as description" if c == "doc_id" else c
+                   for c in commands.columns]
+        return commands.join(texts, "doc_id", "left").selectExpr(*columns)
+
+    @property
+    def proposal_commands(self) -> DataFrame:
+        return self.with_description(self.untold_commands)
+
     @property
     def stored_proposals(self) -> DataFrame:
         """Proposals as a table with stored states, some of them from before voting."""

@@ -82,3 +82,17 @@ def test_heavy_keys_are_found(spark):
     df = spark.range(30_000).selectExpr("if(id % 3 = 0, 7L, id) as key")
     assert heavy_keys(df, "key", 5_000) == [7]
     assert heavy_keys(df, "key", 100_000) == []
+
+
+def test_texts_of_audited_proposals_go_to_one_shuffle(spark):
+    from quorumbook.catalog.queries import _audited
+    from quorumbook.sources.fixtures import Fixtures
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = _audited(Fixtures(spark, "/root/testdata/sf0.001")).where("length(description) < 3").select("id")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("doc_id" in line for line in shuffles) == 2 and len(shuffles) == 4
