@@ -647,7 +647,8 @@ def stream_ranks(fx):
 @query
 def stream_changes(fx):
     """The view over the whole change log as the stream leaves it."""
-    given = drain(follow_changes(_delivered(fx, fx.changes, "changed_at", "changes")), "changes-log")
+    given = drain(
+        follow_changes(_delivered(fx, fx.changes, "changed_at", "changes"), neighbours=NEIGHBOURS), "changes-log")
     return changes.standing_rows(given)
 
 

@@ -264,6 +264,25 @@ def test_change_feed_in_any_order(spark, seed):
         assert not log.where("change = -1").isEmpty()
 
 
+@pytest.mark.parametrize("page_votes", [2, 512])
+def test_neighbouring_proposals_of_a_change_feed_share_state(spark, page_votes):
+    rows = random_changes(3)
+    end = max(r["changed_at"] for r in rows)
+    twice = rows + random.Random(1).sample(rows, 20)
+    for parts in ([rows[:40], rows[40:80], rows[80:]], [twice[2::3], twice[::3], twice[1::3]]):
+        parts = [spark.createDataFrame([tuple(r[n] for n in schemas.CHANGES.names) for r in p], schemas.CHANGES) for p in parts]
+        root = fresh_path(spark, "neighbours")
+        log = drain(follow_changes(delivered(spark, parts), neighbours=8, page_votes=page_votes), "changes", root)
+        standing = changes.standing_rows(log).select("id", "status", "vote_count", "player_id", "delta", "event_at")
+        assert sorted((tuple(r) for r in standing.collect()), key=str) == replayed(rows, end)
+        left = spark.read.format("statestore").option("stateVarName", "case").load(f"{root}/checkpoint").collect()
+        assert {r.key.proposal_id % 8 for r in left} == {0}
+        pages = spark.read.format("statestore").option("stateVarName", "votes").load(f"{root}/checkpoint").collect()
+        held = {r.key.proposal_id: r.value.held for r in left}
+        assert sum(held.values()) == sum(len(r.user_map_value.votes) // 32 for r in pages)
+        assert len(pages) > len(held) if page_votes == 2 else len(pages) == sum(n > 0 for n in held.values())
+
+
 def test_changes_without_a_key_and_empty_feeds(spark):
     rows = [dict(r) for r in random_changes(5)[:3]]
     for r in rows[:2]:
