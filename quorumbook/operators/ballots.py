@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quorumbook.functions.rules import MAX_REQUIRED_VOTES
 from quorumbook.operators.players import with_active_flag
-from quorumbook.plans.skew import ROWS_PER_TASK, broadcast_if_small, heavy_keys, is_heavy
+from quorumbook.plans.skew import ROWS_PER_TASK, broadcast_if_small, heavy_keys, is_heavy, partitions_for
 
 _RULE_COLUMNS = ["proposed_by", "target_id", "required_votes", "created_at", "deadline", "status"]
 
@@ -149,11 +149,12 @@ def decisions(
     rules = _rules(proposals)
     if not heavy:
         # One shuffle of the log; all that follows keeps this partitioning.
-        return _decide(rows.repartition("proposal_id"), rules, track_ids)
+        return _decide(rows.repartition(*partitions_for(votes), "proposal_id"), rules, track_ids)
     cold, hot = _split(rows, heavy)
     # Bounded by the number of heavy keys, see plans.skew.
     hot_rules = F.broadcast(_split(rules, heavy)[1])
-    return _decide(cold.repartition("proposal_id"), rules, track_ids).unionByName(_decide(hot, hot_rules, track_ids))
+    cold = cold.repartition(*partitions_for(votes), "proposal_id")
+    return _decide(cold, rules, track_ids).unionByName(_decide(hot, hot_rules, track_ids))
 
 
 def heavy_proposals(votes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> list:
@@ -256,7 +257,7 @@ def classify_votes(
         "cast(null as int) as vote_count", "cast(null as smallint) as required_votes", "cast(null as string) as status",
     )
     cold, hot = _split(rows, heavy) if heavy else (rows, None)
-    cold = cold.repartition("proposal_id")
+    cold = cold.repartition(*partitions_for(votes), "proposal_id")
     judged = _classify_votes(cold, rules, _decide(cold, rules, True, flagged=True)).unionByName(nameless)
     if hot is None:
         return judged

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 4_000_000
+ROWS_PER_PARTITION = 1_000_000
 BROADCAST_ROWS = 500_000
 
 
@@ -28,6 +29,16 @@ def heavy_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> l
     return [row["item"] for row in counts.where(F.col("n") > rows_per_task).select("item").collect()]
 
 
+def partitions_for(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> list[int]:
+    """What to give to ``repartition`` before the keys so that what a task holds does not grow with the table.
+
+    Nothing, which leaves the number to the session's settings, as long as these give no task more than
+    ``rows_per_partition`` rows on average.
+    """
+    wanted = -(-df.count() // rows_per_partition)
+    return [wanted] if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def is_heavy(key: Column, heavy: Sequence) -> Column:
     return F.coalesce(key.isin(list(heavy)), F.lit(False))
 

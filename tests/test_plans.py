@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from frames import SMALL
 from quorumbook.catalog.queries import REGISTRY
 from quorumbook.operators import ballots, scores
-from quorumbook.plans.skew import heavy_keys
+from quorumbook.plans.skew import heavy_keys, partitions_for
 from quorumbook.sources.fixtures import Fixtures
 
 
@@ -55,6 +55,21 @@ def test_classification_shuffles_the_log_once(spark):
     assert re.search(r"ReusedExchange .*, Exchange hashpartitioning\(proposal_id.*REPARTITION_BY_COL", final)
 
 
+def test_tasks_of_the_log_do_not_grow_with_it(spark, monkeypatch):
+    fx = Fixtures(spark, SMALL)
+    assert partitions_for(spark.range(100), 25) == [] and partitions_for(spark.range(101), 20) == [6]
+    first = ballots.under_first_rules(fx.proposals)
+
+    def run():
+        return ballots.resolve_proposals(first, fx.votes, fx.withdrawals, fx.players, fx.as_of).select(
+            "id", "status", "approved_by", "approved_at", "withdrawn_at", "vote_count")
+
+    want = run()
+    monkeypatch.setattr(ballots, "partitions_for", lambda votes: partitions_for(votes, votes.count() // 9 + 1))
+    assert "hashpartitioning(proposal_id" in plan(run()) and re.search(r", 9\), REPARTITION_BY_NUM", plan(run()))
+    assert sorted(map(str, run().collect())) == sorted(map(str, want.collect()))
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(REGISTRY["leaderboard"](spark, SMALL))
     assert "l_quantity" in text and "l_shipdate" not in text and "l_extendedprice" not in text
