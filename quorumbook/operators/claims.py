@@ -39,9 +39,9 @@ def _could_bind(rows: DataFrame, settled: DataFrame) -> DataFrame:
     claimed = settled.where("player_id is not null").select("player_id").distinct()
     return (
         rows.where(f"known and has_code and format_ok and code_ok and held_player < 0 and owned_at = {_NEVER}")
-        .join(settled.selectExpr("device_id", "horizon", "player_id as got"), "device_id", "left")
+        .join(settled.selectExpr("device_id", "horizon", "player_id as got").hint("merge"), "device_id", "left")
         .where("got is null and (horizon is null or seq >= horizon)")
-        .join(claimed, "player_id", "left_anti")
+        .join(claimed.hint("merge"), "player_id", "left_anti")
         .select("player_id", "device_id", "seq")
     )
 
@@ -64,7 +64,7 @@ def _faced(rows: DataFrame, settled: DataFrame) -> DataFrame:
     """Attempts with the moment their player was claimed by another device."""
     claims = settled.where("player_id is not null").selectExpr("player_id", "device_id as claimer", "claim_seq")
     taken = f"least(owned_at, if(claimer is not null and claimer <> device_id, claim_seq, {_NEVER}L))"
-    return rows.join(claims, "player_id", "left").selectExpr(
+    return rows.join(claims.hint("merge"), "player_id", "left").selectExpr(
         *rows.columns, f"{taken} as taken_at", f"known and has_code and format_ok and {taken} >= seq as counts"
     )
 
@@ -76,7 +76,7 @@ def _settle(faced: DataFrame, earliest: DataFrame, heavy: Sequence) -> DataFrame
     certain; nor is anything the device does later.
     """
     rival = f"coalesce(if(first_device = device_id, second_seq, first_seq), {_NEVER}L)"
-    rows = faced.join(earliest, "player_id", "left").selectExpr(
+    rows = faced.join(earliest.hint("merge"), "player_id", "left").selectExpr(
         "device_id", "seq", "at", "player_id", "counts", "code_ok", f"{rival} < seq as open"
     )
     ends = walk_attempts(rows, heavy).groupBy("device_id").agg(
@@ -105,7 +105,8 @@ def resolve_claims(attempts: DataFrame, players: DataFrame, heavy: Sequence | No
     player, so devices that try the same players depend on each other.  Each
     round settles every device up to the first attempt that an unsettled claim
     of another device could still change; the earliest open claim is always
-    settled, so the rounds end.  What is settled is written out after each round.
+    settled, so the rounds end.  What is settled is written out after each round
+    and merged with the attempts; broadcasts would send it through the driver each time.
     """
     heavy = heavy_devices(attempts) if heavy is None else heavy
     rows = materialize(_prepared(attempts, players), "claim-attempts")
@@ -118,7 +119,7 @@ def resolve_claims(attempts: DataFrame, players: DataFrame, heavy: Sequence | No
             break
         # Devices that bound or have nothing left to settle keep their row.
         closed = settled.where(f"player_id is not null or horizon = {_NEVER}")
-        still = free.join(closed.select("device_id"), "device_id", "left_anti")
+        still = free.join(closed.select("device_id").hint("merge"), "device_id", "left_anti")
         settled = materialize(
             closed.unionByName(_settle(_faced(still, settled), earliest, heavy)), "claim-settled"
         )

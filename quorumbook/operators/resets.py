@@ -37,7 +37,7 @@ def named_changes(players: DataFrame, log: DataFrame) -> DataFrame:
         F.min(F.struct("seq", "new_id")).alias("made"))
     names = players.selectExpr("display_name", "id as player_id", f"{_START}L as made_at").unionByName(
         made.selectExpr("display_name", "made.new_id as player_id", "made.seq as made_at"))
-    return log.join(names, "display_name").where("seq > made_at and op <> 'insert' or seq = made_at").select(
+    return log.join(names.hint("merge"), "display_name").where("seq > made_at and op <> 'insert' or seq = made_at").select(
         "player_id", "display_name", "seq", "changed_at", "op", "code")
 
 
@@ -88,7 +88,7 @@ def as_of(commands: DataFrame, periods: DataFrame, columns: Sequence[str]) -> Da
     """
     held = periods.select(F.col("player_id").alias("_player"), "since", "until", *columns)
     matches = (F.col("player_id") == F.col("_player")) & F.col("seq").between(F.col("since") + 1, F.col("until") - 1)
-    return commands.join(held, matches, "left").drop("_player", "since", "until")
+    return commands.join(held.hint("merge"), matches, "left").drop("_player", "since", "until")
 
 
 def _prepared(attempts: DataFrame, periods: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def _faced(rows: DataFrame, bindings: DataFrame) -> DataFrame:
     mine = bindings.selectExpr("device_id as _device", "slot as bound_slot", "claim_seq", "ends as bound_until")
     inside = (F.col("device_id") == F.col("_device")) & F.col("seq").between(
         F.col("claim_seq") + 1, F.col("bound_until") - 1)
-    return rows.join(claims, "slot", "left").join(mine, inside, "left").selectExpr(
+    return rows.join(claims.hint("merge"), "slot", "left").join(mine.hint("merge"), inside, "left").selectExpr(
         *rows.columns, "coalesce(bound_slot, -1L) as bound_slot", "bound_slot is not null as inside",
         "claimer is null as free",
         "coalesce(claimer <> device_id and claimed_at < seq, false) as taken",
@@ -123,7 +123,7 @@ def _faced(rows: DataFrame, bindings: DataFrame) -> DataFrame:
 def _settled(faced: DataFrame, earliest: DataFrame, heavy: Sequence) -> DataFrame:
     """How far each device's attempts are certain, and the claim it makes before that."""
     rival = f"coalesce(if(first_device = device_id, second_seq, first_seq), {NEVER}L)"
-    rows = faced.join(earliest.withColumnRenamed("player_id", "slot"), "slot", "left").selectExpr(
+    rows = faced.join(earliest.withColumnRenamed("player_id", "slot").hint("merge"), "slot", "left").selectExpr(
         "device_id", "seq", "at", "slot", "ends", "counts", "code_ok", "free", f"not inside and {rival} < seq as open")
     found = walk_attempts(rows, heavy).groupBy("device_id").agg(
         F.expr(f"coalesce(min(if(open, seq, null)), {NEVER}L)").alias("horizon"),
@@ -149,7 +149,8 @@ def resolve_claims_over_time(
 
     ``seq`` orders attempts and log together.  Each round settles every device up to the first attempt that an
     unsettled claim of another device could still change, or to the end of the binding it makes before that;
-    the earliest open claim is always settled, so the rounds end.
+    the earliest open claim is always settled, so the rounds end.  The joins are merged: a broadcast in every round
+    would send what is settled through the driver each time.
     """
     heavy = heavy_devices(attempts) if heavy is None else heavy
     periods = materialize(player_periods(players, log), "player-periods")
@@ -158,7 +159,8 @@ def resolve_claims_over_time(
     horizons = rows.sparkSession.createDataFrame([], "device_id bigint, horizon bigint")
     while True:
         faced = _faced(rows, bindings)
-        possible = faced.where("counts and code_ok and free").join(horizons, "device_id", "left").where(
+        possible = faced.where("counts and code_ok and free").join(
+            horizons.hint("merge"), "device_id", "left").where(
             "horizon is null or seq >= horizon").select(F.col("slot").alias("player_id"), "device_id", "seq")
         earliest = materialize(rivals(possible), "claim-rivals")
         if earliest.isEmpty():

@@ -104,3 +104,10 @@ def test_empty_log_and_no_attempts(spark):
     people, log, attempts = frames_of(spark, players, rows)
     assert players_now(player_periods(people, log.where("false"))).count() == len(players)
     assert resolve_claims_over_time(attempts.where("false"), people, log).collect() == []
+
+
+def test_rounds_send_nothing_through_the_driver(spark):
+    players, rows = log_of(5)
+    people, log, attempts = frames_of(spark, players, rows)
+    plan = resolve_claims_over_time(attempts, people, log, ())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
