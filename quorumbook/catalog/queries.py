@@ -51,7 +51,7 @@ SLICES, COMPACT_EVERY = 5, 3
 ROWS_PER_SLICE, FILES_PER_SLICE = 20_000_000, 4
 # Seconds for which the registered streams with late commands keep what they may correct: ten years.
 LATENESS = 315_360_000
-# Proposals, by consecutive ids, that share an entry of state in the registered streams.
+# Proposals or devices, by consecutive ids, that share an entry of state in the registered streams.
 NEIGHBOURS = 64
 
 
@@ -661,7 +661,7 @@ def view_after_changes(fx):
 @query
 def stream_throttle(fx):
     attempts = attempts_from_events(_feed(fx, "events"), fx.player_count)
-    return drain(throttled_stream(attempts), "throttle").withColumnRenamed("at", "ts")
+    return drain(throttled_stream(attempts, neighbours=NEIGHBOURS), "throttle").withColumnRenamed("at", "ts")
 
 
 @query
@@ -670,7 +670,8 @@ def stream_rejects(fx):
     path, root = fresh_path(fx.spark, "delivered"), fresh_path(fx.spark, "rejects")
     for delivered in ("seq % 10 <> 0", "seq % 10 = 0"):
         fx.claim_attempts.where(delivered).write.mode("append").parquet(path)
-        rejected = drain(throttle_rejects(follow_table(fx.spark, path, CLAIM_ATTEMPTS)), "rejects", root)
+        stream = follow_table(fx.spark, path, CLAIM_ATTEMPTS)
+        rejected = drain(throttle_rejects(stream, neighbours=NEIGHBOURS), "rejects", root)
     return rejected.withColumnRenamed("at", "ts")
 
 

@@ -134,6 +134,26 @@ def test_late_attempts_are_rejected_with_a_reason(spark):
         (5, "invalid_code", 4, None), (6, None, None, "no_time")]
 
 
+def test_neighbouring_devices_share_state(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(-2, 9)]), seq, model.at(seq * 40), rng.random() > 0.1, rng.random() < 0.06) for seq in range(300)]
+    attempts = spark.createDataFrame(
+        rows, "device_id bigint, seq bigint, ts timestamp, format_ok boolean, code_ok boolean"
+    ).withColumn("player_id", F.lit(0).cast("bigint"))
+    folder, root = fresh_path(spark, "attempts"), fresh_path(spark, "shared-throttle")
+    write_slices(attempts, folder, [0, 3000, 6000, 20000], "ts")
+    stream = follow_table(spark, folder, schemas.CLAIM_ATTEMPTS, files_per_trigger=1)
+    got = drain(judge_attempts(stream, neighbours=4), "throttle-test", root).collect()
+    known = {r["seq"]: r["device_id"] for r in attempts.collect()}
+    want = {r["seq"]: (r["device_id"], r["outcome"]) for r in throttle.claim_throttle(
+        attempts.withColumn("device_id", F.coalesce("device_id", F.lit(99)))).collect()}
+    assert {r["seq"]: (r["device_id"], r["outcome"]) for r in got} == {i: (known[i], o) for i, (_, o) in want.items()}
+    left = spark.read.format("statestore").option("stateVarName", "throttle").load(f"{root}/checkpoint").collect()
+    assert left and {(r.key.device_id or 0) % 4 for r in left} == {0}
+
+
 def test_vote_match_over_files(spark, ledger):
     root, tables, _ = ledger
     matched = match_votes(feed(spark, root, "proposals", tables[0].schema), feed(spark, root, "votes", tables[1].schema))
