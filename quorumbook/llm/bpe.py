@@ -1,10 +1,11 @@
-"""Byte-level BPE as a fold of ranked merges over byte arrays, in Spark's higher-order functions.
+"""Byte-level BPE as a fold of ranked merges over the distinct words, in arrays inside Spark's tasks.
 
-The rank map is a literal from two neighbouring pieces to the rank of what they join
-to, cut into small maps by the pair's remainder, as a lookup in a map walks its keys.  A
-word starts as the array of its bytes, each as the id of its piece.  Each turn of the fold
-looks up every two neighbours and joins the leftmost pair of least rank, until no pair has
-a rank.  Decoding looks the ids up and concatenates the binary pieces.
+The rank map is a sorted array of numbers, each for two neighbouring pieces, beside the
+ranks of what they join to.  The words of a chunk lie one after the other in one array,
+at first as the ids of their bytes.  Each turn of the fold joins in every word the
+leftmost pair of least rank and looks up the pairs on both sides of it; words without a
+ranked pair leave the array, until none is left.  Decoding looks the ids up and
+concatenates the binary pieces, in Spark's higher-order functions.
 
 Words are folded once per chunk of documents, not once per occurrence, and words that
 are frequent in a sample are folded beforehand.  Documents never leave their task, so
@@ -29,13 +30,14 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 65_521
 PREPARED_WORDS = 100_000
 PREPARED_FROM = 8000
 CHUNK_BYTES = 2_000_000
@@ -69,58 +71,69 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return joined
 
 
-def rank_literal(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    """The rank map as a literal: for each bucket its entries, array<array<struct<key:bigint,value:int>>>."""
-    parts: list[list[dict]] = [[] for _ in range(buckets)]
-    for pair, rank in pair_ranks(ranks).items():
-        parts[pair % buckets].append({"key": pair, "value": rank})
-    return F.from_json(F.lit(json.dumps(parts, separators=(",", ":"))), "array<array<struct<key:bigint,value:int>>>")
+@dataclass(frozen=True)
+class Merges:
+    """The rank map in arrays: sorted numbers of pairs, their ranks, and the id of each byte."""
 
+    pairs: np.ndarray
+    joined: np.ndarray
+    single: np.ndarray
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _merged(word: Column, table: Column, single: Column, buckets: int) -> Column:
-    """Ids of the pieces of one word (binary) after all merges."""
-    def pair(left: Column, right: Column) -> Column:
-        return left.cast("bigint") * _IDS + right
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left * _IDS + right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.joined[at], _NO_RANK)
 
-    def rank(key: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(table, (key % buckets).cast("int")), key), F.lit(_NO_RANK))
-
-    def turn(ids: Column, _: Column) -> Column:
-        def join(least: Column) -> Column:
-            def at(place: Column) -> Column:
-                new = (least / _PLACES).cast("int")
-                placed = F.transform(ids, lambda x, i: F.when(i == place, new).otherwise(x))
-                return F.filter(placed, lambda _, i: i != place + 1)
-
-            return F.when(least < _NO_RANK * _PLACES, _let(least % _PLACES, at)).otherwise(ids)
-
-        # The least rank and, of equal ones, the first place, as one number.
-        ranks = F.transform(F.slice(ids, F.lit(2), F.size(ids)),
-                            lambda x, i: rank(pair(F.get(ids, i), x)) * F.lit(_PLACES) + i)
-        return F.when(F.size(ids) < 2, ids).otherwise(_let(F.array_min(ranks), join))
 
-    def folded(digits: Column) -> Column:
-        size = (F.length(digits) / 2).cast("int")
-        start = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(
-            single, F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), start, turn)
+def merges(ranks: dict[bytes, int]) -> Merges:
+    found = pair_ranks(ranks) or {-1: _NO_RANK}
+    pairs = np.array(sorted(found), np.int64)
+    return Merges(pairs, np.array([found[p] for p in pairs.tolist()], np.int64),
+                  np.array([ranks[bytes([b])] for b in range(256)], np.int64))
 
-    return _let(F.hex(word), folded)
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def folded_words(words: Column, ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    """For each of an array of words (binary, not empty) the ids of its pieces after all merges."""
-    single = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
 
-    def all_words(table: Column) -> Column:
-        return _let(single, lambda ids: F.transform(words, lambda word: _merged(word, table, ids, buckets)))
+def folded_words(words: list[bytes], table: Merges):
+    """For each of a list of words (not empty) the ids of its pieces after all merges, as an array of lists."""
+    import pyarrow as pa
 
-    return _let(F.transform(rank_literal(ranks, buckets), lambda entries: F.map_from_entries(entries)), all_words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ids = table.single[np.frombuffer(b"".join(words), np.uint8)]
+    rank = np.full(len(ids), _NO_RANK, np.int64)  # of a piece and the next one of its word
+    if len(ids) > 1:
+        rank[:-1] = table.ranks(ids[:-1], ids[1:])
+    rank[np.cumsum(sizes) - 1] = _NO_RANK
+    word, done = np.arange(len(words)), []
+    while len(word):
+        starts = np.cumsum(sizes) - sizes
+        # The least rank and, of equal ones, the first place, as one number.
+        least = np.minimum.reduceat(rank * _PLACES + np.arange(len(rank)), starts)
+        joins = least < _NO_RANK * _PLACES
+        left, ended = np.repeat(joins, sizes), ~joins
+        done.append((word[ended], sizes[ended], ids[~left]))
+        least, word, sizes = least[joins], word[joins], sizes[joins] - 1
+        at = least % _PLACES
+        ids[at] = least // _PLACES
+        left[at + 1] = False
+        at = np.cumsum(left)[at] - 1
+        ids, rank = ids[left], rank[left]
+        starts = np.cumsum(sizes) - sizes
+        last = at == starts + sizes - 1
+        rank[at[last]] = _NO_RANK
+        inner = at[~last]
+        rank[inner] = table.ranks(ids[inner], ids[inner + 1])
+        later = at[at > starts]
+        rank[later - 1] = table.ranks(ids[later - 1], ids[later])
+    if not done:
+        return pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.int32()))
+    word, sizes, ids = (np.concatenate(parts) for parts in zip(*done))
+    ids = ids[np.argsort(np.repeat(word, sizes), kind="stable")]
+    cuts = np.append(0, np.cumsum(sizes[np.argsort(word)]))
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def _piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -227,7 +240,16 @@ def _prepared_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most
     counted = docs.select("text").where(part).mapInArrow(count, "word binary, n bigint")
     frequent = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
     rows = frequent.groupBy(F.pmod(F.xxhash64("word"), F.lit(_GROUPS))).agg(F.collect_list("word").alias("words"))
-    found = _folded(rows, ranks).select(F.explode(F.arrays_zip(*_WORD)).alias("w")).select("w.*").toArrow()
+    table = merges(ranks)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in batch.column(0):
+                yield pa.RecordBatch.from_arrays(
+                    [_one(words.values), _one(folded_words(words.as_py(), table))], names=["words", "ids"])
+
+    folded = rows.select("words").mapInArrow(fold, "words array<binary>, ids array<array<int>>")
+    found = _spelled(folded, ranks).select(F.explode(F.arrays_zip(*_WORD)).alias("w")).select("w.*").toArrow()
     own = [(piece, rank) for piece, rank in ranks.items() if _is_text(piece)]
     pieces = pa.table([[p for p, _ in own], [[r] for _, r in own], [str(r) for _, r in own], [p for p, _ in own]],
                       schema=found.schema)
@@ -246,11 +268,10 @@ def _is_text(piece: bytes) -> bool:
     return True
 
 
-def _folded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Add the ids of the words of each row, as numbers and as text, and the bytes that these decode to."""
+def _spelled(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Add the ids of the words of each row as text, and the bytes that these decode to."""
     texts = F.transform("ids", lambda x: F.array_join(x.cast("array<string>"), ","))
-    return rows.withColumn("ids", folded_words(F.col("words"), ranks)).withColumn("texts", texts).withColumn(
-        "bodies", decoded_all(F.col("ids"), ranks))
+    return rows.withColumn("texts", texts).withColumn("bodies", decoded_all(F.col("ids"), ranks))
 
 
 class _Words:
@@ -280,13 +301,13 @@ def encode(
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """doc_id, n_tokens and the wanted of ids (array<int>), ids_text (decimal, with commas) and decoded (bytes)."""
-    import numpy as np
     import pyarrow as pa
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Bounded by prepared_words.
     known = docs.sparkSession.sparkContext.broadcast(_prepared_words(docs, ranks, pattern, prepared_words, prepared_from))
+    pairs = merges(ranks)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, ascii_only = _finders(pattern)
@@ -304,10 +325,10 @@ def encode(
                 held += len(text)
                 if held >= chunk_bytes or i + 1 == batch.num_rows:
                     ids = batch.column(0).slice(at, i + 1 - at)
+                    new = [w if isinstance(w, bytes) else w.encode() for w in words.new]
                     yield pa.RecordBatch.from_arrays(
-                        [_one(ids), _one(pa.array(codes, pa.binary())),
-                         _one(pa.array([w if isinstance(w, bytes) else w.encode() for w in words.new], pa.binary()))],
-                        names=["doc_ids", "codes", "words"])
+                        [_one(ids), _one(pa.array(codes, pa.binary())), _one(folded_words(new, pairs))],
+                        names=["doc_ids", "codes", "ids"])
                     at, codes, held, words = i + 1, [], 0, _Codes(numbers)
 
     kinds = {"ids": pa.list_(pa.int32()), "ids_text": pa.string(), "decoded": pa.binary()}
@@ -337,10 +358,10 @@ def encode(
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", *outputs])
                 table.cut(ready)
 
-    chunks = docs.mapInArrow(split, f"doc_ids array<{kind}>, codes array<binary>, words array<binary>")
+    chunks = docs.mapInArrow(split, f"doc_ids array<{kind}>, codes array<binary>, ids array<array<int>>")
     sql = {"ids": "array<int>", "ids_text": "string", "decoded": "binary"}
     wanted = "".join(f", {name} {sql[name]}" for name in outputs)
-    return _folded(chunks, ranks).select("doc_ids", "codes", "ids", "texts", "bodies").mapInArrow(
+    return _spelled(chunks, ranks).select("doc_ids", "codes", "ids", "texts", "bodies").mapInArrow(
         assemble, f"doc_id {kind}, n_tokens bigint{wanted}")
 
 

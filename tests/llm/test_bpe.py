@@ -45,5 +45,14 @@ def test_pieces_of_a_long_word_are_those_of_the_library(word):
     assert ids == (LIBRARY._core_bpe.encode_single_piece(word.encode()) if word else [])
 
 
+MERGES = bpe.merges(RANKS)
+
+
+@given(st.lists(st.text(st.sampled_from("abeinst é日0 "), min_size=1, max_size=40), max_size=12))
+def test_words_of_a_chunk_are_folded_together(words):
+    ids = bpe.folded_words([w.encode() for w in words], MERGES).to_pylist()
+    assert ids == [LIBRARY._core_bpe.encode_single_piece(w.encode()) for w in words]
+
+
 def test_empty_table(empty):
     assert encoded(empty) == []
