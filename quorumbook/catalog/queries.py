@@ -48,7 +48,7 @@ CODE_SEED = "spring"
 CODE_WIDTH = 6
 # Micro-batches of the registered streams at least, and after how many the totals are written in full.
 SLICES, COMPACT_EVERY = 5, 3
-ROWS_PER_SLICE, FILES_PER_SLICE = 20_000_000, 4
+ROWS_PER_SLICE, ROWS_PER_FILE, FILES_PER_SLICE = 20_000_000, 250_000, 4
 # Seconds for which the registered streams with late commands keep what they may correct: ten years.
 LATENESS = 315_360_000
 # Proposals or devices, by consecutive ids, that share an entry of state in the registered streams.
@@ -567,21 +567,22 @@ def _feed(fx: Fixtures, name: str) -> DataFrame:
 def _delivered(fx: Fixtures, log: DataFrame, column: str, label: str, last: Column | None = None) -> DataFrame:
     """A log as a stream that delivers it in slices of time, one micro-batch each, and the rows of ``last`` at the end.
 
-    The log is computed and cut once; a slice is then delivered by reading nothing but itself.
+    The log is cut once; a slice is then delivered by reading nothing but itself, from as many files as its rows ask for.
     """
     at = F.unix_micros(column)
-    log = materialize(log, label)
-    slices = max(SLICES, log.count() // ROWS_PER_SLICE)
+    rows = log.count()
+    slices = max(SLICES, rows // ROWS_PER_SLICE)
+    files = max(FILES_PER_SLICE, rows // slices // ROWS_PER_FILE)
     bounds = order_bounds(log.select(at.alias("at")), "at", slices)
     staged, path = fresh_path(fx.spark, f"{label}-staged"), fresh_path(fx.spark, label)
     piece = piece_of(at, bounds) if last is None else F.when(last, len(bounds) + 1).otherwise(piece_of(at, bounds))
-    log.withColumn("slice", piece).repartition("slice", F.xxhash64("id") % FILES_PER_SLICE).write.partitionBy(
+    log.withColumn("slice", piece).repartition(slices * files, "slice", F.pmod(F.xxhash64("id"), F.lit(files))).write.partitionBy(
         "slice").parquet(staged)
     # Files are taken in the order in which they were written.
     for number in range(len(bounds) + 1 + (last is not None)):
         part = fx.spark.read.schema(log.schema).parquet(f"{staged}/slice={number}")
-        part.repartition(FILES_PER_SLICE).write.mode("append").parquet(path)
-    return follow_table(fx.spark, path, log.schema, files_per_trigger=FILES_PER_SLICE)
+        part.repartition(files).write.mode("append").parquet(path)
+    return follow_table(fx.spark, path, log.schema, files_per_trigger=files)
 
 
 def _ledger_stream(fx: Fixtures) -> tuple[LedgerFolder, int]:

@@ -32,6 +32,7 @@ OUTCOMES = (
     "id bigint, proposed_by bigint, target_id bigint, amount smallint, proposal_type string, deadline timestamp, "
     "status string, vote_count int, approved_by bigint, approved_at timestamp, withdrawn_at timestamp"
 )
+REST = f"{COMMANDS}, n_open bigint, keep boolean"
 EVENTS = "player_id bigint, delta int, event_at timestamp, proposal_id bigint"
 TOTALS = "player_id bigint, total int, version bigint"
 REJECTS = "kind string, id bigint, proposal_id bigint, actor_id bigint, created_at timestamp, reason string"
@@ -86,7 +87,7 @@ class LedgerFolder:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/batch=*")
 
     def outcomes(self) -> DataFrame:
-        return self.read_all("outcomes", OUTCOMES)
+        return self.read_all("status", f"{OUTCOMES}, decided boolean").where("decided").drop("decided")
 
     def events(self) -> DataFrame:
         return self.read_all("events", EVENTS)
@@ -162,22 +163,24 @@ def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int,
                 )
             watermark = before if newest is None else max(before, newest - delay_seconds * 1_000_000)
             status = _decide(on_time, players, _instant(watermark))
-            folder.write("status", batch, status.select(*[c.split(" ")[0] for c in OUTCOMES.split(", ")]))
-            status = folder.read("status", batch, OUTCOMES)
             # Deadlines of the watermark's own instant are still open; approvals of that instant wait for them.
             waits = F.lit(False) if closing else F.coalesce(F.col("approved_at") >= _instant(watermark), F.lit(False))
-            decided = status.where((F.col("status") != "open") & ~waits)
-            open_ids = status.where((F.col("status") == "open") | waits).selectExpr("id as proposal_id", "true as is_open")
-            known = on_time.join(open_ids, "proposal_id", "left").withColumn(
-                "keep", F.coalesce(F.col("is_open"), F.lit(False)) | (F.col("created_at") > _instant(watermark))
-            )
+            folder.write("status", batch, status.select(
+                *[c.split(" ")[0] for c in OUTCOMES.split(", ")], ((F.col("status") != "open") & ~waits).alias("decided")))
+            status = folder.read("status", batch, f"{OUTCOMES}, decided boolean")
+            decided = status.where("decided").drop("decided")
+            # A command is carried over with every open proposal of its id; one lookup tells those, and ids not met here.
+            here = status.groupBy(F.col("id").alias("proposal_id")).agg(F.expr("count_if(not decided) as n_open"))
+            rest = on_time.join(here, "proposal_id", "left").withColumn(
+                "keep", F.coalesce(F.col("n_open") > 0, F.lit(False)) | (F.col("created_at") > _instant(watermark))
+            ).where("keep or n_open is null")
+            folder.write("rest", batch, rest.select(*[c.split(" ")[0] for c in REST.split(", ")]))
+            rest = folder.read("rest", batch, REST)
+            carried = rest.where("keep").withColumn("copy", F.expr("explode(sequence(1L, greatest(n_open, 1L)))"))
             late = commands.where(F.col("created_at") <= _instant(before)).withColumn("reason", F.lit("late"))
             timeless = new.where("created_at is null").withColumn("reason", F.lit("no_time"))
             # What remains belongs to a proposal decided earlier, or to none.
-            here = status.selectExpr("id as proposal_id")
-            stray = known.where("not keep").drop("keep", "is_open").join(here, "proposal_id", "left_anti").withColumn(
-                "reason", F.lit("no_open_proposal")
-            )
+            stray = rest.where("not keep").drop("keep", "n_open").withColumn("reason", F.lit("no_open_proposal"))
             columns = [c.split(" ")[0] for c in REJECTS.split(", ")]
             clock = folder.spark.range(1).select(F.lit(watermark).cast("bigint").alias("watermark"))
 
@@ -188,8 +191,7 @@ def _ledger_batch(folder: LedgerFolder, players: DataFrame, delay_seconds: int,
             # Small tables that do not wait for each other: their jobs run side by side.
             _together([
                 write_totals,
-                lambda: folder.write("outcomes", batch, decided),
-                lambda: folder.write("carried", batch, known.where("keep").drop("keep", "is_open")),
+                lambda: folder.write("carried", batch, carried.drop("keep", "n_open", "copy")),
                 lambda: folder.write("rejects", batch, late.unionByName(stray).unionByName(timeless).select(*columns)),
                 lambda: folder.write("clock", batch, clock),
             ])

@@ -1,10 +1,13 @@
 """Streams over several files against the batch operators."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 import frames
 import model
+from quorumbook.catalog import queries
 from quorumbook.operators import ballots, scores, throttle
 from quorumbook.operators.status import with_derived_status
 from quorumbook.plans.workspace import fresh_path
@@ -237,3 +240,20 @@ def test_time_passes_without_commands(spark):
     folder, _, _ = small_ledger(spark, [commands, nothing, idle], closing=False)
     assert [(r["id"], r["status"]) for r in folder.outcomes().collect()] == [(1, "failed")]
     assert folder.rejects().isEmpty()
+
+
+def test_slices_come_in_order_from_as_many_files_as_their_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(queries, "ROWS_PER_FILE", 50)
+    log = spark.range(3000).selectExpr("id", "timestamp_seconds(id * 7 % 3000) as at")
+    stream = queries._delivered(SimpleNamespace(spark=spark), log, "at", "delivered-test")
+    seen = []
+
+    def note(rows, batch):
+        rows = rows.select("*", F.input_file_name().alias("file"))
+        seen.append(rows.agg(F.count("*"), F.unix_seconds(F.min("at")), F.unix_seconds(F.max("at")),
+                             F.count_distinct("file")).first())
+
+    root = fresh_path(spark, "delivered-notes")
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", root).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == queries.SLICES and {s[3] for s in seen} == {3000 // queries.SLICES // 50}
+    assert all(a[2] < b[1] for a, b in zip(seen[:-1], seen[1:])) and sum(s[0] for s in seen) == 3000
