@@ -15,19 +15,21 @@ from quorumbook.llm.queries import PSEUDONYM_KEY, packed, tokenizer_path
 from quorumbook.llm.tables import read_table, written
 
 
-#: Languages to keep, and the score from which a text of another one is rejected; None keeps all.
+#: Languages to keep (None keeps all), and the score from which a text is held to be of another one than its label or these.
 WANTED_LANGUAGES, LEAST_SCORE = None, 0.9
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject what has no language or none of the wanted ones, and fill in a missing ``lang`` with the prediction.
+    """Reject what has no language or none of the wanted ones, and fill in a missing or surely wrong ``lang``.
+
+    The pieces carry that language to the end, so that a mix of languages can be drawn from them.
 
     The model is trained on the documents themselves, without those held out.  By default every language is wanted:
     null texts and texts without a letter are rejected then, and nothing for a low score, as short clean texts have
     low scores too, or because the documents have no labels to learn from.
     """
     model = language.train_language_model(docs)
-    return language.keep_known(docs, model, lang_col="lang", wanted=WANTED_LANGUAGES, least_score=LEAST_SCORE)
+    return language.keep_known(docs, model, lang_col="lang", wanted=WANTED_LANGUAGES, least_score=LEAST_SCORE, correct=True)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,8 @@ def replace_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length with their sequence."""
-    return packed(docs, tokenizer_path("word_bpe_49k.json"))
+    """Pieces of power-of-two length with their sequence and language."""
+    return packed(docs, tokenizer_path("word_bpe_49k.json"), kept=["lang"])
 
 
 STAGES = [

@@ -277,12 +277,13 @@ def _judged(docs: DataFrame, model: LanguageModel, text_col: str, kept: list[str
 
 def keep_known(
     docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str | None = None,
-    wanted: list[str] | None = None, least_score: float = 0.0,
+    wanted: list[str] | None = None, least_score: float = 0.0, correct: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` whose text has a letter and, where ``wanted`` names languages, is in one of them.
 
     A text is of another language if the model says so with a score of ``least_score`` or more; a model that could
-    learn nothing says nothing.  Where ``lang_col`` is given, its nulls are filled with the prediction.
+    learn nothing says nothing.  Where ``lang_col`` is given, its nulls are filled with the prediction; with ``correct``
+    so are the labels of texts that the model says with ``least_score`` or more to be of another language.
     """
     columns = docs.columns
     named = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)])
@@ -291,5 +292,7 @@ def keep_known(
     if wanted is not None and model.languages:
         keeps = keeps & (F.col("lang_pred").isin(list(wanted)) | (F.col("score") < least_score))
     said = F.when(F.col("score") > 0, F.col("lang_pred"))
+    sure = F.when(F.col("score") >= least_score, said) if correct else F.lit(None).cast("string")
     return judged.where(keeps).select(*[
-        (F.coalesce(F.col(f"k{i}"), said) if c == lang_col else F.col(f"k{i}")).alias(c) for i, c in enumerate(columns)])
+        (F.coalesce(sure, F.col(f"k{i}"), said) if c == lang_col else F.col(f"k{i}")).alias(c)
+        for i, c in enumerate(columns)])

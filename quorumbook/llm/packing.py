@@ -18,7 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,15 +39,16 @@ def binary_lengths(tokens: int, longest: int) -> list[int]:
 
 def binary_pieces(
     docs: DataFrame, tokenizer: str, longest: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str = "text", kept: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit integers)."""
+    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit integers), ``kept``."""
     import pyarrow as pa
 
     if longest & (longest - 1):
         raise ValueError("the greatest length must be a power of two")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept)
     end = end_id.to_bytes(4, "little")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +67,12 @@ def binary_pieces(
                     at += n
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "start", "length", "doc_tokens", "ids"],
+                 pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary()),
+                 *[c.take(pa.array(row, pa.int64())) for c in batch.columns[2:]]],
+                names=["doc_id", "start", "length", "doc_tokens", "ids", *kept],
             )
 
-    return docs.mapInArrow(split, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary")
+    return docs.mapInArrow(split, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary{more}")
 
 
 def numbered_sequences(pieces: DataFrame, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +35,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The pieces of all documents with their place and the checksum of their ids."""
-    pieces = binary_pieces(docs, tokenizer).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"
+def packed(docs: DataFrame, tokenizer: str, kept: Sequence[str] = ()) -> DataFrame:
+    """The pieces of all documents with their place, the checksum of their ids and the ``kept`` columns, which come last."""
+    pieces = binary_pieces(docs, tokenizer, kept=kept).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", *kept
     )
-    return numbered_sequences(written(pieces, "pieces"))
+    placed = numbered_sequences(written(pieces, "pieces"))
+    return placed.select(*[c for c in placed.columns if c not in kept], *kept)
 
 
 def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:

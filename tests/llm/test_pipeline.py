@@ -87,3 +87,15 @@ def test_documents_without_labels_are_kept(spark, raw, tmp_path):
         f"{tmp_path}/documents.parquet")
     found = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {1, 5, None} <= found and not found & {3, 4, 6}
+
+
+def test_pieces_carry_the_language_of_the_text(documents, tmp_path):
+    said = {"de": "der die das und ein Haus steht hier", "en": "the house that stands here is one of them"}
+    rows = [(i, f"{said['de' if i % 2 else 'en']} {'xyz'[i % 3] * (i % 7 + 1)}", "de" if i % 2 else "en", "a") for i in range(300)]
+    wrong, missing = (1, 2), (3, 4)
+    rows = [(i, t, None if i in missing else {"de": "en", "en": "de"}[lang] if i in wrong else lang, s)
+            for i, t, lang, s in rows]
+    docs = documents(rows)
+    kept = STAGES["language"](docs.sparkSession, docs, str(tmp_path))
+    pieces = STAGES["packing"](docs.sparkSession, kept, str(tmp_path)).collect()
+    assert {(p.doc_id, p.lang) for p in pieces} == {(i, "de" if i % 2 else "en") for i in range(300)}
