@@ -49,10 +49,13 @@ CODE_WIDTH = 6
 # Micro-batches of the registered streams at least, and after how many the totals are written in full.
 SLICES, COMPACT_EVERY = 5, 3
 ROWS_PER_SLICE, ROWS_PER_FILE, FILES_PER_SLICE = 20_000_000, 250_000, 4
+# Slices for each of which a log is read once more.
+SLICES_PER_PART = 16
 # Seconds for which the registered streams with late commands keep what they may correct: ten years.
 LATENESS = 315_360_000
-# Proposals or devices, by consecutive ids, that share an entry of state in the registered streams.
-NEIGHBOURS = 64
+# Proposals or devices, by consecutive ids, that share an entry of state in the registered streams, and proposals or
+# players that do where their rows come packed.
+NEIGHBOURS, PACKED_NEIGHBOURS = 64, 2048
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -569,21 +572,30 @@ def _feed(fx: Fixtures, name: str) -> DataFrame:
 def _delivered(fx: Fixtures, log: DataFrame, column: str, label: str, last: Column | None = None) -> DataFrame:
     """A log as a stream that delivers it in slices of time, one micro-batch each, and the rows of ``last`` at the end.
 
-    The log is cut once; a slice is then delivered by reading nothing but itself, from as many files as its rows ask for.
+    Each slice is written once, into as many files as its rows ask for.  The log is read for every slice as long as these
+    are few, which costs less than writing it twice; otherwise it is cut into parts of so many slices first.
     """
     at = F.unix_micros(column)
     rows = log.count()
     slices = max(SLICES, rows // ROWS_PER_SLICE)
     files = max(FILES_PER_SLICE, rows // slices // ROWS_PER_FILE)
     bounds = order_bounds(log.select(at.alias("at")), "at", slices)
-    staged, path = fresh_path(fx.spark, f"{label}-staged"), fresh_path(fx.spark, label)
-    piece = piece_of(at, bounds) if last is None else F.when(last, len(bounds) + 1).otherwise(piece_of(at, bounds))
-    log.withColumn("slice", piece).repartition(slices * files, "slice", F.pmod(F.xxhash64("id"), F.lit(files))).write.partitionBy(
-        "slice").parquet(staged)
+    path, staged = fresh_path(fx.spark, label), None
+    in_time = F.lit(True) if last is None else ~F.coalesce(last, F.lit(False))
+    # What has no time comes with the first slice.
+    taken = [in_time & F.coalesce(low & high, F.lit(number == 0)) for number, (low, high) in enumerate(zip(
+        [F.lit(True), *[at > b for b in bounds]], [*[at <= b for b in bounds], F.lit(True)]))]
+    taken += [] if last is None else [~in_time]
+    if len(taken) > SLICES_PER_PART:
+        staged = fresh_path(fx.spark, f"{label}-staged")
+        starts = bounds[SLICES_PER_PART - 1::SLICES_PER_PART]
+        part = F.when(in_time, piece_of(at, starts)).otherwise((len(taken) - 1) // SLICES_PER_PART)
+        log.withColumn("part", part).write.partitionBy("part").parquet(staged)
     # Files are taken in the order in which they were written.
-    for number in range(len(bounds) + 1 + (last is not None)):
-        part = fx.spark.read.schema(log.schema).parquet(f"{staged}/slice={number}")
-        part.repartition(files).write.mode("append").parquet(path)
+    for number, rows_taken in enumerate(taken):
+        part = log if staged is None else fx.spark.read.schema(log.schema).parquet(
+            f"{staged}/part={number // SLICES_PER_PART}")
+        part.where(rows_taken).repartition(files).write.mode("append").parquet(path)
     return follow_table(fx.spark, path, log.schema, files_per_trigger=files)
 
 
@@ -642,7 +654,8 @@ def stream_ranks(fx):
     """Ranks read from a histogram of totals that differences keep current."""
     stream = _delivered(fx, command_stream(fx.proposals, fx.votes, fx.withdrawals), "created_at", "commands")
     root = fresh_path(fx.spark, "totals-log")
-    totals = drain(follow_totals(event_log(follow_cases(stream, fx.players, neighbours=NEIGHBOURS))), "totals-log", root)
+    events = event_log(follow_cases(stream, fx.players, neighbours=PACKED_NEIGHBOURS))
+    totals = drain(follow_totals(events, neighbours=PACKED_NEIGHBOURS), "totals-log", root)
     histogram = drain(follow_histogram(follow_table(fx.spark, f"{root}/rows", totals.schema), fx.players), "histogram-log")
     return ranked_totals(totals, histogram, fx.players)
 

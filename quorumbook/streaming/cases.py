@@ -16,17 +16,18 @@ With a ``lateness`` the state stays for that long and a command that comes late
 corrects the outcome: the row given out is taken back (``change`` -1) and the new one
 follows.  Later than that, or without a time, a command is rejected with a reason.
 
-Reading and writing state costs a call to the JVM, whatever it holds.  Proposals with
-neighbouring ids (``neighbours``) can share one entry and one timer: ids handed out in
-the order of time are open together, and a group is a bounded number of cases.
+What passes between Spark and Python costs time per row, and reading and writing state a
+call to the JVM, whatever it holds.  Proposals with neighbouring ids (``neighbours``) can
+share one entry and one timer: ids handed out in the order of time are open together, and
+a group is a bounded number of cases.  Their commands come packed (``streaming.packed``),
+the cases of a group are an array, and the rules are applied to all of them at once.
 """
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -34,6 +35,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from quorumbook.functions.rules import MAX_REQUIRED_VOTES
 from quorumbook.plans.groups import first_of_group, require_power_of_two
 from quorumbook.operators.players import with_active_flag
+from quorumbook.streaming.packed import Layout, packed, starts_of, unpacked
 from quorumbook.streaming.throttle import require_state_store
 
 CASE_LOG = (
@@ -41,200 +43,288 @@ CASE_LOG = (
     "player_id bigint, delta int, event_at bigint, command_kind string, command_id bigint, actor_id bigint, "
     "created_at bigint, reason string"
 )
-_LOG_ROW = Row(*[part.split(" ")[0] for part in CASE_LOG.split(", ")])
-_CASE = (
-    "target_id bigint, proposed_by bigint, amount int, proposal_type string, required_votes int, created_at bigint, "
-    "deadline bigint, withdrawn_at bigint, votes array<bigint>, shown array<bigint>, shown_status string, timer bigint"
-)
-_GROUP = f"cases array<struct<proposal_id bigint, {_CASE}>>, waiting array<bigint>, timer bigint"
+_COMMAND = Layout(
+    "case_id bigint, id bigint, actor_id bigint, target_id bigint, amount int, is_penalty boolean, required_votes int, "
+    "at bigint, deadline bigint, active boolean")
+_LABELS = ("status", "command_kind", "reason")
+_LOG = Layout(", ".join(part for part in CASE_LOG.split(", ") if not part.startswith(_LABELS)))
+_PACKED_LOG = "status string, command_kind string, reason string, rows binary"
+_LOG_ROW = Row("status", "command_kind", "reason", "rows")
+_STATUS = [None, "withdrawn", "approved", "failed"]
+_WITHDRAWN, _APPROVED, _FAILED = 1, 2, 3
 _NOTHING = -(2**62)
-
-
-@dataclass
-class _Case:
-    """One open proposal as its state stores it; times are microseconds."""
-
-    target_id: int | None
-    proposed_by: int | None
-    amount: int | None
-    proposal_type: str | None
-    required_votes: int
-    created_at: int
-    deadline: int | None
-    withdrawn_at: int | None = None
-    #: Time and voter of the earliest votes, one pair after the other.
-    votes: list[int] = field(default_factory=list)
-    shown: list[int] = field(default_factory=list)
-    shown_status: str | None = None
-    timer: int = _NOTHING
-
-    def first_votes(self) -> list[tuple[int, int]]:
-        return list(zip(self.votes[::2], self.votes[1::2]))
-
-    def take(self, kind: str, actor: int | None, at: int) -> None:
-        """A command of an active player; what the rules refuse leaves no trace."""
-        if at < self.created_at or self.deadline is not None and at > self.deadline:
-            return
+#: A case as its state stores it: its terms, the earliest votes in order (``count`` of them) and the outcome given out.
+_CASE = np.dtype([
+    ("id", "i8"), ("target_id", "i8"), ("proposed_by", "i8"), ("amount", "i4"), ("required_votes", "i4"),
+    ("created_at", "i8"), ("deadline", "i8"), ("is_penalty", "?"), ("no_target", "?"), ("no_proposer", "?"),
+    ("no_amount", "?"), ("no_deadline", "?"), ("shown_status", "u1"), ("count", "u1"), ("shown_count", "u1"),
+    ("withdrawn_at", "i8"), ("times", "i8", MAX_REQUIRED_VOTES), ("voters", "i8", MAX_REQUIRED_VOTES),
+    ("shown_by", "i8"), ("shown_at", "i8"), ("shown_withdrawn", "i8"), ("timer", "i8"),
+])
+#: Until when commands wait for a proposal.
+_WAITING = np.dtype([("id", "i8"), ("at", "i8")])
+_GROUP = "cases binary, waiting binary, timer bigint"
+#: Commands of a group that are taken at a time.
+_AT_ONCE = 100_000
+
+
+def _latest(waiting: np.ndarray) -> np.ndarray:
+    """One row per proposal, with the latest time."""
+    ordered = waiting[np.lexsort((waiting["at"], waiting["id"]))]
+    return ordered[np.append(starts_of(ordered, ["id"])[1:], len(ordered)) - 1] if len(ordered) else ordered
+
+
+class _Group:
+    """The cases of one key in the order of their ids, and what waits for a proposal."""
+
+    def __init__(self, key: int | None, stored: tuple | None, lateness: int, now: int):
+        cases, waiting, self.timer = stored or (b"", b"", _NOTHING)
+        self.key, self._lateness, self.now = key, lateness, now
+        self.cases = np.frombuffer(bytes(cases), _CASE).copy()
+        self.waiting = np.frombuffer(bytes(waiting), _WAITING)
+        #: Ids of proposals that came, and commands that found none, by kind.
+        self.came: list[np.ndarray] = []
+        self.early: list[tuple[str, np.ndarray]] = []
+
+    def _found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ids among the cases, and which are there."""
+        have = np.ascontiguousarray(self.cases["id"])
+        if not len(have):
+            return np.zeros(len(ids), int), np.zeros(len(ids), bool)
+        place = np.minimum(np.searchsorted(have, ids), len(have) - 1)
+        return place, have[place] == ids
+
+    def take(self, portion: dict[str, list[bytes]]) -> Iterator[Row]:
+        """Commands that have just come; proposals go first, so that fewer commands have to wait for theirs."""
+        for kind in sorted(portion, key=lambda k: k != "propose"):
+            rows = _COMMAND.read(*portion[kind])
+            timeless = _COMMAND.is_null(rows, "at")
+            late = ~timeless & (rows["at"] <= self.now - self._lateness) if self.now > 0 else np.zeros(len(rows), bool)
+            for reason, refused in (("no_time", timeless), ("late", late)):
+                yield from self.rejected(kind, rows[refused], reason)
+            rows = rows[~(timeless | late)]
+            if kind == "propose":
+                self._open(rows)
+            else:
+                rest = self.give(kind, rows)
+                if len(rest):
+                    self.early.append((kind, rest))
+
+    def _open(self, rows: np.ndarray) -> None:
+        """Of several proposals with one id the first counts."""
+        self.came.append(np.unique(rows["case_id"]))
+        rows = rows[np.unique(rows["case_id"], return_index=True)[1]]
+        rows = rows[~self._found(rows["case_id"])[1]]
+        new = np.zeros(len(rows), _CASE)
+        new["id"], new["proposed_by"], new["created_at"] = rows["case_id"], rows["actor_id"], rows["at"]
+        for name in ("target_id", "amount", "required_votes", "deadline", "is_penalty"):
+            new[name] = rows[name]
+        for name, column in (("no_target", "target_id"), ("no_proposer", "actor_id"), ("no_amount", "amount"),
+                             ("no_deadline", "deadline")):
+            new[name] = _COMMAND.is_null(rows, column)
+        for name in ("withdrawn_at", "shown_by", "shown_at", "shown_withdrawn", "timer"):
+            new[name] = _NOTHING
+        both = np.concatenate([self.cases, new])
+        self.cases = both[np.argsort(both["id"], kind="stable")]
+
+    def give(self, kind: str, rows: np.ndarray) -> np.ndarray:
+        """Commands to their cases; what the rules refuse leaves no trace.  Returns those without a case."""
+        place, known = self._found(rows["case_id"])
+        rest, rows, place = rows[~known], rows[known], place[known]
+        case = self.cases[place]
+        valid = rows["active"] & (rows["at"] >= case["created_at"]) & (case["no_deadline"] | (rows["at"] <= case["deadline"]))
+        by_proposer = ~case["no_proposer"] & (rows["actor_id"] == case["proposed_by"])
         if kind == "withdraw":
-            if actor == self.proposed_by:
-                self.withdrawn_at = at if self.withdrawn_at is None else min(at, self.withdrawn_at)
-        elif actor not in (self.proposed_by, self.target_id) and self.required_votes <= MAX_REQUIRED_VOTES:
-            votes = self.first_votes()
-            before = next((v for v in votes if v[1] == actor), None)
-            if before is None or at < before[0]:
-                votes = [v for v in votes if v is not before]
-                insort(votes, (at, actor))
-                self.votes = [x for v in votes[:self.required_votes] for x in v]
-
-    def decision(self) -> tuple[str, int, list[int | None]]:
-        """The outcome if time went on without commands: status, the instant from which it holds, its figures."""
-        votes = self.first_votes()
-        if self.withdrawn_at is not None and (not votes or self.withdrawn_at <= votes[0][0]):
-            return "withdrawn", self.withdrawn_at, [0, None, None, self.withdrawn_at]
-        if 0 < self.required_votes == len(votes):
-            at, voter = votes[-1]
-            return "approved", at, [len(votes), voter, at, None]
+            valid &= by_proposer
+            first = self.cases["withdrawn_at"].copy()
+            first[first == _NOTHING] = np.iinfo("i8").max
+            np.minimum.at(first, place[valid], rows["at"][valid])
+            first[first == np.iinfo("i8").max] = _NOTHING
+            self.cases["withdrawn_at"] = first
+        else:
+            valid &= ~by_proposer & (case["no_target"] | (rows["actor_id"] != case["target_id"]))
+            valid &= (case["required_votes"] >= 1) & (case["required_votes"] <= MAX_REQUIRED_VOTES)
+            if valid.any():
+                self._vote(place[valid], rows["at"][valid], rows["actor_id"][valid])
+        return rest
+
+    def _vote(self, place: np.ndarray, at: np.ndarray, voter: np.ndarray) -> None:
+        """Of each voter the first vote, and of the voters as many of the earliest as a case asks for."""
+        touched = np.unique(place)
+        held = self.cases[touched]
+        filled = np.arange(MAX_REQUIRED_VOTES) < held["count"][:, None]
+        place = np.concatenate([np.repeat(touched, held["count"]), place])
+        at, voter = np.concatenate([held["times"][filled], at]), np.concatenate([held["voters"][filled], voter])
+        order = np.lexsort((at, voter, place))
+        place, at, voter = place[order], at[order], voter[order]
+        first = np.ones(len(place), bool)
+        first[1:] = (place[1:] != place[:-1]) | (voter[1:] != voter[:-1])
+        place, at, voter = place[first], at[first], voter[first]
+        order = np.lexsort((voter, at, place))
+        place, at, voter = place[order], at[order], voter[order]
+        begin = np.searchsorted(place, touched)
+        rank = np.arange(len(place)) - np.repeat(begin, np.diff(np.append(begin, len(place))))
+        kept = rank < self.cases["required_votes"][place]
+        place, rank = place[kept], rank[kept]
+        self.cases["times"][place, rank], self.cases["voters"][place, rank] = at[kept], voter[kept]
+        self.cases["count"][touched] = np.bincount(np.searchsorted(touched, place), minlength=len(touched))
+
+    def wait(self, kept: list[tuple[str, np.ndarray]]) -> list[tuple[str, bytes]]:
+        """Note until when commands wait; returns them as the list of them stores them."""
+        for _, rows in kept:
+            more = np.zeros(len(rows), _WAITING)
+            more["id"], more["at"] = rows["case_id"], rows["at"]
+            self.waiting = _latest(np.concatenate([self.waiting, more]))
+        return [(kind, rows.tobytes()) for kind, rows in kept if len(rows)]
+
+    def settle(self) -> Iterator[Row]:
+        """Outcomes that hold by now and were not given out, those given out that hold no more; decided cases go."""
+        cases, now = self.cases, self.now
+        if not len(cases):
+            return
+        needed, count = cases["required_votes"], cases["count"].astype("i4")
+        withdrawn = (cases["withdrawn_at"] != _NOTHING) & ((count == 0) | (cases["withdrawn_at"] <= cases["times"][:, 0]))
+        approved = ~withdrawn & (needed > 0) & (count == needed)
+        last = np.maximum(count - 1, 0)
+        row = np.arange(len(cases))
+        approved_at = np.where(approved, cases["times"][row, last], _NOTHING)
+        approved_by = np.where(approved, cases["voters"][row, last], _NOTHING)
+        withdrawn_at = np.where(withdrawn, cases["withdrawn_at"], _NOTHING)
         # The deadline is inclusive; the watermark counts milliseconds.
-        last = _NOTHING if self.deadline is None else (self.deadline // 1000 + 1) * 1000
-        return "failed", last, [len(votes), None, None, None]
+        over = np.where(cases["no_deadline"], _NOTHING, (cases["deadline"] // 1000 + 1) * 1000)
+        at = np.where(withdrawn, withdrawn_at, np.where(approved, approved_at, over))
+        decided = (at != _NOTHING) & (at <= now)
+        status = np.where(decided, np.where(withdrawn, _WITHDRAWN, np.where(approved, _APPROVED, _FAILED)), 0)
+        figures = [np.where(decided, x, e) for x, e in (
+            (np.where(withdrawn, 0, count), 0), (approved_by, _NOTHING), (approved_at, _NOTHING), (withdrawn_at, _NOTHING))]
+        shown = ["shown_count", "shown_by", "shown_at", "shown_withdrawn"]
+        changed = status != cases["shown_status"]
+        for name, new in zip(shown, figures):
+            changed |= cases[name] != new
+        back = changed & (cases["shown_status"] != 0)
+        yield from self._outcomes(cases[back], -1, cases["shown_status"][back], [cases[name][back] for name in shown])
+        given = changed & decided
+        yield from self._outcomes(cases[given], 1, status[given], [x[given] for x in figures])
+        cases["shown_status"] = status
+        for name, new in zip(shown, figures):
+            cases[name] = new
+        end = np.where(cases["no_deadline"], _NOTHING, (cases["deadline"] + self._lateness) // 1000 + 1)
+        gone = decided & (np.bool_(not self._lateness) | (end != _NOTHING) & (end * 1000 <= now))
+        cases["timer"] = np.where(decided, end, np.where(at == _NOTHING, _NOTHING, -(-at // 1000)))
+        self.cases = cases[~gone]
+
+    def _outcomes(self, cases: np.ndarray, change: int, status: np.ndarray, figures: list[np.ndarray]) -> Iterator[Row]:
+        for code in np.unique(status):
+            of = status == code
+            some, (votes, by, at, undone) = cases[of], [x[of] for x in figures]
+            out = np.zeros(len(some), _LOG.dtype)
+            _LOG.put(out, "id", some["id"], self.key is None)
+            _LOG.put(out, "change", change)
+            _LOG.put(out, "vote_count", votes)
+            for name, values in (("approved_by", by), ("approved_at", at), ("withdrawn_at", undone)):
+                _LOG.put(out, name, values, values == _NOTHING)
+            penalty = some["is_penalty"]
+            if code == _APPROVED:
+                event = (some["target_id"], some["no_target"], np.where(penalty, some["amount"], -1),
+                         penalty & some["no_amount"], at, at == _NOTHING)
+            else:
+                none = ~penalty if code == _FAILED else np.ones(len(some), bool)
+                event = (some["proposed_by"], none | some["no_proposer"], some["amount"], none | some["no_amount"],
+                         some["deadline"], none | some["no_deadline"])
+            for name, values, null in zip(("player_id", "delta", "event_at"), event[::2], event[1::2]):
+                _LOG.put(out, name, values, null)
+            for name in ("command_id", "actor_id", "created_at"):
+                _LOG.put(out, name, 0, True)
+            yield _LOG_ROW(_STATUS[code], None, None, out.tobytes())
+
+    def rejected(self, kind: str, rows: np.ndarray, reason: str) -> Iterator[Row]:
+        if not len(rows):
+            return
+        out = np.zeros(len(rows), _LOG.dtype)
+        for name, _ in _LOG.columns:
+            _LOG.put(out, name, 0, True)
+        _LOG.put(out, "id", rows["case_id"], self.key is None)
+        _LOG.put(out, "change", 0)
+        for name, column in (("command_id", "id"), ("actor_id", "actor_id"), ("created_at", "at")):
+            _LOG.put(out, name, rows[column], _COMMAND.is_null(rows, column))
+        yield _LOG_ROW(None, kind, reason, out.tobytes())
 
-    def event(self, status: str, figures: list[int | None]) -> tuple[int | None, int | None, int | None]:
-        if status == "approved":
-            return self.target_id, self.amount if self.proposal_type == "penalty" else -1, figures[2]
-        if status == "failed" and self.proposal_type == "penalty":
-            return self.proposed_by, self.amount, self.deadline
-        return None, None, None
+    def next_timer(self) -> int:
+        moments = self.cases["timer"][self.cases["timer"] != _NOTHING].tolist()
+        moments += ((self.waiting["at"] + self._lateness) // 1000 + 1).tolist()
+        return min(moments, default=_NOTHING)
 
 
 class CaseProcessor(StatefulProcessor):
     """Follows the proposals of one group."""
 
-    def __init__(self, lateness_seconds: int = 0):
-        self._lateness = lateness_seconds * 1_000_000
+    def __init__(self, lateness_seconds: int = 0, at_once: int = _AT_ONCE):
+        self._lateness, self._at_once = lateness_seconds * 1_000_000, at_once
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("case", _GROUP)
-        self._early = handle.getListState(
-            "early", "proposal_id bigint, kind string, id bigint, actor_id bigint, at bigint, active boolean")
+        self._early = handle.getListState("early", "kind string, commands binary")
+
+    def _group(self, key, timerValues) -> _Group:
+        return _Group(key[0], self._state.get(), self._lateness, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        cases, waiting, timer = self._stored()
-        touched, early = {}, []
+        group = self._group(key, timerValues)
+        portion: dict[str, list[bytes]] = {}
+        size = 0
         for row in rows:
-            proposal = row.case_id
-            if row.at is None or now > 0 and row.at <= now - self._lateness:
-                yield self._rejected(proposal, row, "no_time" if row.at is None else "late")
-                continue
-            case = cases.get(proposal)
-            if row.kind == "propose":
-                if case is None:
-                    cases[proposal] = case = _Case(
-                        row.target_id, row.actor_id, row.amount, row.proposal_type,
-                        row.required_votes or MAX_REQUIRED_VOTES + 1, row.at, row.deadline)
-                touched[proposal] = case
-            elif case is not None:
-                if row.active:
-                    case.take(row.kind, row.actor_id, row.at)
-                touched[proposal] = case
-            else:
-                early.append((proposal, row.kind, row.id, row.actor_id, row.at, row.active))
-                if len(early) == 10_000:
-                    early = self._wait(early, cases, waiting)
+            portion.setdefault(row.kind, []).append(row.rows)
+            size += len(row.rows) // _COMMAND.dtype.itemsize
+            if size >= self._at_once:
+                yield from group.take(portion)
+                portion, size = {}, 0
+                if sum(len(r) for _, r in group.early) >= self._at_once:
+                    self._wait(group)
+        yield from group.take(portion)
         # What came before its proposal, in an earlier batch or in this one.
-        if any(proposal in waiting for proposal in touched):
-            kept, waiting = [], {}
-            for command in self._early.get():
-                self._take_early(command, cases, kept)
-            for command in kept:
-                waiting[command[0]] = max(waiting.get(command[0], _NOTHING), command[4])
-            self._early.put(kept) if kept else self._early.clear()
-        self._wait(early, cases, waiting)
-        for proposal, case in touched.items():
-            yield from self._settle(proposal, case, cases, now)
-        self._store(cases, waiting, timer)
-
-    def _stored(self) -> tuple[dict, dict, int]:
-        """The group's cases, until when commands wait for which proposals, and its timer."""
-        stored = self._state.get()
-        if not stored:
-            return {}, {}, _NOTHING
-        listed, waiting, timer = stored
-        named = [None if x == _NOTHING else x for x in waiting[::2]]
-        return {c[0]: _Case(*c[1:]) for c in listed}, dict(zip(named, waiting[1::2])), timer
-
-    def _store(self, cases: dict, waiting: dict, timer: int) -> None:
-        moments = [case.timer for case in cases.values() if case.timer != _NOTHING]
-        moments += [(at + self._lateness) // 1000 + 1 for at in waiting.values()]
-        least = min(moments, default=_NOTHING)
-        if least not in (timer, _NOTHING):
-            self._handle.registerTimer(least)
-        if not cases and not waiting:
-            self._state.clear()
-            return
-        listed = [(proposal, *astuple(case)) for proposal, case in cases.items()]
-        flat = [x for proposal, at in waiting.items() for x in (_NOTHING if proposal is None else proposal, at)]
-        self._state.update((listed, flat, least))
-
-    def _take_early(self, command: tuple, cases: dict, kept: list) -> None:
-        proposal, kind, _, actor, at, active = command
-        case = cases.get(proposal)
-        if case is None:
-            kept.append(tuple(command))
-        elif active:
-            case.take(kind, actor, at)
-
-    def _wait(self, early: list, cases: dict, waiting: dict) -> list:
+        if group.came and len(group.waiting) and np.isin(group.waiting["id"], np.concatenate(group.came)).any():
+            kept = [(kind, group.give(kind, _COMMAND.read(commands))) for kind, commands in self._early.get()]
+            self._wait_only_for(group, kept)
+        self._wait(group)
+        yield from group.settle()
+        self._store(group)
+
+    def _wait(self, group: _Group) -> None:
         """Give commands to their proposals, where those have come by now, and store the others."""
-        kept: list = []
-        for command in early:
-            self._take_early(command, cases, kept)
+        kept = group.wait([(kind, group.give(kind, rows)) for kind, rows in group.early])
+        group.early = []
         if kept:
             self._early.appendList(kept)
-            for command in kept:
-                waiting[command[0]] = max(waiting.get(command[0], _NOTHING), command[4])
-        return []
-
-    def _settle(self, proposal: int, case: _Case, cases: dict, now: int) -> Iterator[Row]:
-        status, at, figures = case.decision()
-        decided = at != _NOTHING and at <= now
-        coded = [_NOTHING if x is None else x for x in figures] if decided else []
-        if (case.shown_status, case.shown) != (status if decided else None, coded):
-            if case.shown_status:
-                old = [None if x == _NOTHING else x for x in case.shown]
-                yield self._row(proposal, case, -1, case.shown_status, old)
-            if decided:
-                yield self._row(proposal, case, 1, status, figures)
-            case.shown_status, case.shown = (status if decided else None), coded
-        end = _NOTHING if case.deadline is None else (case.deadline + self._lateness) // 1000 + 1
-        if decided and (not self._lateness or end != _NOTHING and end * 1000 <= now):
-            del cases[proposal]
-            return
-        case.timer = end if decided else _NOTHING if at == _NOTHING else -(-at // 1000)
 
-    def _row(self, proposal: int, case: _Case, change: int, status: str, figures: list) -> Row:
-        return _LOG_ROW(proposal, change, status, *figures, *case.event(status, figures), *[None] * 5)
+    def _wait_only_for(self, group: _Group, kept: list[tuple[str, np.ndarray]]) -> None:
+        group.waiting = group.waiting[:0]
+        stored = group.wait(kept)
+        self._early.put(stored) if stored else self._early.clear()
 
-    def _rejected(self, proposal: int | None, row, reason: str) -> Row:
-        return _LOG_ROW(proposal, 0, *[None] * 8, row.kind, row.id, row.actor_id, row.at, reason)
+    def _store(self, group: _Group) -> None:
+        least = group.next_timer()
+        if least not in (group.timer, _NOTHING):
+            self._handle.registerTimer(least)
+        if not len(group.cases) and not len(group.waiting):
+            self._state.clear()
+            return
+        self._state.update((group.cases.tobytes(), group.waiting.tobytes(), least))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        cases, waiting, timer = self._stored()
-        for proposal, case in [(p, c) for p, c in cases.items() if c.timer != _NOTHING and c.timer * 1000 <= now]:
-            yield from self._settle(proposal, case, cases, now)
-        if any(at <= now - self._lateness for at in waiting.values()):
-            kept, waiting = [], {}
-            for proposal, kind, number, actor, at, active in self._early.get():
-                if at <= now - self._lateness:
-                    yield self._rejected(proposal, Row(kind=kind, id=number, actor_id=actor, at=at), "no_open_proposal")
-                else:
-                    kept.append((proposal, kind, number, actor, at, active))
-                    waiting[proposal] = max(waiting.get(proposal, _NOTHING), at)
-            self._early.put(kept) if kept else self._early.clear()
+        group = self._group(key, timerValues)
+        yield from group.settle()
+        passed = group.now - self._lateness
+        if (group.waiting["at"] <= passed).any():
+            kept = []
+            for kind, commands in self._early.get():
+                rows = _COMMAND.read(commands)
+                yield from group.rejected(kind, rows[rows["at"] <= passed], "no_open_proposal")
+                kept.append((kind, rows[rows["at"] > passed]))
+            self._wait_only_for(group, kept)
         # A timer that has passed is no more; one that is still to come stays.
-        self._store(cases, waiting, timer if timer * 1000 > now else _NOTHING)
+        group.timer = group.timer if group.timer * 1000 > group.now else _NOTHING
+        self._store(group)
 
     def close(self) -> None:
         pass
@@ -253,12 +343,13 @@ def follow_cases(
     # Without the column of the watermark Spark drops no row before the processor sees it.
     rows = with_active_flag(rows, players, "actor_id", "active").selectExpr(
         first_of_group("proposal_id", neighbours), "proposal_id as case_id", "kind", "id", "actor_id", "target_id",
-        "cast(amount as int) as amount", "proposal_type",
+        "cast(amount as int) as amount", "coalesce(proposal_type = 'penalty', false) as is_penalty",
         "cast(required_votes as int) as required_votes", "unix_micros(created_at) as at",
         "unix_micros(deadline) as deadline", "active")
-    return rows.groupBy("proposal_id").transformWithState(
-        statefulProcessor=CaseProcessor(lateness_seconds), outputStructType=CASE_LOG, outputMode="Append",
+    log = packed(rows, _COMMAND, "proposal_id", "kind").groupBy("proposal_id").transformWithState(
+        statefulProcessor=CaseProcessor(lateness_seconds), outputStructType=_PACKED_LOG, outputMode="Append",
         timeMode="EventTime")
+    return unpacked(log, _LOG, CASE_LOG)
 
 
 def outcomes(log: DataFrame) -> DataFrame:

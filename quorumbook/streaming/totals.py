@@ -8,6 +8,11 @@ segments' numbers, one after the other, without a look at other events.
 
 A segment that has grown too long is cut in two.  Rows are taken in bounded portions, so
 the memory of a task is that of a portion, one segment and the list of segments.
+
+Reading and writing state costs a call to the JVM, whatever it holds, and most players have
+few events.  Players with neighbouring ids (``neighbours``) can share their segments: events
+lie in the order of player and time, a page may hold those of many players, and a player of
+many events has many pages.  Events and totals pass packed (``streaming.packed``).
 """
 
 from __future__ import annotations
@@ -17,13 +22,16 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quorumbook.operators.scores import leaderboard
+from quorumbook.plans.groups import first_of_group, require_power_of_two
 from quorumbook.plans.numbering import ranks_of_counts
+from quorumbook.streaming.packed import Layout, packed, starts_of, unpacked
 from quorumbook.streaming.throttle import require_state_store
 
 TOTAL_LOG = "player_id bigint, version bigint, total int, previous int"
@@ -34,6 +42,16 @@ _INDEX = ("version bigint, next bigint, total bigint, ids array<bigint>, times a
           "deltas array<bigint>, sums array<bigint>, lows array<bigint>")
 _SEGMENT = "times array<bigint>, cases array<bigint>, deltas array<bigint>, counts array<bigint>"
 
+_CHANGE = Layout("player bigint, event_at bigint, case_id bigint, delta bigint, change bigint")
+_TOTAL = Layout(TOTAL_LOG)
+_EVENT = np.dtype([(name, "i8") for name in ("player", "event_at", "case_id", "delta", "change")])
+_ORDER = ["player", "event_at", "case_id", "delta"]
+#: A page: its first event, its first and last player, and what sums up the events of these two.
+_PAGE = np.dtype([(name, "i8") for name in (
+    "id", *_ORDER, "size", "head", "head_sum", "head_low", "tail", "tail_sum", "tail_low")])
+_STRETCH = np.dtype([(name, "i8") for name in ("player", "sum", "low")])
+_PLAYER = np.dtype([(name, "i8") for name in ("player", "version", "total")])
+
 Event = tuple[int, int, int]
 
 
@@ -138,6 +156,149 @@ class TotalProcessor(StatefulProcessor):
         pass
 
 
+def _merged(events: np.ndarray) -> np.ndarray:
+    """Events in order, each once with its count; below zero it was taken back before it was given out and waits."""
+    events = events[np.lexsort([events[name] for name in reversed(_ORDER)])]
+    if not len(events):
+        return events
+    starts = starts_of(events, _ORDER)
+    once = events[starts]
+    once["change"] = np.add.reduceat(events["change"], starts)
+    return once[once["change"] != 0]
+
+
+def _stretches(events: np.ndarray) -> np.ndarray:
+    """Sum and lowest prefix sum of each player's events, which are in order."""
+    starts = starts_of(events, ["player"])
+    out = np.zeros(len(starts), _STRETCH)
+    if len(starts):
+        counted = events["delta"] * np.maximum(events["change"], 0)
+        run = np.cumsum(counted)
+        before = run[starts] - counted[starts]
+        out["player"], out["sum"] = events["player"][starts], np.add.reduceat(counted, starts)
+        out["low"] = np.minimum(np.minimum.reduceat(run, starts) - before, 0)
+    return out
+
+
+class PlayersProcessor(StatefulProcessor):
+    """Keeps the totals of the players of one group."""
+
+    def __init__(self, page_events: int = SEGMENT_EVENTS, portion_rows: int = PORTION_ROWS):
+        self._size, self._portion = page_events, portion_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("players", "players binary, pages binary")
+        self._events = handle.getMapState("pages", "id bigint", "events binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        players, pages = (bytes(x) for x in self._state.get() or (b"", b""))
+        self._players, self._pages = np.frombuffer(players, _PLAYER).copy(), np.frombuffer(pages, _PAGE).copy()
+        #: The stretches of the pages that this batch wrote.
+        self._written: dict[int, np.ndarray] = {}
+        came, portion, size = [], [], 0
+        for row in rows:
+            portion.append(row.rows)
+            size += len(row.rows) // _CHANGE.dtype.itemsize
+            if size >= self._portion:
+                came.append(self._apply(portion))
+                portion, size = [], 0
+        came.append(self._apply(portion))
+        changed = self._changed(np.unique(np.concatenate(came)))
+        if len(changed):
+            yield Row(rows=changed.tobytes())
+        self._state.update((self._players.tobytes(), self._pages.tobytes()))
+
+    def _apply(self, portion: list[bytes]) -> np.ndarray:
+        """Events to their pages; returns the players."""
+        rows = _CHANGE.read(*portion)
+        changes = np.empty(len(rows), _EVENT)
+        for name in _EVENT.names:
+            changes[name] = rows[name]
+        players = np.unique(changes["player"])
+        changes = _merged(changes)
+        if len(changes) and not len(self._pages):
+            self._pages = np.zeros(1, _PAGE)
+            for name in _ORDER:  # the first page reaches back without end
+                self._pages[name] = np.iinfo("i8").min
+        # Pages and events sorted together, of equal ones the page first: an event is in the last page before it.
+        order = np.lexsort([
+            np.repeat([0, 1], [len(self._pages), len(changes)]),
+            *[np.concatenate([self._pages[name], changes[name]]) for name in reversed(_ORDER)]])
+        is_page = order < len(self._pages)
+        place = (np.cumsum(is_page) - 1)[~is_page]
+        bounds = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+        for low, high in reversed(list(zip(bounds, bounds[1:]))):  # cuts move what comes after them only
+            self._change(int(place[low]), changes[low:high])
+        return players
+
+    def _change(self, place: int, changes: np.ndarray) -> None:
+        held = self._events.getValue((int(self._pages["id"][place]),)) if self._pages["size"][place] else None
+        events = _merged(np.concatenate([np.frombuffer(bytes(held[0]), _EVENT), changes]) if held else changes)
+        step = self._size if len(events) > 2 * self._size else max(len(events), 1)
+        parts = [events[i:i + step] for i in range(0, len(events), step)] or [events]
+        pages = np.zeros(len(parts), _PAGE)
+        pages["id"] = self._pages["id"].max() + np.arange(len(parts))
+        pages[0] = self._pages[place]
+        for number, part in enumerate(parts):
+            self._write(pages[number], part, number > 0)
+        self._pages = np.concatenate([self._pages[:place], pages, self._pages[place + 1:]])
+
+    def _write(self, page: np.void, part: np.ndarray, is_new: bool) -> None:
+        if is_new:
+            for name in _ORDER:
+                page[name] = part[name][0]
+        page["size"] = len(part)
+        self._written[int(page["id"])] = stretches = _stretches(part)
+        if len(part):
+            for end, at in (("head", 0), ("tail", -1)):
+                page[end], page[f"{end}_sum"], page[f"{end}_low"] = stretches[at]
+        self._events.updateValue((int(page["id"]),), (part.tobytes(),))
+
+    def _known(self, page: np.void) -> np.ndarray:
+        """The stretches of a page's first and last player, or of all where this batch wrote it."""
+        if int(page["id"]) in self._written or not page["size"]:
+            return self._written.get(int(page["id"]), np.zeros(0, _STRETCH))
+        ends = np.zeros(1 if page["head"] == page["tail"] else 2, _STRETCH)
+        ends[-1] = tuple(page[name] for name in ("tail", "tail_sum", "tail_low"))
+        ends[0] = tuple(page[name] for name in ("head", "head_sum", "head_low"))
+        return ends
+
+    def _changed(self, came: np.ndarray) -> np.ndarray:
+        """The totals of players that came for the first time, or whose total is another one."""
+        stretches = np.concatenate([np.zeros(0, _STRETCH), *map(self._known, self._pages)])
+        stretches = stretches[np.isin(stretches["player"], came)]
+        starts = starts_of(stretches, ["player"])
+        totals = np.zeros(len(came), "i8")
+        place = np.searchsorted(came, stretches["player"][starts])
+        totals[place] = stretches["sum"][starts] + np.maximum(0, -stretches["low"][starts])
+        more = np.diff(np.append(starts, len(stretches)))
+        for at, start, n in zip(place[more > 1].tolist(), starts[more > 1].tolist(), more[more > 1].tolist()):
+            total = int(totals[at])
+            for _, change, low in stretches[start + 1:start + n].tolist():
+                total = change + max(total, -low)
+            totals[at] = total
+        known = np.isin(came, self._players["player"])
+        new = np.zeros(int((~known).sum()), _PLAYER)
+        new["player"] = came[~known]
+        self._players = np.concatenate([self._players, new])
+        self._players = self._players[np.argsort(self._players["player"], kind="stable")]
+        place = np.searchsorted(self._players["player"], came)
+        previous = self._players["total"][place]
+        changed = ~known | (previous != totals)
+        place = place[changed]
+        self._players["version"][place] += 1
+        self._players["total"][place] = totals[changed]
+        out = np.zeros(len(place), _TOTAL.dtype)
+        _TOTAL.put(out, "player_id", came[changed])
+        _TOTAL.put(out, "version", self._players["version"][place])
+        _TOTAL.put(out, "total", totals[changed])
+        _TOTAL.put(out, "previous", previous[changed], ~known[changed])
+        return out
+
+    def close(self) -> None:
+        pass
+
+
 class HistogramProcessor(StatefulProcessor):
     """Counts the players of one total."""
 
@@ -190,14 +351,27 @@ def ranked_totals(totals_log: DataFrame, histogram_log: DataFrame, players: Data
 
 
 def follow_totals(
-    events: DataFrame, segment_events: int = SEGMENT_EVENTS, portion_rows: int = PORTION_ROWS
+    events: DataFrame, segment_events: int = SEGMENT_EVENTS, portion_rows: int = PORTION_ROWS, neighbours: int = 1
 ) -> DataFrame:
-    """The totals of players whenever they change (``TOTAL_LOG``), from events given out and taken back in any order."""
+    """The totals of players whenever they change (``TOTAL_LOG``), from events given out and taken back in any order.
+
+    ``neighbours``, a power of two, is how many ids share an entry of state; it changes the cost and never the result.
+    """
+    require_power_of_two(neighbours)
     require_state_store(events.sparkSession)
-    rows = events.where("player_id is not null").select("player_id", "change", "delta", "event_at", "proposal_id")
-    return rows.groupBy("player_id").transformWithState(
-        statefulProcessor=TotalProcessor(segment_events, portion_rows), outputStructType=TOTAL_LOG, outputMode="Append",
-        timeMode="None")
+    rows = events.where("player_id is not null")
+    if neighbours == 1:
+        rows = rows.select("player_id", "change", "delta", "event_at", "proposal_id")
+        return rows.groupBy("player_id").transformWithState(
+            statefulProcessor=TotalProcessor(segment_events, portion_rows), outputStructType=TOTAL_LOG,
+            outputMode="Append", timeMode="None")
+    rows = rows.selectExpr(
+        first_of_group("player_id", neighbours), "player_id as player", "event_at", "proposal_id as case_id",
+        "cast(delta as bigint) as delta", "cast(change as bigint) as change")
+    log = packed(rows, _CHANGE, "player_id").groupBy("player_id").transformWithState(
+        statefulProcessor=PlayersProcessor(segment_events, portion_rows), outputStructType="rows binary",
+        outputMode="Append", timeMode="None")
+    return unpacked(log, _TOTAL, TOTAL_LOG)
 
 
 def latest_totals(log: DataFrame) -> DataFrame:

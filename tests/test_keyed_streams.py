@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from quorumbook.streaming.cases import case_rejects, event_log, follow_cases, ou
 from quorumbook.streaming.changes import follow_changes
 from quorumbook.streaming.ledger import command_stream
 from quorumbook.streaming.sinks import drain
+from quorumbook.streaming import totals as keyed_totals
 from quorumbook.streaming.totals import (
-    TotalProcessor, follow_histogram, follow_totals, latest_totals, ranked_totals,
+    PlayersProcessor, TotalProcessor, follow_histogram, follow_totals, latest_totals, ranked_totals,
 )
 
 YEARS = 10**9
@@ -185,6 +187,51 @@ def test_totals_equal_a_plain_fold_in_any_order():
             assert total == want
 
 
+def test_totals_of_neighbours_equal_a_plain_fold_in_any_order():
+    for seed in range(100):
+        rng = random.Random(seed)
+        processor = PlayersProcessor(rng.choice([1, 2, 5]), rng.choice([1, 3, 100]))
+        processor.init(_Handle())
+        live, shown, versions, players = [], {}, {}, rng.choice([1, 2, 6])
+        for _ in range(6):
+            rows = []
+            for _ in range(rng.randrange(1, 25)):
+                if live and rng.random() < 0.35:
+                    rows.append((*live.pop(rng.randrange(len(live))), -1))
+                else:
+                    live.append((rng.randrange(players), rng.randrange(20), rng.randrange(50), rng.choice([-1, 1, 2, 3])))
+                    rows.append((*live[-1], 1))
+            rng.shuffle(rows)
+            packs = [Row(rows=np.array([(*r, 0) for r in rows[i:i + 4]], keyed_totals._CHANGE.dtype).tobytes())
+                     for i in range(0, len(rows), 4)]
+            for out in processor.handleInputRows((0,), iter(packs), None):
+                for player, version, total, previous, nulls in keyed_totals._TOTAL.read(out.rows).tolist():
+                    assert version == versions.get(player, 0) + 1
+                    assert bool(nulls) == (player not in shown) and (nulls or previous == shown[player] != total)
+                    versions[player], shown[player] = version, total
+            assert {r[0] for r in rows} <= set(shown)
+            for player, total in shown.items():
+                want = 0
+                for *_, delta in sorted(e for e in live if e[0] == player):
+                    want = max(want + delta, 0)
+                assert total == want
+
+
+@pytest.mark.parametrize("page_events, portion_rows", [(2, 3), (1024, 20_000)])
+def test_neighbouring_players_share_state(spark, ledger, page_events, portion_rows):
+    tables, commands, status = ledger
+    late = F.pmod(F.xxhash64("kind", "id"), F.lit(5)) == 0
+    stream = delivered(spark, [commands.where(~late), commands.where(late)])
+    events = event_log(follow_cases(stream, tables[3], lateness_seconds=YEARS, neighbours=8))
+    root = fresh_path(spark, "neighbours")
+    log = drain(follow_totals(events, page_events, portion_rows, neighbours=4), "chained", root)
+    have = {r.player_id: r.total for r in latest_totals(log).collect()}
+    want = {r.player_id: r.total for r in scores.player_totals(scores.score_events(status)).collect()}
+    assert {p: t for p, t in have.items() if t} == {p: t for p, t in want.items() if t}
+    left = spark.read.format("statestore").option("stateVarName", "players").option("operatorId", 0).load(f"{root}/checkpoint")
+    assert {r.key.player_id % 4 for r in left.collect()} == {0}
+
+
 def replayed(rows, end):
     """The view after a change log, change by change in the order of their numbers."""
     cases, votes = {}, {}

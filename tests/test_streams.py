@@ -242,6 +242,25 @@ def test_time_passes_without_commands(spark):
     assert folder.rejects().isEmpty()
 
 
+@pytest.mark.parametrize("per_part", [2, 16])
+def test_slices_are_written_once_and_hold_every_row(spark, monkeypatch, per_part):
+    monkeypatch.setattr(queries, "SLICES_PER_PART", per_part)
+    log = spark.range(500).selectExpr("id", "if(id % 50 = 0, null, timestamp_seconds(id * 7 % 500)) as at")
+    stream = queries._delivered(SimpleNamespace(spark=spark), log, "at", "delivered-whole", F.col("id") % 10 == 3)
+    seen = []
+
+    def note(rows, batch):
+        seen.append([(r.id, r.at) for r in rows.collect()])
+
+    root = fresh_path(spark, "delivered-notes")
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", root).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(i for rows in seen for i, _ in rows) == list(range(500)) and len(seen) == queries.SLICES + 1
+    assert all(i % 10 == 3 for i, _ in seen[-1]) and len(seen[-1]) == 50
+    assert {i for i, at in seen[0] if at is None} == set(range(0, 500, 50))
+    nothing = queries._delivered(SimpleNamespace(spark=spark), log.limit(0), "at", "delivered-nothing")
+    assert drain(nothing, "nothing").isEmpty()
+
+
 def test_slices_come_in_order_from_as_many_files_as_their_rows_ask_for(spark, monkeypatch):
     monkeypatch.setattr(queries, "ROWS_PER_FILE", 50)
     log = spark.range(3000).selectExpr("id", "timestamp_seconds(id * 7 % 3000) as at")
