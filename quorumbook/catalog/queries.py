@@ -645,8 +645,9 @@ def stream_scores_late(fx):
     commands = command_stream(fx.proposals, fx.votes, fx.withdrawals)
     late = F.pmod(F.xxhash64("kind", "id"), F.lit(10)) == 0
     stream = _delivered(fx, commands, "created_at", "commands", late)
-    events = event_log(follow_cases(stream, fx.players, lateness_seconds=LATENESS, neighbours=NEIGHBOURS))
-    return scores.leaderboard(fx.players, latest_totals(drain(follow_totals(events), "totals-log")))
+    events = event_log(follow_cases(stream, fx.players, lateness_seconds=LATENESS, neighbours=PACKED_NEIGHBOURS))
+    given = drain(follow_totals(events, neighbours=PACKED_NEIGHBOURS), "totals-log")
+    return scores.leaderboard(fx.players, latest_totals(given))
 
 
 @query
