@@ -635,7 +635,7 @@ def stream_late_commands(fx):
     """Commands that are refused as late, where those of every tenth player are delivered after all others."""
     commands = command_stream(fx.proposals, fx.votes, fx.withdrawals)
     stream = _delivered(fx, commands, "created_at", "commands", F.col("actor_id") % 10 == 7)
-    given = drain(follow_cases(stream, fx.players, neighbours=NEIGHBOURS), "cases-log")
+    given = drain(follow_cases(stream, fx.players, neighbours=PACKED_NEIGHBOURS), "cases-log")
     return case_rejects(given).where("reason = 'late'").drop("id")
 
 

@@ -17,6 +17,7 @@ from quorumbook.sources.tables import follow_table
 from quorumbook.streaming.cases import case_rejects, event_log, follow_cases, outcomes
 from quorumbook.streaming.changes import follow_changes
 from quorumbook.streaming.ledger import command_stream
+from quorumbook.streaming.packed import Layout, packed, unpacked
 from quorumbook.streaming.sinks import drain
 from quorumbook.streaming import totals as keyed_totals
 from quorumbook.streaming.totals import (
@@ -357,3 +358,28 @@ def test_neighbouring_proposals_share_state(spark, ledger, late):
 def test_groups_are_powers_of_two(spark, ledger):
     with pytest.raises(ValueError):
         follow_cases(ledger[1], ledger[0][3], neighbours=6)
+
+
+def test_refused_commands_of_a_group_come_out_as_they_came(spark):
+    case = dict(proposer=1, target=2, kind="penalty", amount=1, needed=2, created=0, deadline=120)
+    made, none = frames.proposals(spark, {i: case for i in range(5)}), frames.withdrawals(spark, [])
+    votes = frames.votes(spark, [(None, 0, None, 50), (2, None, 4, 60), (3, 3, 4, 70), (4, 99, 4, 80)])
+    last = frames.withdrawals(spark, [(9, 1, 1, 10_000)])
+    parts = [command_stream(made, votes.limit(0), last), command_stream(made.limit(0), votes, none)]
+    log = drain(follow_cases(delivered(spark, parts), frames.players(spark, 9, set(range(9))), neighbours=64), "refused")
+    got = {(r.kind, r.id, r.proposal_id, r.actor_id, r.reason) for r in case_rejects(log).collect()}
+    assert got == {("vote", None, 0, None, "late"), ("vote", 2, None, 4, "late"), ("vote", 3, 3, 4, "late"),
+                   ("vote", 4, 99, 4, "late")}
+    assert sorted((r.id, r.status, r.vote_count) for r in outcomes(log).collect()) == [(i, "failed", 0) for i in range(5)]
+
+
+def test_rows_of_a_group_are_one_row_and_come_back(spark):
+    layout = Layout("id bigint, amount int, yes boolean")
+    df = spark.createDataFrame(
+        [(8, "a", 9, 1, True), (8, "a", None, None, None), (8, None, 10, 2, False), (None, "a", 0, 0, False)] * 50,
+        "key bigint, kind string, id bigint, amount int, yes boolean").coalesce(1)
+    rows = packed(df, layout, "key", "kind")
+    assert sorted((str(r.key), str(r.kind)) for r in rows.collect()) == [("8", "None"), ("8", "a"), ("None", "a")]
+    back = unpacked(rows, layout, "kind string, id bigint, amount int, yes boolean")
+    assert as_text(back) == as_text(df.drop("key"))
+    assert packed(df, layout, "key", "kind", portion_rows=1).count() >= 3 and packed(df.limit(0), layout, "key").count() == 0
