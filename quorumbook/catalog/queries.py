@@ -626,7 +626,7 @@ def stream_leaderboard(fx):
 def stream_proposal_state(fx):
     """The outcomes from keyed state per proposal, over the same slices as the ledger."""
     commands = _delivered(fx, command_stream(fx.proposals, fx.votes, fx.withdrawals), "created_at", "commands")
-    given = drain(follow_cases(commands, fx.players, neighbours=NEIGHBOURS), "cases-log")
+    given = drain(follow_cases(commands, fx.players, neighbours=PACKED_NEIGHBOURS), "cases-log")
     return outcomes(given).select("id", "status", "vote_count", "approved_by", "approved_at")
 
 
