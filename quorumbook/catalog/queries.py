@@ -697,6 +697,7 @@ def stream_vote_match(fx):
     matched = match_votes(
         proposals_from_orders(_feed(fx, "orders"), fx.player_count),
         votes_from_lines(_feed(fx, "lineitem"), fx.player_count),
+        neighbours=PACKED_NEIGHBOURS,
     )
     streamed = drain(matched, "vote-match")
     return streamed.unionByName(remaining_matches(streamed, fx.proposals, fx.votes)).drop("id")

@@ -2,7 +2,9 @@
 
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import frames
@@ -16,6 +18,7 @@ from quorumbook.sources.tables import follow_table
 from quorumbook.streaming.ledger import (
     COMMANDS, LedgerFolder, _ledger_batch, close_ledger, command_stream, start_ledger, stream_board,
 )
+from quorumbook.streaming import matching
 from quorumbook.streaming.matching import match_votes, remaining_matches
 from quorumbook.streaming.sinks import drain
 from quorumbook.streaming.throttle import judge_attempts, stream_throttle
@@ -169,6 +172,60 @@ def test_vote_match_over_files(spark, ledger):
     assert everything.where("matched").count() == want
 
 
+def test_votes_are_matched_with_neighbours_in_any_order(spark):
+    case = dict(proposer=1, target=2, kind="penalty", amount=1, needed=2, created=0, deadline=120)
+    made = frames.proposals(spark, {i: dict(case, created=10 * i, deadline=10 * i + 120) for i in range(40)})
+    made = made.unionByName(made.where("id = 3"))  # an id twice: its votes match both rows
+    votes = frames.votes(spark, [(k, None if k % 41 == 0 else k % 45, k % 7, (k % 45) * 10 + k * 7 % 200 - 20)
+                                 for k in range(600)])
+    root = fresh_path(spark, "match-any-order")
+    for k, part in enumerate((made.where("id < 20"), made.where("id >= 20"))):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/made")
+    for part in (votes.where("created_at < timestamp'2026-01-01 00:03:20'"), votes.where("created_at >= timestamp'2026-01-01 00:03:20'")):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/votes")
+    in_time = (votes.proposal_id == made.id) & votes.created_at.between(made.created_at, made.deadline)
+    want = sorted((r[0], r[1]) for r in votes.join(made, in_time, "left").select(votes.id, made.id.isNotNull()).collect())
+    for neighbours, files in ((1, 1), (16, 1), (16, 10)):
+        rows = drain(match_votes(
+            follow_table(spark, f"{root}/made", made.schema, files_per_trigger=files),
+            follow_table(spark, f"{root}/votes", votes.schema, files_per_trigger=files), neighbours=neighbours), "match")
+        assert rows.where("not matched").count() > 100  # most of them while the stream runs
+        every = rows.unionByName(remaining_matches(rows, made, votes))
+        assert sorted((r.id, r.matched) for r in every.collect()) == want
+
+
+def test_chunks_of_votes_meet_proposals_that_come_after_them():
+    class Held(dict):
+        clear = dict.clear
+        get = lambda self: dict.get(self, "value")
+        update = lambda self, value: self.__setitem__("value", value)
+
+    class Handle:
+        getValueState = getMapState = lambda self, *_: Votes() if len(_) == 3 else Held()
+        registerTimer = lambda self, at: None
+
+    class Votes(dict):
+        getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+    def rows(kind, *values):
+        packed = np.array([(*v, 0) for v in values], matching._EITHER.dtype)
+        return Row(kind=kind, rows=packed.tobytes())
+
+    processor = matching.MatchProcessor(120, at_once=2)
+    processor.init(Handle())
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    vote = lambda k, case, at: rows("vote", (case, k, at * 1_000_000, 5, 0, 0))
+    came = [vote(1, 1, 50), vote(2, 2, 60), vote(3, 1, 70), rows("propose", (1, 0, 40_000_000, 0, 160_000_000, 2)), vote(4, 1, 300)]
+    out = [r for o in processor.handleInputRows((0,), iter(came), clock) for r in matching._OUT.read(o.rows).tolist()]
+    assert sorted((r[0], r[6]) for r in out) == [(1, True), (3, True)]
+    again = iter([rows("propose", (2, 0, 55_000_000, 0, 175_000_000, 2))])
+    out = [r for o in processor.handleInputRows((0,), again, clock) for r in matching._OUT.read(o.rows).tolist()]
+    assert [(r[0], r[6]) for r in out] == [(2, True)]
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 300_000)
+    out = [r for o in processor.handleExpiredTimer((0,), clock, None) for r in matching._OUT.read(o.rows).tolist()]
+    assert [(r[0], r[6]) for r in out] == [(4, False)] and not processor._votes
+
+
 def small_ledger(spark, batches, closing=True):
     """Run batches of command rows; returns the folder, the players and the last batch."""
     players = frames.players(spark, 12, set(range(12)))
